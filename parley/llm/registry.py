@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from parley.llm import mixing
+from parley.llm import licences, media, mixing, toxicity
 
-QUERIES = {"op6_mix_sources": mixing.op6_mix_sources}
-ORACLES = {"op6_mix_sources": mixing.sql()}
+QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_license_scan": licences.op2_license_scan,
+    "op3_media_columns": media.op3_media_columns,
+    "op6_mix_sources": mixing.op6_mix_sources,
+}
+ORACLES = {
+    "op2_license_scan": licences.sql(),
+    "op6_mix_sources": mixing.sql(),
+}

@@ -41,12 +41,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Spans:
+    """Hashes of any spans of one array of values, from its prefix sums."""
+
+    def __init__(self, values: np.ndarray, base: np.uint64 = BYTE_BASE):
+        n = len(values)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(values.astype(np.uint64) * _power_table(base, False, n), out=self.prefix[1:])
+        self.back = _power_table(base, True, n + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.prefix[ends] - self.prefix[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BYTE_BASE) -> np.ndarray:
     """A 64-bit hash of values[start:end] for each span."""
-    n = len(values)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * _power_table(base, False, n), out=prefix[1:])
-    return mixed((prefix[ends] - prefix[starts]) * _power_table(base, True, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    return Spans(values, base).hashes(starts, ends)
 
 
 class Words:
