@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from parley.llm import licences, media, mixing, toxicity
+from parley.llm import licences, media, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_license_scan": licences.op2_license_scan,
     "op3_media_columns": media.op3_media_columns,
+    "op5_quality": quality.op5_quality,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_pii": pii.op8_pii,
 }
 ORACLES = {
     "op2_license_scan": licences.sql(),
