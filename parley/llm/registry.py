@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from parley.llm import licences, media, mixing, pii, quality, toxicity
+from parley.llm import decontamination, licences, media, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_license_scan": licences.op2_license_scan,
     "op3_media_columns": media.op3_media_columns,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality": quality.op5_quality,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_pii": pii.op8_pii,

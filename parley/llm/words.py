@@ -99,6 +99,47 @@ class Words:
         return self.data[self.start[first] : self.end[last]].tobytes().decode("utf-8", "replace")
 
 
+# Byte classes: letters are kept in lower case, bytes of longer sequences count as letters, the rest parts words.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_LETTER[128:] = True
+_LETTER[ord("'")] = True
+_LETTER_OR_DIGIT = _LETTER.copy()
+_LETTER_OR_DIGIT[ord("0") : ord("9") + 1] = True
+
+
+class LetterRuns:
+    """The letter runs of a run of texts, in lower case; with digits, digits count as letters.
+
+    start, end: byte span of each; at: index of each text's first (one more than texts); hash: of its lower case.
+    """
+
+    def __init__(self, data: np.ndarray, text_at: np.ndarray, digits: bool = False):
+        letter = _LETTER_OR_DIGIT if digits else _LETTER
+        low = _LOWER[data]
+        upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+        low[upper] += 32  # the capital letters of U+00C0 to U+00DE
+        inside = np.zeros(len(low) + 2, bool)
+        inside[1:-1] = letter[low]
+        first = inside[1:-1] & ~inside[:-2]
+        last = inside[1:-1] & ~inside[2:]
+        heads = text_at[:-1][text_at[:-1] < len(low)]
+        first[heads] |= inside[1:-1][heads]
+        tails = text_at[1:][text_at[1:] > 0] - 1
+        last[tails] |= inside[1:-1][tails]
+        self.low = low
+        self.start = np.flatnonzero(first)
+        self.end = np.flatnonzero(last) + 1
+        self.at = np.searchsorted(self.start, text_at)
+        self.spans = Spans(low)
+        self.hash = self.spans.hashes(self.start, self.end)
+
+    def text_of_token(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+
 def windows(word_hashes: np.ndarray, word_at: np.ndarray, n: int, base: np.uint64 = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of n consecutive words of one text, and the index of each window's first word."""
     total = len(word_hashes)
