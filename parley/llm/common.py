@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,3 +45,10 @@ def stored(df: DataFrame, kind: str = "stage") -> DataFrame:
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the JVM collect what no DataFrame refers to any more, so that Spark's cleaner deletes the shuffle files of jobs
+    that are over. Without it they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import decontamination, licences, media, mixing, pii, quality, toxicity
+from parley.llm import decontamination, licences, media, mixing, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,8 +12,10 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_pii": pii.op8_pii,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op2_license_scan": licences.sql(),
     "op6_mix_sources": mixing.sql(),
+    "op10_substring_dedup": substring_dedup.sql(),
 }
