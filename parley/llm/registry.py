@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import decontamination, licences, media, mixing, pii, quality, substring_dedup, toxicity
+from parley.llm import decontamination, jaccard_join, licences, media, mixing, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality": quality.op5_quality,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_pii": pii.op8_pii,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
