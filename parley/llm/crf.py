@@ -186,7 +186,7 @@ def train(features: np.ndarray, labels: np.ndarray, at: np.ndarray, n_features:
     """Maximum conditional likelihood by full-batch steps with one step size for each weight (AdaGrad)."""
     model = Chain(np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels))
     used, local = np.unique(features, return_inverse=True)
-    local = local.reshape(features.shape)
+    local = local.astype(np.int32).reshape(features.shape)
     weights = np.zeros((len(used), n_labels))
     seen = [np.full_like(x, 1e-8) for x in (weights, model.trans, model.start)]
     inner = np.ones(len(labels), bool)
@@ -199,8 +199,8 @@ def train(features: np.ndarray, labels: np.ndarray, at: np.ndarray, n_features:
     gold[np.arange(len(labels)), labels] = 1
     n = max(1, len(labels))
     for _ in range(rounds):
-        emit = weights[local].sum(axis=1)
-        marginal, expected, _ = forward_backward(Chain(weights, model.trans, model.start), emit, at, pairs=True)
+        now = Chain(weights, model.trans, model.start)
+        marginal, expected, _ = forward_backward(now, scores(now, local), at, pairs=True)
         off = gold - marginal
         slope = np.stack([sum(np.bincount(local[:, k], off[:, j], len(used)) for k in range(local.shape[1])) for j in range(n_labels)], axis=1)
         for x, g, s in ((weights, slope, seen[0]), (model.trans, true_pairs - expected, seen[1]), (model.start, off[first].sum(axis=0), seen[2])):

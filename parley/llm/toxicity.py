@@ -10,7 +10,7 @@ letters, its length and the words beside it. Forward-backward gives each token's
 curve over the greatest and the summed probability of a document, fitted to the same labels, gives its score.
 
 The field is fitted on the driver to a bounded sample: at most `sample` toxic and `sample` clean labelled rows, those
-with the least hash of their text. Everything else runs in Arrow batches and shuffles nothing.
+with the least hash of their id. Everything else runs in Arrow batches and shuffles nothing.
 
 Defined results: a null or empty text has no tokens and gets the score of a document without toxic tokens; repeated rows
 repeat; documents without label are scored like all; where no labelled toxic row can be learned from, all score 0; an
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import crf
-from parley.llm.common import table
-from parley.llm.words import Spans, mixed, slices, utf8, windows
+from parley.llm.common import stored, table, whole_text
+from parley.llm.words import LetterRuns, mixed, slices, utf8, windows
 
-SAMPLE = 800
+SAMPLE = 500
 TRAIN_RUN = 64  # items of a training sequence; longer texts are cut into several
 TOXIC_AT = 0.3
 BUCKETS = 1 << 14
@@ -40,39 +40,9 @@ STEMS = (4, 5, 6, 7, 8)  # lengths in bytes
 LENGTHS, AFFIXES = 1, 17
 VOCABULARY = AFFIXES + (1 + len(STEMS)) * BUCKETS
 
-# Byte classes: letters are kept in lower case, bytes of longer sequences count as letters, the rest parts words.
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_LETTER[128:] = True
-_LETTER[ord("'")] = True
-
-
-class Tokens:
-    """The letter runs of a run of texts, in lower case."""
-
-    def __init__(self, data: np.ndarray, text_at: np.ndarray):
-        low = _LOWER[data]
-        upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
-        low[upper] += 32  # the capital letters of U+00C0 to U+00DE
-        inside = np.zeros(len(low) + 2, bool)
-        inside[1:-1] = _LETTER[low]
-        first = inside[1:-1] & ~inside[:-2]
-        last = inside[1:-1] & ~inside[2:]
-        heads = text_at[:-1][text_at[:-1] < len(low)]
-        first[heads] |= inside[1:-1][heads]
-        tails = text_at[1:][text_at[1:] > 0] - 1
-        last[tails] |= inside[1:-1][tails]
-        self.low = low
-        self.start = np.flatnonzero(first)
-        self.end = np.flatnonzero(last) + 1
-        self.at = np.searchsorted(self.start, text_at)
-        self.spans = Spans(low)
-        self.hash = self.spans.hashes(self.start, self.end)
-
-    def text_of_token(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+class Tokens(LetterRuns):
+    """The letter runs of a run of texts, in lower case, with the field's features."""
 
     def stem(self, k: int) -> np.ndarray:
         """The hash of each token's first k bytes; 0 for shorter tokens."""
@@ -175,6 +145,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2,
 
 def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0) -> Model | None:
     """The field and the curve from labelled texts. None where nothing tells toxic texts."""
+    if not len(toxic) or toxic.min() == toxic.max():
+        return None
     data, text_at = utf8(pa.array(texts, pa.large_string()))
     tokens = Tokens(data, text_at)
     # one text for each least shingle stands for its near copies
@@ -223,15 +195,21 @@ def per_text(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of the sample, and how many clean rows one sampled clean row stands for, against toxic ones."""
+    """Texts and labels of the sample, and how many clean rows one sampled clean row stands for, against toxic ones.
+
+    Ids are joined and picked first, by their hash; only the picked rows' texts (2 * sample at most) are read after that.
+    """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    eligible = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & (F.coalesce(F.col("text"), F.lit("")) != ""))
-    rows = eligible.join(known, "doc_id").select("text", "toxic", F.xxhash64("text").alias("h"))
+    eligible = docs.select("doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).distinct()
+    rows = stored(eligible.join(known, "doc_id"), "labelled")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    parts = [rows.where(F.col("toxic") == k).orderBy("h", "text").limit(sample).select("text").toPandas()["text"].tolist() for k in (1, 0)]
-    ratios = [counts.get(k, 0) / max(1, len(p)) for k, p in zip((1, 0), parts, strict=True)]
-    toxic = np.repeat([1, 0], [len(parts[0]), len(parts[1])])
-    return [*parts[0], *parts[1]], toxic, ratios[1] / (ratios[0] or 1.0)
+    picked = {k: [r[0] for r in rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").collect()] for k in (1, 0)}
+    of = {i: k for k, ids in picked.items() for i in ids}
+    if not of:
+        return [], np.zeros(0, np.int64), 1.0
+    found = docs.where(F.col("doc_id").isin(list(of)) & (whole_text() != "")).select("doc_id", "text").orderBy("doc_id", "text").collect()
+    ratios = [counts.get(k, 0) / max(1, len(picked[k])) for k in (1, 0)]
+    return [r["text"] for r in found], np.array([of[r["doc_id"]] for r in found], np.int64), ratios[1] / (ratios[0] or 1.0)
 
 
 SCORE_COLUMNS = "doc_id long, score double, n_toxic_tokens long, offending array<struct<start: int, end: int>>"
