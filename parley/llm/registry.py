@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import decontamination, jaccard_join, licences, media, mixing, pii, quality, substring_dedup, toxicity
+from parley.llm import decontamination, html_text, jaccard_join, licences, media, mixing, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_pii": pii.op8_pii,
+    "op9_html_text": html_text.op9_html_text,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op2_license_scan": licences.sql(),
     "op6_mix_sources": mixing.sql(),
+    "op9_html_text": html_text.op9_html_text,
     "op10_substring_dedup": substring_dedup.sql(),
 }
