@@ -255,7 +255,7 @@ def verified(reps: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame
 def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the least doc_id of its group of linked classes), rep_id (the least with the same text) and
     n_links (other texts that its text is linked to)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     digest = F.unhex(F.sha2(whole_text(), 256))
     one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("digest"))
     classes = one.groupBy("digest").agg(F.min("doc_id").alias("rep_id"))

@@ -94,10 +94,10 @@ def mix(docs: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    out = mix(docs, seeds, cap)
-    taken = out.where("copies > 0 and size > 0")
-    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    packed = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
+    taken = mix(packed, seeds, cap).where("copies > 0 and size > 0")
+    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

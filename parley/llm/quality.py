@@ -8,7 +8,7 @@ logistic curve on labelled rows that its fit did not see, a last logistic regres
 are scored.
 
 The views are fitted on the driver to bounded samples: at most `sample` labelled rows of each label and `pool` unlabelled
-ones, those with the least hash of their text; only their feature rows are collected, never texts. Scoring goes on in
+ones, those with the least hash of their id; only their feature rows are collected, never texts. Scoring goes on in
 Arrow batches and shuffles nothing.
 
 Defined results: a null or empty text has the features of no text at all and is scored from them; null metadata are a
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import table
+from parley.llm.common import stored, table
 from parley.llm.words import Words, slices
 
 SAMPLE = 3000
@@ -225,19 +225,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
     """Fits the model to docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality)."""
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    columns = ["quality", F.xxhash64("text").alias("h"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")]
-    joined = docs.join(known, "doc_id", "left").select(*columns)
-    # the least hashes of each kind are picked by hash alone, so no text is sorted or shuffled
-    picked = joined.select("quality", "h")
-    parts = []
+    ids = stored(docs.select("doc_id").distinct().join(known, "doc_id", "left"), "labelled")
+    picked = None
     for kind, most in ((1, sample), (0, sample), (None, pool)):
         test = F.col("quality").isNull() if kind is None else F.col("quality") == kind
-        least = picked.where(test).select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-        if least is not None:
-            parts.append(test & (F.col("h") <= least))
-    if not parts:
-        return None
-    chosen = joined.where(parts[0] if len(parts) == 1 else parts[0] | parts[1] if len(parts) == 2 else parts[0] | parts[1] | parts[2])
+        part = ids.where(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        picked = part if picked is None else picked.unionAll(part)
+    # at most 2 * sample + pool ids, so this side is always small enough to broadcast
+    rows_of = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    chosen = rows_of.join(F.broadcast(picked), "doc_id").select("quality", F.xxhash64("text").alias("h"), "text", "source", "lang", "n_chars")
     rows = chosen.mapInArrow(_featured, _FEATURES).dropDuplicates(["h", "quality"]).orderBy("h", "quality").toPandas()
     given = rows["quality"].notna().to_numpy()
     y = rows["quality"].to_numpy(float)[given]
@@ -248,10 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     return co_train(text[given], meta[given], y, text[~given], meta[~given])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every row of docs with its `quality_score`, 0 to 1."""
+def score(docs: DataFrame, model: Model | None, name: str = "quality_score") -> DataFrame:
+    """Every row of docs with its score, 0 to 1, as the column `name`, which docs must not have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, quality_score double"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, `{name}` double"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,14 +258,15 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     column = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("source", "lang", "n_chars")]
                     slots = np.array([meta_slots(*x) for x in zip(*column, strict=True)]).reshape(-1, 3)
                     value = shared.value.score(text_features(words), one_hot(slots))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, name])
 
     return docs.mapInArrow(rows, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """The rows of docs that the classifier does not reject."""
-    return score(docs, train(docs, labels)).where(F.col("quality_score") >= keep_at).select(*docs.columns)
+    name = "_".join(["score", *docs.columns])  # no column of docs is named so
+    return score(docs, train(docs, labels), name).where(F.col(name) >= keep_at).select(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
