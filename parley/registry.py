@@ -1,10 +1,10 @@
-"""All queries over the reference's operators, with their SQL twins."""
+"""All queries over the engine's own operators, with their SQL twins."""
 
 from __future__ import annotations
 
-from parley.plans import words
+from parley.plans import board, stats, words
 
-MODULES = (words,)
+MODULES = (words, stats, board)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
