@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import board, stats, words
+from parley.plans import board, cleaning, stats, words
 
-MODULES = (words, stats, board)
+MODULES = (words, cleaning, stats, board)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
