@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import board, chats, cleaning, english, phrases, similarity, snippets, stats, words
+from parley.plans import board, chats, cleaning, english, kinds, phrases, similarity, snippets, stats, words
 
-MODULES = (words, chats, cleaning, english, phrases, similarity, snippets, stats, board)
+MODULES = (words, chats, cleaning, english, kinds, phrases, similarity, snippets, stats, board)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
