@@ -5,16 +5,17 @@ a document with a smaller id. Documents arrive in batches of rising id.
 
 Fingerprints. Of the GRAM-word runs inside a window the one with the least hash is its anchor; equal windows have equal
 anchors, and neighbouring windows mostly share theirs, so a document has far fewer anchors than windows. A run of the
-index holds the distinct (anchor, doc_id) pairs of one batch, hashed into buckets and sorted by anchor, and never changes.
+index holds the (anchor, key) pairs of one batch, key being the hash of a whole text, dealt into buckets and sorted by
+anchor, and never changes.
 
 A batch meets the index in three steps. Its anchors are merge-joined with all runs: as every run is bucketed and
-sorted alike, the history side is neither shuffled nor sorted again. Anchors with two documents or more are candidates.
+sorted alike, neither side is shuffled. Anchors that two different texts hold are candidates.
 Then the windows of the candidates are verified: their 64-bit digests (over the words' own 64-bit digests) are
 grouped, and the least document of each is found. At last runs of like size are merged into one, so the number of runs
 stays logarithmic in the number of batches.
 
-An exact copy needs no index: all its windows start in the first copy. Copies are set aside by the digest of the whole
-text before anything else, so a hot group of copies costs one row each. A very frequent window is one group of pairs,
+An exact copy needs no verification: all its windows start in the first copy. Copies have one key, so their anchors are
+no candidates, and a hot group of copies costs its ids alone. A very frequent window is one group of pairs,
 pre-aggregated to its least document before it is shuffled.
 
 Defined results: a null or empty text has no words; documents of fewer than WINDOW words lose nothing; several rows with
@@ -74,7 +75,7 @@ def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """anchor, doc_id: the distinct anchors of each document."""
+    """doc_id, key, text -> anchor, key: the distinct anchors of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,14 +83,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 first, anchor, _ = anchors_of_windows(words)
                 text = np.searchsorted(words.word_at, first, "right") - 1
                 anchor, text = _distinct(anchor, text)
-                ids = np.asarray(part.column(part.schema.get_field_index("doc_id")))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(ids[text])], names=["anchor", "doc_id"])
+                keys = np.asarray(part.column(part.schema.get_field_index("key")))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(keys[text])], names=["anchor", "key"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(rows, "anchor long, doc_id long")
+    return docs.where("doc_id is not null").select("key", "text").mapInArrow(rows, "anchor long, key long")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, doc_id), as bucketed tables in the warehouse, which all executors share."""
+    """Sorted immutable runs of (anchor, key), as bucketed tables in the warehouse, which all executors share."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, fan: int = 4):
         self.spark, self.fan = spark, fan
@@ -116,11 +117,14 @@ class FingerprintIndex:
         return reduce(DataFrame.unionAll, tables) if tables else None
 
     def shared(self, batch: DataFrame) -> DataFrame:
-        """anchor: those of the batch that two documents hold, of the batch or of the history before it."""
-        within = batch.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
+        """anchor: those of the batch that two different texts hold, of the batch or of the history before it."""
+        least = (F.min("key").alias("least"), F.max("key").alias("greatest"))
+        within = batch.groupBy("anchor").agg(*least)
         parts = [within.where("least < greatest").select("anchor")]
         for run, _ in self.runs[:-1]:
-            parts.append(within.hint("merge").join(self.spark.table(run).select("anchor").hint("merge"), "anchor", "left_semi").select("anchor"))
+            before = self.spark.table(run).groupBy("anchor").agg(F.min("key").alias("least_before"), F.max("key").alias("greatest_before"))
+            met = within.hint("merge").join(before.hint("merge"), "anchor")
+            parts.append(met.where("least(least, least_before) < greatest(greatest, greatest_before)").select("anchor"))
         return reduce(DataFrame.unionAll, parts).distinct()
 
     def compact(self) -> None:
@@ -145,7 +149,7 @@ class FingerprintIndex:
 
 
 def candidate_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, doc_id, n: the windows of docs whose anchor their document has in wanted (doc_id, anchors), each once."""
+    """digest, doc_id: the windows of docs whose anchor their document has in wanted (doc_id, anchors), each once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,37 +200,36 @@ def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | N
     spark = docs.sparkSession
     own = index is None
     index = index or FingerprintIndex(spark)
-    docs = docs.select("doc_id", "text")
-    # copies of whole texts: only the first goes on
-    sha = F.unhex(F.sha2(whole_text(), 256))
-    firsts = docs.where("doc_id is not null").select("doc_id", sha.alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("first"))
-    marked = docs.withColumn("sha", sha)
-    copies = stored(
-        marked.select("doc_id", "sha").join(firsts, "sha").where("doc_id > first").select("doc_id", F.col("sha").alias("copy_sha")).distinct(), "copies"
-    )
+    docs = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("key"))
+    # copies of whole texts: of each text only the first document counts
+    ids = docs.select("doc_id", "key").where("doc_id is not null")
+    firsts = ids.groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = ids.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copy_keys"))
     bounds = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if bounds["a"] is None:
         batches = 1
     cuts = [bounds["a"] + (bounds["b"] - bounds["a"] + 1) * k // batches for k in range(1, batches)] if batches > 1 else []
     shared = None
     for k in range(batches):
-        low, high = (cuts[k - 1] if k else None), (cuts[k] if k < len(cuts) else None)
-        part = marked
-        if low is not None:
-            part = part.where(F.col("doc_id") >= low)
-        if high is not None:
-            part = part.where(F.col("doc_id") < high)
-        new = part.join(copies, (copies["doc_id"] == part["doc_id"]) & (F.col("copy_sha") == F.col("sha")), "left_anti").select("doc_id", "text")
-        batch = index.append(fingerprints(new))
+        part = docs
+        if k:
+            part = part.where(F.col("doc_id") >= cuts[k - 1])
+        if k < len(cuts):
+            part = part.where(F.col("doc_id") < cuts[k])
+        batch = index.append(fingerprints(part))
+        release(spark)
         found = stored(index.shared(batch), "shared")
         shared = found if shared is None else shared.unionAll(found)
-    # verification: all documents that hold a shared anchor, of this batch or before
-    wanted = index.pairs().join(shared.distinct(), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    # verification: all texts that hold a shared anchor, of this batch or before
+    of_text = index.pairs().join(shared.distinct(), "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = stored(of_text.join(firsts, "key").select(F.col("first").alias("doc_id"), "anchors"), "wanted")
     release(spark)
+    wanted = wanted.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
     every = stored(candidate_windows(docs, wanted), "windows")
     release(spark)
     least = every.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
-    hits = stored(every.join(least, "digest").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("digest").alias("hits")), "hits")
+    hits = every.join(least, "digest").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("digest").alias("hits"))
+    marks = stored(hits.join(copies, "doc_id", "full"), "marks")
     index.compact()
     release(spark)
 
@@ -239,8 +242,9 @@ def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | N
                 found = part.column(place)
                 yield _kept(part, words, [None if c else (np.asarray(found[k].values) if found[k].is_valid else ()) for k, c in enumerate(flags)])
 
-    joined = marked.join(hits, "doc_id", "left").join(copies, (copies["doc_id"] == marked["doc_id"]) & (F.col("copy_sha") == F.col("sha")), "left")
-    out = joined.select(marked["doc_id"], whole_text().alias("text"), "hits", F.col("copy_sha").isNotNull().alias("copied")).mapInArrow(rows, KEPT)
+    joined = docs.join(marks, "doc_id", "left")
+    copied = F.coalesce(F.array_contains("copy_keys", F.col("key")), F.lit(False))
+    out = joined.select("doc_id", whole_text().alias("text"), "hits", copied.alias("copied")).mapInArrow(rows, KEPT)
     if own:
         out = stored(out, "kept")
         index.drop()
