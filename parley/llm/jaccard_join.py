@@ -45,6 +45,7 @@ BANDS, ROWS = 40, 5
 STEP = 20
 TOLERANCE = 1e-9
 BLOCK = 512
+SLOTS = 1 << 19
 
 _HASHES = BANDS * ROWS
 _rng = np.random.default_rng(20240601)
@@ -124,18 +125,18 @@ def components(ties: DataFrame) -> DataFrame:
     number of steps grows with the logarithm of the longest chain.
     """
     edges = stored(ties.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "ties")
+    print_of = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    state = edges.select(*print_of).first()
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         tied = small.select("u", F.col("m").alias("v")).unionAll(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        new = stored(tied.where("u != v").distinct(), "ties")
-        moved = new.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        old = edges.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        edges = new
-        if moved == old:
+        edges, before = stored(tied.where("u != v").distinct(), "ties"), state
+        state = edges.select(*print_of).first()
+        if state == before:
             break
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -240,15 +241,22 @@ def links_of_group(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids[some], "tied": ids[root[some]], "n": n[some]})
 
 
-def verified(reps: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, tied, n for each member of a component and pair of blocks in which it has links."""
+def verified(reps: DataFrame, chosen: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, tied, n for each member of a component and pair of blocks in which it has links.
+
+    reps: doc_id, digest, text; chosen: doc_id and the digest of the text that counts, where rows repeat a doc_id.
+    """
     sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
     members = roots.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = F.transform(others, lambda o: F.struct(F.least("own", o).alias("left"), F.greatest("own", o).alias("right"), (F.col("own") > o).cast("int").alias("side")))
-    placed = members.select("doc_id", "root", F.inline(met))
-    texts = reps.join(placed, "doc_id")
+    placed = stored(members.select("doc_id", "root", F.inline(met)), "placed")
+    # most texts have no candidate: a sieve of SLOTS hash slots at most, which is all that is broadcast, keeps them from the shuffle
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slots = placed.select(slot.alias("slot")).distinct()
+    near = reps.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    texts = near.join(chosen, "doc_id").where("digest = chosen").select("doc_id", "text").join(placed, "doc_id")
     return texts.groupBy("root", "left", "right").applyInPandas(links_of_group, "doc_id long, tied long, n long")
 
 
@@ -260,9 +268,8 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("digest"))
     classes = one.groupBy("digest").agg(F.min("doc_id").alias("rep_id"))
     members = stored(one.join(classes, "digest").select("doc_id", "rep_id"), "classes")
-    # a representative's text: rows that repeat its doc_id with another text are left out
     chosen = classes.select(F.col("rep_id").alias("doc_id"), F.col("digest").alias("chosen"))
-    reps = docs.withColumn("digest", digest).join(chosen, "doc_id").where("digest = chosen").select("doc_id", whole_text().alias("text"))
+    reps = docs.select("doc_id", digest.alias("digest"), whole_text().alias("text"))
     own = members.where("doc_id = rep_id").select("doc_id")
     signed_reps = signatures(docs).join(own, "doc_id", "left_semi")
     buckets = stored(signed_reps.select("doc_id", F.explode("buckets").alias("bucket")), "buckets")
@@ -271,7 +278,7 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ties = buckets.join(heads, "bucket").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     roots = stored(components(ties), "components")
     release(spark)
-    found = stored(verified(reps, roots, block), "links")
+    found = stored(verified(reps, chosen, roots, block), "links")
     release(spark)
     groups = components(found.select(F.col("doc_id").alias("a"), F.col("tied").alias("b")))
     counts = found.groupBy("doc_id").agg(F.sum("n").alias("n_links")).withColumnRenamed("doc_id", "rep_id")
