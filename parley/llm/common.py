@@ -52,3 +52,15 @@ def release(spark: SparkSession) -> None:
     that are over. Without it they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with the least value of their key as `name`. The rows of one key are dealt over SALTS tasks, each of which learns
+    the least value from a table with one row for each key and salt: no task gets all rows of a hot key."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
+    least = parts.groupBy(key).agg(F.min("_part").alias(name))
+    return salted.join(parts.select(key, "_salt").join(least, key), [key, "_salt"]).drop("_salt")

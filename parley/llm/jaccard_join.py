@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import release, stored, table, whole_text
+from parley.llm.common import release, stored, table, whole_text, with_least
 from parley.llm.words import WORD_BASE, Words, mixed, signed, slices, span_hashes, utf8, windows
 
 SHINGLE = 5
@@ -266,9 +266,9 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     digest = F.unhex(F.sha2(whole_text(), 256))
     one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("digest"))
-    classes = one.groupBy("digest").agg(F.min("doc_id").alias("rep_id"))
-    members = stored(one.join(classes, "digest").select("doc_id", "rep_id"), "classes")
-    chosen = classes.select(F.col("rep_id").alias("doc_id"), F.col("digest").alias("chosen"))
+    members = stored(with_least(one, "digest", "doc_id", "rep_id").select("doc_id", "rep_id", "digest"), "classes")
+    chosen = members.where("doc_id = rep_id").select("doc_id", F.col("digest").alias("chosen"))
+    members = members.select("doc_id", "rep_id")
     reps = docs.select("doc_id", digest.alias("digest"), whole_text().alias("text"))
     own = members.where("doc_id = rep_id").select("doc_id")
     signed_reps = signatures(docs).join(own, "doc_id", "left_semi")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import WORD, release, stored, table, whole_text
+from parley.llm.common import WORD, release, stored, table, whole_text, with_least
 from parley.llm.words import Words, mixed, signed, slices, windows
 
 WINDOW = 13
@@ -204,7 +204,7 @@ def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | N
     # copies of whole texts: of each text only the first document counts
     ids = docs.select("doc_id", "key").where("doc_id is not null")
     firsts = ids.groupBy("key").agg(F.min("doc_id").alias("first"))
-    copies = ids.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copy_keys"))
+    copies = with_least(ids, "key", "doc_id", "first").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copy_keys"))
     bounds = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if bounds["a"] is None:
         batches = 1
