@@ -19,6 +19,5 @@ QUERIES = {
 ORACLES = {
     "op2_license_scan": licences.sql(),
     "op6_mix_sources": mixing.sql(),
-    "op9_html_text": html_text.op9_html_text,
     "op10_substring_dedup": substring_dedup.sql(),
 }
