@@ -31,6 +31,11 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
+def latin(word: Column) -> Column:
+    """Words whose spelling can be compared: lower-case Latin of three letters or more."""
+    return word.rlike(r"^[a-z][a-z'. -]{2,}$")
+
+
 def affix_score(a: Column, b: Column) -> Column:
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     held = (F.length(short) >= 2) & (short != long) & long.contains(short)
@@ -55,7 +60,7 @@ def _pairs(spark, sf_dir):
 
 def alias_edit_similarity(spark, sf_dir):
     similar = F.round(edit_similarity(F.col("a"), F.col("b")), 6)
-    return _pairs(spark, sf_dir).where("length(a) >= 3 and length(b) >= 3").select("a", "b", similar.alias("similarity")).where(F.col("similarity") >= SPELLING_MIN)
+    return _pairs(spark, sf_dir).where(latin(F.col("a")) & latin(F.col("b"))).select("a", "b", similar.alias("similarity")).where(F.col("similarity") >= SPELLING_MIN)
 
 
 def alias_affix(spark, sf_dir):
@@ -72,7 +77,7 @@ def alias_rank(spark, sf_dir):
     targets = words.orderBy(F.desc("n"), "word").limit(20).select(F.col("word").alias("target"))
     pairs = words.join(F.broadcast(targets), F.col("word") != F.col("target"))
     spelling = edit_similarity(F.col("word"), F.col("target"))
-    counts = F.when((F.length("word") >= 3) & (F.length("target") >= 3) & (spelling >= SPELLING_MIN), spelling * SPELLING).otherwise(0.0)
+    counts = F.when(latin(F.col("word")) & latin(F.col("target")) & (spelling >= SPELLING_MIN), spelling * SPELLING).otherwise(0.0)
     near = F.when(F.abs(F.length("word") - F.length("target")) <= 1, LENGTH).otherwise(0.0)
     begins = F.when(F.col("word").startswith(F.left("target", F.lit(2))), PREFIX).otherwise(0.0)
     scored = pairs.withColumn("score", F.round(affix_score(F.col("word"), F.col("target")) + counts + near + begins, 6))
@@ -111,6 +116,7 @@ _TOP = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(
     p as (select x.word as a, y.word as b from w x join w y on x.word < y.word)"""
 _ALL = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(*) as n from t group by 1 order by n desc, word limit {TOP})"""
 _EDIT = "(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})))"
+_LATIN = "regexp_full_match({}, '[a-z][a-z''. -]{{2,}}')"
 _AFFIX = f"""case when least(length({{0}}), length({{1}})) >= 2 and {{0}} != {{1}} and (contains({{0}}, {{1}}) or contains({{1}}, {{0}}))
     then {CONTAIN} + {CONTAIN_RATIO} * least(length({{0}}), length({{1}})) / greatest(length({{0}}), length({{1}})) else 0.0 end"""
 _ALIASES = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in ALIASES) + ") a(source, target)"
@@ -123,10 +129,10 @@ QUERIES = {
     "priority_apply": priority_apply, "alias_closure": alias_closure, "overrides_apply": overrides_apply,
 }
 ORACLES = {
-    "alias_edit_similarity": f"with {_TOP} select a, b, round({_EDIT.format('a', 'b')}, 6) as similarity from p where length(a) >= 3 and length(b) >= 3 and round({_EDIT.format('a', 'b')}, 6) >= {SPELLING_MIN}",
+    "alias_edit_similarity": f"with {_TOP} select a, b, round({_EDIT.format('a', 'b')}, 6) as similarity from p where {_LATIN.format('a')} and {_LATIN.format('b')} and round({_EDIT.format('a', 'b')}, 6) >= {SPELLING_MIN}",
     "alias_affix": f"with {_TOP} select a, b, round({_AFFIX.format('a', 'b')}, 6) as score from p where {_AFFIX.format('a', 'b')} > 0",
     "alias_rank": f"""with {_TOP}, g as (select word as target from w order by n desc, word limit 20), q as (select word, n, target from w join g on word != target),
-        s as (select target, word, n, round({_AFFIX.format('word', 'target')} + case when length(word) >= 3 and length(target) >= 3 and {_EDIT.format('word', 'target')} >= {SPELLING_MIN} then {_EDIT.format('word', 'target')} * {SPELLING} else 0.0 end
+        s as (select target, word, n, round({_AFFIX.format('word', 'target')} + case when {_LATIN.format('word')} and {_LATIN.format('target')} and {_EDIT.format('word', 'target')} >= {SPELLING_MIN} then {_EDIT.format('word', 'target')} * {SPELLING} else 0.0 end
             + case when abs(length(word) - length(target)) <= 1 then {LENGTH} else 0.0 end + case when starts_with(word, left(target, 2)) then {PREFIX} else 0.0 end, 6) as score from q),
         r as (select *, cast(row_number() over (partition by target order by score desc, n desc, word) as int) as place from s) select target, word, score, place from r where place <= {SHOWN}""",
     "priority_apply": f"""with {_ALL}, p as (select * from (values ('the', 0), ('Zebra', 1), ('of', 2), ('Quartz', 3), ('idiot', 4)) p(item, place)), m as (select max(n) as most from w),
