@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators import names as N
+from parley.operators import phrases as P
 from parley.plans.words import SQL_STOP, sql_tokens, token_rows
 from parley.session import table
 
@@ -56,7 +58,19 @@ _ROWS = f"""t as ({sql_tokens("documents", "doc_id", "lang = 'en'")}), r as (sel
     held as (select pairs.word, pairs.next, n, round(n / greatest(a.n_word, b.n_word), 6) as cohesion from pairs join counts a on a.word = pairs.word join counts b on b.word = pairs.next),
     good as (select * from held where cohesion >= {COHESION})"""
 
-QUERIES = {"bigram_cohesion": bigram_cohesion, "branching_entropy": branching_entropy}
+def lexicon_merge(spark, sf_dir):
+    """Tokens of each English document before and after merging by the pairs that cohere."""
+    words = bigram_cohesion(spark, sf_dir).select(F.concat_ws(" ", "word", "next").alias("word"))
+    texts = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
+    plain = texts.select("id", F.aggregate(F.transform(P.chunks(F.col("text")), lambda c: F.size(c)), F.lit(0), lambda a, b: a + b).alias("n_tokens"))
+    return P.merge(texts, words).select("id", F.size("tokens").alias("n_merged")).join(plain, "id")
+
+
+def english_names(spark, sf_dir):
+    return N.english_names(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text"))
+
+
+QUERIES = {"bigram_cohesion": bigram_cohesion, "branching_entropy": branching_entropy, "lexicon_merge": lexicon_merge, "english_names": english_names}
 ORACLES = {
     "bigram_cohesion": f"with {_ROWS} select * from good",
     "branching_entropy": f"""with {_ROWS}, s as (select word, next, 'left' as side, coalesce(before, '') as beside from r join good using (word, next) union all select word, next, 'right', coalesce(after, '') from r join good using (word, next)),
