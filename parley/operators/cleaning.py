@@ -27,7 +27,7 @@ DATA_URI = r"data:[a-zA-Z0-9.+/-]+;base64,[A-Za-z0-9+/=]+"
 BASE64_WORD = r"[A-Za-z0-9+/]{120,}={0,2}"
 STYLE_SCRIPT = r"(?is)<(?:style|script)\b.*?(?:</(?:style|script)\s*>|$)"
 CUSTOM_EMPTY = rf"(?i)<(?!/|(?:{_ANY_HTML})\b)[a-z_][\w:-]*[^<>]*/>"
-CUSTOM_PAIR = rf"(?is)<(?!(?:{_ANY_HTML})\b)([a-z_][\w:-]*)\b[^<>]*>(?:(?!<\1\b).)*?</\1\s*>"
+CUSTOM_PAIR = rf"(?is)<(?!(?:{_ANY_HTML})\b)([a-z_][\w:-]*)\b[^<>]*>[^<]*+(?:<(?!/?\1\b)[^<]*+)*+</\1\s*>"
 ORPHAN_CLOSE = rf"(?is)^.*</(?!(?:{_ANY_HTML})\b)[a-z_][\w:-]*\s*>"
 DANGLING_OPEN = rf"(?is)<(?!/|(?:{_ANY_HTML})\b)[a-z_][\w:-]*(?:\s[^<>]*)?>[^<]*"
 HTML_TAG = r"</?[\p{L}_:][^>]*>"

@@ -44,6 +44,13 @@ def test_clean(spark, text, want):
     assert " ".join(got.split(" ")).replace("  ", " ").strip() == want
 
 
+def test_clean_long_texts(spark):
+    words = "plain words go on " * 30000
+    assert one(spark, F.length(C.clean(F.col("t"))), t=f"a <panel>{words}</panel> b") <= 4
+    assert one(spark, F.length(C.clean(F.col("t"))), t=f"a <panel>{'<i>x</i> ' * 300}</panel> b") <= 4
+    assert one(spark, F.length(C.clean(F.col("t"))), t=words + "[" * 20000) > len(words)
+
+
 def test_runs_keep_short_ones(spark):
     assert one(spark, C.without_runs(F.col("t"), C.is_panel, 3), t="a 1\nb 2\nx\na 1\nb 2\nc 3\n") == "a 1\nb 2\nx\n"
 
