@@ -11,8 +11,8 @@ for one level x, which a running sum over the sources in order of cap * size / w
 Coins. A coin is the first 32 bits of md5(seed:doc_id). Each of `seeds` seeds is tried in the same aggregation, and each
 source uses the one that takes it closest to its target, so a source of few, uneven documents comes near it as well.
 
-Only one row for each source and seed is shuffled, whatever share of the rows one source holds. The table of sources is joined
-back by source; Spark picks a broadcast when that table is below its threshold.
+Only one row for each source and seed is shuffled, whatever share of the rows one source holds. The table of sources is
+written first, so that Spark knows its size when it is joined back: below the threshold it is broadcast, and no text moves.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own; repeated
 rows each count, and share their coin; an empty table gives no rows; other columns are ignored.
@@ -90,7 +90,7 @@ def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame:
     """Every row of docs with size, source_size, target, copies and taken."""
     narrow = stored(sized(docs).select("source", "doc_id", "size"), "sizes")
-    return apply_plan(sized(docs), plan(narrow, seeds, cap))
+    return apply_plan(sized(docs), stored(plan(narrow, seeds, cap), "plan"))
 
 
 def mixed_rows(docs: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame:
@@ -102,7 +102,7 @@ def mixed_rows(docs: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = stored(sized(table(spark, sf_dir, "documents")).select("source", "doc_id", "size"), "sizes")
-    return apply_plan(narrow, plan(narrow)).select("doc_id", "size", "source_size", "target", "taken")
+    return apply_plan(narrow, stored(plan(narrow), "plan")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def sql(docs: str = "documents", seeds: int = SEEDS, cap: int = CAP) -> str:
