@@ -10,6 +10,7 @@ for one level x, which a running sum over the sources in order of cap * size / w
 
 Coins. A coin is the first 32 bits of md5(seed:doc_id). Each of `seeds` seeds is tried in the same aggregation, and each
 source uses the one that takes it closest to its target, so a source of few, uneven documents comes near it as well.
+A row without doc_id has the md5 of its text, after a colon, in place of the doc_id.
 
 Only one row for each source and seed is shuffled, whatever share of the rows one source holds. The table of sources is
 written first, so that Spark knows its size when it is joined back: below the threshold it is broadcast, and no text moves.
@@ -62,16 +63,22 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
+    """docs with size and with text_key, which stands in for a null doc_id and is null otherwise."""
+    text_key = F.when(F.col("doc_id").isNull(), F.concat(F.lit(":"), F.md5(whole_text())))
+    return docs.withColumn("size", F.regexp_count(whole_text(), F.lit(WORD)).cast("long")).withColumn("text_key", text_key)
+
+
+def coin_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.col("text_key"))
 
 
 def plan(narrow: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame:
-    """source, doc_id, size -> for each source: goal_source, source_size, target, whole, part, seed."""
+    """source, doc_id, text_key, size -> for each source: goal_source, source_size, target, whole, part, seed."""
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.select(F.col("source").alias("goal_source"), "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
     tossed = narrow.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
-    taken = [F.sum(F.col("size") * (F.col("whole") + (coin(F.lit(str(s)), F.col("doc_id")) < F.col("part")).cast("long"))) for s in range(seeds)]
+    taken = [F.sum(F.col("size") * (F.col("whole") + (coin(F.lit(str(s)), coin_key()) < F.col("part")).cast("long"))) for s in range(seeds)]
     tried = tossed.groupBy("goal_source").agg(
         *[F.first(c).alias(c) for c in ("source_size", "target", "whole", "part")], *[t.alias(f"t{s}") for s, t in enumerate(taken)]
     )
@@ -80,16 +87,16 @@ def plan(narrow: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame:
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs with `size` -> every row with source_size, target, copies and taken."""
+    """docs as `sized` gives them -> every row with source_size, target, copies and taken."""
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("goal_source")), "left")
-    copies = (F.col("whole") + (coin(F.col("seed").cast("string"), F.col("doc_id")) < F.col("part")).cast("long")).cast("long")
+    copies = (F.col("whole") + (coin(F.col("seed").cast("string"), coin_key()) < F.col("part")).cast("long")).cast("long")
     out = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("goal_source", "whole", "part", "seed")
+    return out.drop("goal_source", "whole", "part", "seed", "text_key")
 
 
 def mix(docs: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame:
     """Every row of docs with size, source_size, target, copies and taken."""
-    narrow = stored(sized(docs).select("source", "doc_id", "size"), "sizes")
+    narrow = stored(sized(docs).select("source", "doc_id", "text_key", "size"), "sizes")
     return apply_plan(sized(docs), stored(plan(narrow, seeds, cap), "plan"))
 
 
@@ -101,7 +108,7 @@ def mixed_rows(docs: DataFrame, seeds: int = SEEDS, cap: int = CAP) -> DataFrame
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    narrow = stored(sized(table(spark, sf_dir, "documents")).select("source", "doc_id", "size"), "sizes")
+    narrow = stored(sized(table(spark, sf_dir, "documents")).select("source", "doc_id", "text_key", "size"), "sizes")
     return apply_plan(narrow, stored(plan(narrow), "plan")).select("doc_id", "size", "source_size", "target", "taken")
 
 

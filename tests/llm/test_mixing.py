@@ -43,3 +43,14 @@ def test_clashing_column_names(spark):
     docs = spark.createDataFrame([(1, "s", "a b", 5.0, "x"), (2, "s", "c", 5.0, "x")], "doc_id long, source string, text string, target double, size string")
     out = mixing.mixed_rows(docs)
     assert out.columns == docs.columns and {(r["target"], r["size"]) for r in out.collect()} == {(5.0, "x")}
+
+
+def test_null_ids_are_dealt(spark):
+    rows = [(None, "a", f"some words {k}") for k in range(60)] + [(k, "b", f"other words {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 80 and all(r["copies"] is not None and r["taken"] == r["copies"] * r["size"] for r in got)
+    taken = sum(r["taken"] for r in got if r["source"] == "a")
+    assert abs(taken - next(r["target"] for r in got if r["source"] == "a")) <= 9
+    assert mixing.mixed_rows(docs).where("source = 'a'").count() == sum(r["copies"] for r in got if r["source"] == "a")
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
