@@ -3,20 +3,18 @@
 A window is WINDOW consecutive words of one document. A word is removed if it lies in a window whose words also start in
 a document with a smaller id. Documents arrive in batches of rising id.
 
-Fingerprints. Of the GRAM-word runs inside a window the one with the least hash is its anchor; equal windows have equal
-anchors, and neighbouring windows mostly share theirs, so a document has far fewer anchors than windows. A run of the
-index holds the (anchor, key) pairs of one batch, key being the hash of a whole text, dealt into buckets and sorted by
-anchor, and never changes.
+A run of the index holds what later batches need to be verified against one batch, and never changes: the 64-bit digest
+of each window (over the words' own 64-bit digests) with its document, dealt into buckets and sorted by digest, and the
+hash of each whole text with its first document.
 
-A batch meets the index in three steps. Its anchors are merge-joined with all runs: as every run is bucketed and
-sorted alike, neither side is shuffled. Anchors that two different texts hold are candidates.
-Then the windows of the candidates are verified: their 64-bit digests (over the words' own 64-bit digests) are
-grouped, and the least document of each is found. At last runs of like size are merged into one, so the number of runs
-stays logarithmic in the number of batches.
+A batch is added as a run, and is hash-joined with each run before it, which gives the least document of each of its
+windows. As every run is bucketed alike, only the batch itself is shuffled, and the runs stay where they are. Its documents are
+cut at once. Then runs of like size are merged into one, which keeps one row for each window, so the number of runs stays
+logarithmic in the number of batches. An index that is given is used with all it holds, and holds the new documents after.
+What was cut is not cut again: a document that arrives late, with an id below those of the history, changes no earlier result.
 
-An exact copy needs no verification: all its windows start in the first copy. Copies have one key, so their anchors are
-no candidates, and a hot group of copies costs its ids alone. A very frequent window is one group of pairs,
-pre-aggregated to its least document before it is shuffled.
+An exact copy needs no windows: all of them start in the first document with that text, of this batch or of the history. So
+a hot group of copies costs its ids alone, and runs hold distinct texts.
 
 Defined results: a null or empty text has no words; documents of fewer than WINDOW words lose nothing; several rows with
 one doc_id are judged as that document each, and are no copies of one another; an empty table gives no rows; other columns are
@@ -36,31 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import WORD, release, stored, table, whole_text, with_least
-from parley.llm.words import Words, mixed, signed, slices, windows
+from parley.llm.words import Words, signed, slices, windows
 
 WINDOW = 13
-GRAM = 5
-BATCHES = 2
-#: Anchors need not be unique, as windows are verified; 40 bits make the runs smaller.
-ANCHOR_BITS = np.uint64(40)
-
-
-def anchors_of_windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of each text: the index of its first word, its anchor and its digest."""
-    h = words.hashes()
-    digest, first = windows(h, words.word_at, WINDOW)
-    if not len(first):
-        return first, np.zeros(0, np.uint64), digest
-    gram = mixed(windows(h, np.array([0, len(h)]), GRAM)[0] ^ np.uint64(0x5851F42D4C957F2D)) >> (np.uint64(64) - ANCHOR_BITS)
-    width = WINDOW - GRAM + 1
-    # the least of `width` neighbours, by doubling
-    least, span = gram, 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    return first, least[first], digest
+#: More than the fan of an index, so that runs are merged within the query.
+BATCHES = 5
 
 
 def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
@@ -75,22 +53,22 @@ def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key, text -> anchor, key: the distinct anchors of each text."""
+    """doc_id, text -> digest, doc_id: the distinct windows of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in slices(batch):
-                first, anchor, _ = anchors_of_windows(words)
+                digest, first = windows(words.hashes(), words.word_at, WINDOW)
                 text = np.searchsorted(words.word_at, first, "right") - 1
-                anchor, text = _distinct(anchor, text)
-                keys = np.asarray(part.column(part.schema.get_field_index("key")))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(keys[text])], names=["anchor", "key"])
+                digest, text = _distinct(digest, text)
+                ids = np.asarray(part.column(part.schema.get_field_index("doc_id")))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(digest)), pa.array(ids[text])], names=["digest", "doc_id"])
 
-    return docs.where("doc_id is not null").select("key", "text").mapInArrow(rows, "anchor long, key long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "digest long, doc_id long")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, key), as bucketed tables in the warehouse, which all executors share."""
+    """Sorted immutable runs of (digest, doc_id) and (key, first), as tables in the warehouse, which all executors share."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, fan: int = 4):
         self.spark, self.fan = spark, fan
@@ -99,33 +77,41 @@ class FingerprintIndex:
         self.runs: list[tuple[str, int]] = []  # table, level
         self.made = 0
 
-    def _write(self, pairs: DataFrame, level: int) -> None:
+    def _write(self, pairs: DataFrame, firsts: DataFrame, level: int) -> None:
         run = f"{self.name}_{self.made}"
         self.made += 1
-        one_file_a_bucket = pairs.repartition(self.buckets, "anchor")
-        one_file_a_bucket.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(run)
+        pairs.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(run)
+        firsts.write.format("parquet").option("compression", "zstd").saveAsTable(f"{run}_keys")
         self.runs.append((run, level))
 
-    def append(self, pairs: DataFrame) -> DataFrame:
-        """Adds a run of a batch's pairs, and gives it back as it is stored."""
-        self._write(pairs, 0)
-        return self.spark.table(self.runs[-1][0])
-
-    def pairs(self) -> DataFrame | None:
-        """The pairs of all runs."""
-        tables = [self.spark.table(run) for run, _ in self.runs]
-        return reduce(DataFrame.unionAll, tables) if tables else None
-
-    def shared(self, batch: DataFrame) -> DataFrame:
-        """anchor: those of the batch that two different texts hold, of the batch or of the history before it."""
-        least = (F.min("key").alias("least"), F.max("key").alias("greatest"))
-        within = batch.groupBy("anchor").agg(*least)
-        parts = [within.where("least < greatest").select("anchor")]
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"drop table if exists {run}")
+        self.spark.sql(f"drop table if exists {run}_keys")
+
+    def _tables(self, runs: list[str], suffix: str = "") -> DataFrame:
+        return reduce(DataFrame.unionAll, [self.spark.table(run + suffix) for run in runs])
+
+    def append(self, pairs: DataFrame, firsts: DataFrame) -> None:
+        """Adds a run of a batch's pairs and first documents."""
+        self._write(pairs.repartition(self.buckets, "digest"), firsts, 0)  # one file a bucket
+
+    def firsts(self) -> DataFrame | None:
+        """key, first of all runs."""
+        return self._tables([run for run, _ in self.runs], "_keys") if self.runs else None
+
+    def hits(self) -> DataFrame:
+        """doc_id, hits: of each document of the last run the digests of its windows that start in a smaller document, of
+        that run or of any before it."""
+        batch = self.spark.table(self.runs[-1][0])
+        within = batch.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        parts = [stored(within.where("least < most").select("digest", "least"), "least")]
         for run, _ in self.runs[:-1]:
-            before = self.spark.table(run).groupBy("anchor").agg(F.min("key").alias("least_before"), F.max("key").alias("greatest_before"))
-            met = within.hint("merge").join(before.hint("merge"), "anchor")
-            parts.append(met.where("least(least, least_before) < greatest(greatest, greatest_before)").select("anchor"))
-        return reduce(DataFrame.unionAll, parts).distinct()
+            before = self.spark.table(run).withColumnRenamed("doc_id", "before")
+            met = before.join(within.hint("shuffle_hash"), "digest").where("before < most")
+            parts.append(stored(met.select("digest", F.least("least", "before").alias("least")), "least"))
+        least = reduce(DataFrame.unionAll, parts).groupBy("digest").agg(F.min("least").alias("least"))
+        met = batch.join(least, "digest").where("doc_id > least")
+        return met.groupBy("doc_id").agg(F.collect_set("digest").alias("hits"))
 
     def compact(self) -> None:
         """Merges runs of one level, once there are `fan` of them, into one of the next level."""
@@ -137,46 +123,33 @@ class FingerprintIndex:
             if full is None:
                 return
             level, merged = full
-            self._write(reduce(DataFrame.unionAll, [self.spark.table(run) for run in merged]), level + 1)
-            self.runs = [x for x in self.runs if x[0] not in merged]
-            for run in merged:
-                self.spark.sql(f"drop table {run}")
+            while len(merged) > 1:
+                one, two, *merged = merged
+                self._write(self._joined(one, two), self._tables([one, two], "_keys").groupBy("key").agg(F.min("first").alias("first")), level + 1)
+                self.runs = [x for x in self.runs if x[0] not in (one, two)]
+                self._drop(one)
+                self._drop(two)
+                if merged:
+                    merged = [self.runs[-1][0], *merged]
+
+    def _joined(self, one: str, two: str) -> DataFrame:
+        """digest, doc_id: each window of two runs once. A merge join keeps their buckets in place, which a union does not."""
+        a, b = (self.spark.table(run).groupBy("digest").agg(F.min("doc_id").alias(name)).hint("merge") for run, name in ((one, "a"), (two, "b")))
+        return a.join(b, "digest", "full").select("digest", F.least("a", "b").alias("doc_id"))
 
     def drop(self) -> None:
         for run, _ in self.runs:
-            self.spark.sql(f"drop table if exists {run}")
+            self._drop(run)
         self.runs = []
 
 
-def candidate_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, doc_id: the windows of docs whose anchor their document has in wanted (doc_id, anchors), each once."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchors = batch.column(batch.schema.get_field_index("anchors"))
-            for part, words in slices(batch.append_column("row", pa.array(np.arange(batch.num_rows)))):
-                first, anchor, digest = anchors_of_windows(words)
-                text = np.searchsorted(words.word_at, first, "right") - 1
-                rows_of = np.asarray(part.column(part.schema.get_field_index("row")))
-                keep = np.zeros(len(first), bool)
-                for k, row in enumerate(rows_of.tolist()):
-                    a, b = np.searchsorted(text, [k, k + 1])
-                    keep[a:b] = np.isin(anchor[a:b].view(np.int64), np.asarray(anchors[row].values))
-                digest, text = _distinct(digest[keep], text[keep])
-                ids = np.asarray(part.column(part.schema.get_field_index("doc_id")))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(digest)), pa.array(ids[text])], names=["digest", "doc_id"])
-
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(rows, "digest long, doc_id long")
-
-
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _kept(part: pa.RecordBatch, words: Words, hits: list) -> pa.RecordBatch:
     """The result rows of a slice: hits[k] are the digests of the windows of text k that start in a smaller document,
     None where the text is a copy of one, all of whose windows do."""
-    _, _, digest = anchors_of_windows(words)
-    _, first = windows(words.hashes(), words.word_at, WINDOW)
+    digest, first = windows(words.hashes(), words.word_at, WINDOW)
     text = np.searchsorted(words.word_at, first, "right") - 1
     n_words, removed, shas = words.count.astype(np.int64), np.zeros(len(words.count), np.int64), []
     for k, hit in enumerate(hits):
@@ -195,43 +168,8 @@ def _kept(part: pa.RecordBatch, words: Words, hits: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(removed), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row of docs, taken into the index in `batches` batches by doc_id."""
-    spark = docs.sparkSession
-    own = index is None
-    index = index or FingerprintIndex(spark)
-    docs = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("key"))
-    # copies of whole texts: of each text only the first document counts
-    ids = docs.select("doc_id", "key").where("doc_id is not null")
-    firsts = ids.groupBy("key").agg(F.min("doc_id").alias("first"))
-    copies = with_least(ids, "key", "doc_id", "first").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copy_keys"))
-    bounds = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    if bounds["a"] is None:
-        batches = 1
-    cuts = [bounds["a"] + (bounds["b"] - bounds["a"] + 1) * k // batches for k in range(1, batches)] if batches > 1 else []
-    shared = None
-    for k in range(batches):
-        part = docs
-        if k:
-            part = part.where(F.col("doc_id") >= cuts[k - 1])
-        if k < len(cuts):
-            part = part.where(F.col("doc_id") < cuts[k])
-        batch = index.append(fingerprints(part))
-        release(spark)
-        found = stored(index.shared(batch), "shared")
-        shared = found if shared is None else shared.unionAll(found)
-    # verification: all texts that hold a shared anchor, of this batch or before
-    of_text = index.pairs().join(shared.distinct(), "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = stored(of_text.join(firsts, "key").select(F.col("first").alias("doc_id"), "anchors"), "wanted")
-    release(spark)
-    wanted = wanted.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
-    every = stored(candidate_windows(docs, wanted), "windows")
-    release(spark)
-    least = every.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
-    hits = every.join(least, "digest").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("digest").alias("hits"))
-    marks = stored(hits.join(copies, "doc_id", "full"), "marks")
-    index.compact()
-    release(spark)
+def _cut(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The result rows of docs (doc_id, text, copied) by their hits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,13 +180,54 @@ def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | N
                 found = part.column(place)
                 yield _kept(part, words, [None if c else (np.asarray(found[k].values) if found[k].is_valid else ()) for k, c in enumerate(flags)])
 
-    joined = docs.join(marks, "doc_id", "left")
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "hits", "copied").mapInArrow(rows, KEPT)
+
+
+def _arrived(part: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """The result rows of one batch (doc_id, text, key), which is added to the index."""
+    spark = part.sparkSession
+    # copies of whole texts: of each text only the first document counts
+    ids = part.select("doc_id", "key").where("doc_id is not null")
+    known = ids.select("doc_id", "key", F.lit(False).alias("past"))
+    past = index.firsts()
+    if past is not None:
+        known = known.unionAll(past.select(F.col("first").alias("doc_id"), "key", F.lit(True)))
+    copies = with_least(known, "key", "doc_id", "first").where("not past and doc_id > first")
+    copies = stored(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copy_keys")), "copies")
     copied = F.coalesce(F.array_contains("copy_keys", F.col("key")), F.lit(False))
-    out = joined.select("doc_id", whole_text().alias("text"), "hits", copied.alias("copied")).mapInArrow(rows, KEPT)
+    docs = part.join(copies, "doc_id", "left").select("doc_id", whole_text().alias("text"), copied.alias("copied"))
+    index.append(fingerprints(docs.where("not copied")), ids.groupBy("key").agg(F.min("doc_id").alias("first")))
+    release(spark)
+    marks = stored(index.hits(), "marks")
+    release(spark)
+    out = stored(_cut(docs, marks), "kept")
+    release(spark)
+    index.compact()
+    return out
+
+
+def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row of docs, taken into the index in `batches` batches by doc_id.
+    Documents that the index holds from earlier calls count as well."""
+    own = index is None
+    index = index or FingerprintIndex(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("key"))
+    bounds = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    if bounds["a"] is None:
+        batches = 1
+    cuts = [bounds["a"] + (bounds["b"] - bounds["a"] + 1) * k // batches for k in range(1, batches)]
+    parts = []
+    for k in range(batches):
+        part = docs
+        if k:
+            part = part.where(F.col("doc_id") >= cuts[k - 1])
+        if k < len(cuts):
+            here = F.col("doc_id") < cuts[k]
+            part = part.where(here if k else here | F.col("doc_id").isNull())
+        parts.append(_arrived(part, index))
     if own:
-        out = stored(out, "kept")
         index.drop()
-    return out
+    return reduce(DataFrame.unionAll, parts)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,33 @@ def test_equals_brute_force_in_any_number_of_batches(spark):
         index.drop()
 
 
+def test_later_calls_see_the_history(spark):
+    rows = made(5)
+    ids = sorted({r[0] for r in rows})
+    index = s.FingerprintIndex(spark, buckets=3, fan=2)
+    got = []
+    for k in range(3):  # disjoint documents of rising id; the last part holds copies of texts of the first
+        low, high = ids[len(ids) * k // 3], ids[len(ids) * (k + 1) // 3 - 1]
+        docs = spark.createDataFrame([r for r in rows if low <= r[0] <= high], "doc_id long, text string")
+        got += [tuple(r) for r in s.removed(docs, 1 + k % 2, index).collect()]
+    assert sorted(got) == brute(rows)
+    assert any(i >= 1000 and n == gone > 12 for i, n, gone, _ in got)
+    index.drop()
+
+
+def test_the_query_merges_runs_and_keeps_null_ids(spark, monkeypatch):
+    merged = []
+    write = s.FingerprintIndex._write
+    monkeypatch.setattr(s.FingerprintIndex, "_write", lambda self, a, b, level: (merged.append(level), write(self, a, b, level))[1])
+    rows = made(7)
+    docs = spark.createDataFrame([*rows, (None, rows[5][1])], "doc_id long, text string")
+    got = [tuple(r) for r in s.removed(docs).collect()]
+    assert max(merged) >= 1
+    n, text = len(re.findall(r"[^\x20\x09-\x0D]+", rows[5][1])), " ".join(re.findall(r"[^\x20\x09-\x0D]+", rows[5][1]))
+    assert [r for r in got if r[0] is None] == [(None, n, 0, hashlib.sha256(text.encode()).hexdigest())]
+    assert sorted(r for r in got if r[0] is not None) == brute(rows)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.removed(docs).count() == 0
