@@ -10,8 +10,9 @@ The field reads every token that has anything but letters (a mark at its end asi
 letters alone is never personal data. All of that goes on inside Arrow batches: nothing is shuffled, and a task holds
 one slice of a batch.
 
-Defined results: a null or empty text has no spans; repeated rows repeat; an empty table gives no rows; other columns
-are ignored by `find` and pass through `redact`.
+Defined results: a null or empty text has no spans; a row without doc_id is judged like any other; repeated rows repeat;
+an empty table gives no rows; other columns are ignored by `find` and pass through `redact`. Every pattern and test is
+linear in the text, so runs of any length (digits, marks, one endless token) are judged whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ LABELS = ("", *KINDS, "secret")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match within a run of digits would end where that run does
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -69,7 +70,8 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     while m := _IP.search(text, at):
         at = m.end()
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        parts = (x.lstrip("0") for x in m[0].split("."))  # int() refuses very long numbers
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
             yield m.span()
 
 
@@ -235,11 +237,30 @@ def trained() -> crf.Chain:
     return crf.train(seen.features, label[seen.token], seen.at, N_FEATURES, len(LABELS), rounds=150, rate=0.5, l2=1e-5)
 
 
-# What a span of each label must hold to be added.
-_NEEDS = tuple(
-    re.compile(x)
-    for x in (r"\Z.", r"@|[\[(]at[\])]", r"(?:[0-9a-fA-F]*[.:]){3}[0-9a-fA-F]", r"(?:[0-9][ -]?){12}", r"(?:[0-9][().\x20-]*){7}", r"[=:_].*\w{8}|(?=\w*[0-9])\w{16}")
-)
+_AT = re.compile(r"@|[\[(]at[\])]")
+_PARTS = re.compile(r"[0-9a-fA-F]{0,5}[.:][0-9a-fA-F]{0,5}[.:][0-9a-fA-F]{0,5}[.:][0-9a-fA-F]")
+_ASSIGNED = re.compile(r"[=:_]")
+_LONG = re.compile(r"\w{8}")
+_KEY = re.compile(r"\w{16,}")
+
+
+def plausible(label: int, shown: str) -> bool:
+    """What a span of a label must hold to be added. Each test is linear in the span."""
+    digits = "".join(c for c in shown if "0" <= c <= "9")
+    if label == 1:
+        return bool(_AT.search(shown))
+    if label == 2:
+        return bool(_PARTS.search(shown))
+    if label == 3:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if label == 4:
+        return 7 <= len(digits) <= 15
+    assigned = _ASSIGNED.search(shown)
+    if assigned and _LONG.search(shown, assigned.end()):
+        return True
+    return any(any("0" <= c <= "9" for c in m[0]) for m in _KEY.finditer(shown))
+
+
 _OUTER = b"\"'`()[]{}<>,;:!?.=#$%&*"
 
 
@@ -268,7 +289,7 @@ def added_spans(model: crf.Chain, words: Words) -> list[list[tuple[int, int, int
         raw = words.data[start:end].tobytes()
         inner = raw.strip(_OUTER) if label[first] != 4 else raw.rstrip(_OUTER).lstrip(_OUTER.replace(b"(", b""))
         shown = inner.decode("utf-8", "replace")
-        if not _NEEDS[label[first]].search(shown) or label[first] == 3 and not luhn("".join(c for c in shown if "0" <= c <= "9")):
+        if not plausible(int(label[first]), shown):
             continue
         start += raw.index(inner)
         base = int(points[words.text_at[text]]) - 1

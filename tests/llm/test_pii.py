@@ -33,8 +33,17 @@ def test_patterns_on_real_data(spark):
 
 
 def test_long_runs_are_linear():
-    for text in ("a" * 200000, "1" * 200000, "a@" * 50000, "+1 " * 50000, "1." * 50000, "a@" + "b" * 100000):
+    for text in ("a" * 200000, "1" * 200000, "a@" * 50000, "+1 " * 50000, "1." * 50000, "a@" + "b" * 100000, "1" * 5000 + ".1.1.1 " + "7" * 2000000):
         assert len(pii.base_spans(text)) < 60000
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == brute("0.1.1.1")[:0] + [(0, 1, 5006)]
+    for text in ("a" + "=" * 400000 + "a", "a_" + "b" * 400000, "=_" * 200000 + "x"):
+        assert pii.plausible(5, text) in (True, False)
+
+
+def test_very_long_tokens_are_judged_whole(spark):
+    texts = ["0" * 5000 + ".1.1.1", "9" * 100000, "=_" * 100000, "+1 " + "2" * 30000, "a." * 60000 + "@b.cd"]
+    got = pii.find(spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "a@b.cd")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_email"], r["n_ip"]) for r in got} == {0: (0, 1), 1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0), None: (1, 0)}
 
 
 def test_the_field_finds_what_the_patterns_miss(spark):
