@@ -2,13 +2,16 @@
 
 `mux` stores a payload as 8-bit PCM samples in a file of nested boxes: ftyp, moov (mvhd, trak with its sample tables) and
 mdat. `walk` reads the nested boxes of any such file, with 64-bit and to-the-end sizes, and `tracks` decodes the sample
-tables (stsd, stts, stsz, stsc, stco or co64, stss, and the runs of movie fragments) to codec, duration and the byte
-ranges of samples and keyframes. Only table bytes are read for that; `payload` joins the stored byte ranges.
+tables (stsd, stts, stsz, stsc, stco or co64, stss, and the runs of movie fragments with their defaults) to codec, duration and
+the byte ranges of samples and keyframes, of every track. Only table bytes are read for that; `payload` joins the stored byte
+ranges.
 
-Every row is treated on its own inside Arrow batches: nothing is shuffled, and a task holds one batch.
+Every row is treated on its own inside Arrow batches: nothing is shuffled, and a task holds one batch. A file has no more
+samples than bytes; tables that claim more are broken, so that what a task holds is bounded by what it read.
 
-Defined results: null or empty content has no track (codec null); a broken file gives what was whole before the
-break, with `broken` set; other columns pass through; repeated rows repeat; an empty table gives no rows.
+Defined results: null or empty content has no track (an empty array); a broken file gives what was whole before the break,
+with `broken` set; other columns pass through, and one named `tracks` or `broken` is refused with an error; repeated rows
+repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,11 +86,15 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = RATE, key_every: int = 1
     return ftyp + moov(before) + box(b"mdat", payload)
 
 
-def walk(data: memoryview | bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: memoryview | bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """The path, body start and body end of each box, those inside containers included. ValueError at a broken box."""
-    end = len(data) if end is None else end
-    at = start
-    while at < end:
+    open_boxes: list[tuple[tuple[bytes, ...], int]] = [((), len(data))]  # path and end of each box that is not over
+    at = 0
+    while open_boxes:
+        path, end = open_boxes[-1]
+        if at >= end:
+            open_boxes.pop()
+            continue
         if at + 8 > end:
             raise ValueError(f"{end - at} stray bytes at {at}")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -99,41 +107,77 @@ def walk(data: memoryview | bytes, start: int = 0, end: int | None = None, path:
             size = end - at
         if size < head or at + size > end:
             raise ValueError(f"box {kind!r} at {at} ends at {at + size} of {end}")
-        yield (*path, kind), at + head, at + size
+        inner = (*path[-7:], kind)  # no meaning depends on more boxes around one
+        yield inner, at + head, at + size
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, (*path, kind))
-        at += size
+            open_boxes.append((inner, at + size))
+            at += head
+        else:
+            at += size
+
+
+class Fields:
+    """The fields of one box, read in order; ValueError past its end."""
+
+    def __init__(self, data: memoryview | bytes, at: int, end: int):
+        self.data, self.at, self.end = data, at, end
+
+    def read(self, form: str) -> tuple[int, ...]:
+        size = struct.calcsize(f">{form}")
+        if self.at + size > self.end:
+            raise ValueError("a box ends within a field")
+        found = struct.unpack_from(f">{form}", self.data, self.at)
+        self.at += size
+        return found
 
+    def one(self, form: str) -> int:
+        return self.read(form)[0]
 
-def _words(data, at: int, end: int, form: str, count: int) -> tuple[int, ...]:
-    size = struct.calcsize(f">{form}")
-    if count < 0 or at + size * count > end:
-        raise ValueError("a table is longer than its box")
-    return struct.unpack_from(f">{form * count}", data, at)
+    def rows(self, form: str, count: int) -> list[tuple[int, ...]]:
+        """`count` rows of a table that must fit into the box."""
+        size = struct.calcsize(f">{form}") * count
+        if self.at + size > self.end:
+            raise ValueError("a table is longer than its box")
+        found = list(struct.iter_unpack(f">{form}", self.data[self.at : self.at + size]))
+        self.at += size
+        return found
 
+    def name(self) -> str:
+        return self.one("4s").decode("latin-1")
 
+
+@dataclass
 class Track:
     """What the tables of one track say."""
 
-    def __init__(self):
-        self.track_id, self.codec, self.handler, self.timescale, self.duration = 0, None, None, 0, 0
-        self.deltas, self.sizes, self.chunks, self.chunk_runs, self.keys = [], [], [], [], None
-        self.extra: list[tuple[int, int, bool]] = []
+    track_id: int = 0
+    codec: str | None = None
+    handler: str | None = None
+    timescale: int = 0
+    duration: int = 0
+    deltas: list[tuple[int, int]] = field(default_factory=list)
+    size: int = 0  # of all samples, where they are of one size
+    n_sizes: int = 0
+    sizes: list[int] = field(default_factory=list)
+    chunks: list[int] = field(default_factory=list)
+    chunk_runs: list[tuple[int, int, int]] = field(default_factory=list)
+    keys: list[int] | None = None
+    fragments: list[tuple[int, int, bool]] = field(default_factory=list)
 
     def samples(self) -> list[tuple[int, int, bool]]:
         """Offset, size and whether it is a keyframe, of each sample in order."""
-        out, k = [], 0
+        out: list[tuple[int, int, bool]] = []
         keys = None if self.keys is None else set(self.keys)
         for j, (first, per, _) in enumerate(self.chunk_runs):
             last = self.chunk_runs[j + 1][0] - 1 if j + 1 < len(self.chunk_runs) else len(self.chunks)
-            for chunk in range(first, last + 1):
-                if chunk < 1 or chunk > len(self.chunks):
-                    raise ValueError("a run names a chunk that is not there")
-                at = self.chunks[chunk - 1]
-                for size in self.sizes[k : k + per]:
+            if not 1 <= first <= last <= len(self.chunks):
+                raise ValueError("a run names chunks that are not there or out of order")
+            for at in self.chunks[first - 1 : last]:
+                for k in range(len(out), min(len(out) + per, self.n_sizes)):
+                    size = self.size or self.sizes[k]
                     out.append((at, size, keys is None or k + 1 in keys))
-                    at, k = at + size, k + 1
-        return out + self.extra
+                    at += size
+        return out + self.fragments
 
     @property
     def seconds(self) -> float:
@@ -141,71 +185,126 @@ class Track:
         return units / self.timescale if self.timescale else 0.0
 
 
-def tracks(data: bytes) -> tuple[list[Track], str]:
-    """The tracks of a file, and what is broken about it (empty: nothing). mdat is skipped, not read."""
-    found: list[Track] = []
-    moof_at, fragment, default_size, default_flags = 0, None, 0, 0
-    try:
-        for path, at, end in walk(data):
-            kind = path[-1]
-            if kind == b"trak":
-                found.append(Track())
-            if kind == b"moof":
-                moof_at = at - 8
-            t = found[-1] if found else None
-            if kind == b"tfhd":
-                flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
-                track_id, p = struct.unpack_from(">I", data, at + 4)[0], at + 8
-                fragment = next((x for x in found if x.track_id == track_id), None)
-                p += 8 * bool(flags & 1) + 4 * bool(flags & 2) + 4 * bool(flags & 8)
-                default_size = default_flags = 0
-                if flags & 0x10:
-                    default_size, p = struct.unpack_from(">I", data, p)[0], p + 4
-                if flags & 0x20:
-                    default_flags = struct.unpack_from(">I", data, p)[0]
-            elif kind == b"trun" and fragment is not None:
-                flags, n = struct.unpack_from(">II", data, at)
-                p, where, first_flags = at + 8, moof_at, None
-                if flags & 1:
-                    where, p = moof_at + struct.unpack_from(">i", data, p)[0], p + 4
-                if flags & 4:
-                    first_flags, p = struct.unpack_from(">I", data, p)[0], p + 4
-                fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
-                rows = _words(data, p, end, "I", n * len(fields))
-                for j in range(n):
-                    row = dict(zip(fields, rows[j * len(fields) : (j + 1) * len(fields)], strict=True))
-                    size, flag = row.get(0x200, default_size), row.get(0x400, first_flags if j == 0 and first_flags is not None else default_flags)
-                    fragment.extra.append((where, size, not flag & 0x10000))
-                    fragment.deltas.append((1, row.get(0x100, 0)))
-                    where += size
-            elif t is None:
-                continue
-            elif kind == b"tkhd":
-                t.track_id = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
-            elif kind == b"mdhd":
-                t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-            elif kind == b"hdlr" and path[-2] == b"mdia":
-                t.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
-            elif kind == b"stsd":
-                t.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
-            elif kind == b"stts":
-                flat = _words(data, at + 8, end, "II", struct.unpack_from(">I", data, at + 4)[0])
-                t.deltas = list(zip(flat[::2], flat[1::2], strict=True))
+@dataclass
+class Defaults:
+    """What holds for the samples of a track fragment where its runs do not say."""
+
+    duration: int = 0
+    size: int = 0
+    flags: int = 0
+
+
+class Reader:
+    """The tracks of a file, box by box."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, []
+        self.track: Track | None = None  # the one whose boxes come now
+        self.extends: dict[int, Defaults] = {}  # of all fragments of a track
+        self.moof = self.base = 0  # where the fragment begins, and what its runs' offsets count from
+        self.into: Track | None = None  # the track that a fragment adds to
+        self.usual = Defaults()
+        self.next: int | None = None  # where a run begins that states no offset
+        self.held = 0  # samples so far
+
+    def read(self) -> str:
+        """What is broken (empty: nothing)."""
+        try:
+            for path, at, end in walk(self.data):
+                kind, box_of = path[-1], Fields(self.data, at, end)
+                if kind == b"trak":
+                    self.track = Track()
+                    self.found.append(self.track)
+                elif kind == b"moof":
+                    self.moof, self.track, self.next = at - (8 if self.data[at - 4 : at] == kind else 16), None, None
+                elif kind == b"trex":
+                    _, track_id, _, *usual = box_of.read("6I")
+                    self.extends[track_id] = Defaults(*usual)
+                elif kind == b"tfhd":
+                    self.fragment(box_of)
+                elif kind == b"trun":
+                    self.run(box_of)
+                elif self.track is not None and b"trak" in path:
+                    self.table(self.track, path, box_of)
+        except (ValueError, struct.error) as e:
+            return str(e)
+        return ""
+
+    def _hold(self, n: int) -> None:
+        self.held += n
+        if self.held > len(self.data):
+            raise ValueError("more samples than bytes")
+
+    def table(self, t: Track, path: tuple[bytes, ...], box_of: Fields) -> None:
+        kind = path[-1]
+        if kind == b"tkhd":
+            version = box_of.one("I") >> 24
+            t.track_id = box_of.read("QQI" if version else "III")[2]
+        elif kind == b"mdhd":
+            version = box_of.one("I") >> 24
+            _, _, t.timescale, t.duration = box_of.read("QQIQ" if version else "IIII")
+        elif kind == b"hdlr" and path[-2] == b"mdia":
+            box_of.read("II")
+            t.handler = box_of.name()
+        elif kind == b"stsd":
+            box_of.read("III")
+            t.codec = box_of.name()
+        elif kind == b"stsz":
+            _, t.size, n = box_of.read("III")
+            self._hold(n)
+            if not t.size:
+                t.sizes = [x for (x,) in box_of.rows("I", n)]
+            t.n_sizes = n
+        elif kind in (b"stts", b"stsc", b"stco", b"co64", b"stss"):
+            _, n = box_of.read("II")
+            rows = box_of.rows({b"stts": "II", b"stsc": "III", b"co64": "Q"}.get(kind, "I"), n)
+            if kind == b"stts":
+                t.deltas = rows
             elif kind == b"stsc":
-                flat = _words(data, at + 8, end, "III", struct.unpack_from(">I", data, at + 4)[0])
-                t.chunk_runs = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
-            elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", data, at + 4)
-                if size and n > len(data):
-                    raise ValueError("more samples than bytes")
-                t.sizes = [size] * n if size else list(_words(data, at + 12, end, "I", n))
-            elif kind in (b"stco", b"co64"):
-                t.chunks = list(_words(data, at + 8, end, "I" if kind == b"stco" else "Q", struct.unpack_from(">I", data, at + 4)[0]))
+                t.chunk_runs = rows
             elif kind == b"stss":
-                t.keys = list(_words(data, at + 8, end, "I", struct.unpack_from(">I", data, at + 4)[0]))
-    except (ValueError, struct.error) as e:
-        return found, str(e)
-    return found, ""
+                t.keys = [x for (x,) in rows]
+            else:
+                t.chunks = [x for (x,) in rows]
+
+    def fragment(self, box_of: Fields) -> None:
+        flags = box_of.one("I") & 0xFFFFFF
+        track_id = box_of.one("I")
+        self.into = next((t for t in self.found if t.track_id == track_id), None)
+        usual = self.extends.get(track_id, Defaults())
+        self.base = box_of.one("Q") if flags & 0x1 else self.moof if flags & 0x20000 or self.next is None else self.next
+        if flags & 0x2:
+            box_of.one("I")
+        duration = box_of.one("I") if flags & 0x8 else usual.duration
+        size = box_of.one("I") if flags & 0x10 else usual.size
+        self.usual = Defaults(duration, size, box_of.one("I") if flags & 0x20 else usual.flags)
+        self.next = self.base
+
+    def run(self, box_of: Fields) -> None:
+        if self.next is None:
+            raise ValueError("a run without a fragment's head")
+        flags, n = box_of.read("II")
+        where = self.base + box_of.one("i") if flags & 0x1 else self.next
+        first = box_of.one("I") if flags & 0x4 else None
+        stated = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        self._hold(n)
+        rows = box_of.rows("I" * len(stated), n) if stated else [()] * n
+        place = {bit: k for k, bit in enumerate(stated)}
+        for j, row in enumerate(rows):
+            size = row[place[0x200]] if 0x200 in place else self.usual.size
+            marks = row[place[0x400]] if 0x400 in place else first if j == 0 and first is not None else self.usual.flags
+            if self.into is not None:
+                self.into.fragments.append((where, size, not marks & 0x10000))
+                self.into.deltas.append((1, row[place[0x100]] if 0x100 in place else self.usual.duration))
+            where += size
+        self.next = where
+
+
+def tracks(data: bytes) -> tuple[list[Track], str]:
+    """The tracks of a file, and what is broken about it (empty: nothing). mdat is skipped, not read."""
+    reader = Reader(data)
+    broken = reader.read()
+    return reader.found, broken
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -227,47 +326,42 @@ def payload(data: bytes, track: Track) -> bytes:
     return b"".join(data[at : at + size] for at, size in spans)
 
 
-INDEX_COLUMNS = (
-    ("codec", pa.string(), "codec string"),
-    ("handler", pa.string(), "handler string"),
-    ("seconds", pa.float64(), "seconds double"),
-    ("n_samples", pa.int64(), "n_samples long"),
-    ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])), "keyframes array<struct<offset: long, size: long>>"),
-    ("broken", pa.string(), "broken string"),
+_RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+_TRACKS = pa.list_(
+    pa.struct([("codec", pa.string()), ("handler", pa.string()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGES)])
 )
+INDEX = "tracks array<struct<codec: string, handler: string, seconds: double, n_samples: long, keyframes: array<struct<offset: long, size: long>>>>, broken string"
 
 
-def describe(data: bytes | None) -> dict:
-    """The columns of one file's first track."""
+def describe(data: bytes | None) -> tuple[list[dict], str]:
+    """The columns of one file: its tracks in order, and what is broken."""
     found, broken = tracks(data or b"")
-    row = dict.fromkeys((name for name, *_ in INDEX_COLUMNS))
-    row["broken"] = broken
-    if found:
-        t = found[0]
+    out = []
+    for t in found:
         try:
             samples = t.samples()
         except ValueError as e:
-            samples, row["broken"] = [], str(e)
-        keys = [{"offset": at, "size": size} for at, size, key in samples if key]
-        row |= {"codec": t.codec, "handler": t.handler, "seconds": t.seconds, "n_samples": len(samples), "keyframes": keys}
-    return row
+            samples, broken = list(t.fragments), broken or str(e)
+        keys = [{"offset": at, "size": size} for at, size, key in samples if key and at < 1 << 63]
+        out.append({"codec": t.codec, "handler": t.handler, "seconds": t.seconds, "n_samples": len(samples), "keyframes": keys})
+    return out, broken
 
 
 def index_media(files: DataFrame, content: str = "content") -> DataFrame:
-    """Every row of files with the codec, duration and keyframe byte ranges of its media; `content` is dropped."""
+    """Every row of files with the tracks of its media (codec, handler, seconds, n_samples, byte ranges of keyframes) and what is
+    broken; `content` is dropped."""
     kept = [f for f in files.schema.fields if f.name != content]
-    names = {f.name for f in kept}
-    if clash := names & {name for name, *_ in INDEX_COLUMNS}:
+    if clash := {f.name for f in kept} & {"tracks", "broken"}:
         raise ValueError(f"columns of the input clash with those of the index: {sorted(clash)}")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [describe(x) for x in batch.column(batch.schema.get_field_index(content)).to_pylist()]
+            found = [describe(x.as_py()) for x in batch.column(batch.schema.get_field_index(content))]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            columns += [pa.array([r[name] for r in found], kind) for name, kind, _ in INDEX_COLUMNS]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *(name for name, *_ in INDEX_COLUMNS)])
+            columns += [pa.array([x for x, _ in found], _TRACKS), pa.array([x for _, x in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), "tracks", "broken"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [x for *_, x in INDEX_COLUMNS]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [INDEX]
     return files.mapInArrow(rows, ", ".join(fields))
 
 

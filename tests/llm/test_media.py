@@ -38,31 +38,65 @@ def test_64_bit_and_open_ended_boxes():
         assert [p[-1] for p, _, _ in media.walk(inner[:at] + tail)][-1] == b"mdat"
 
 
+def track_box(track_id, codec, handler=b"vide", tables=()):
+    stbl = media.box(b"stbl", media.full_box(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(8))), *tables)
+    mdia = media.box(b"mdia", media.full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), media.full_box(b"hdlr", bytes(4), handler, bytes(13)), media.box(b"minf", stbl))
+    return media.box(b"trak", media.full_box(b"tkhd", struct.pack(">IIIII", 0, 0, track_id, 0, 0)), mdia)
+
+
+def fragment(*parts):
+    return media.box(b"moof", media.box(b"traf", *parts))
+
+
 def test_fragment():
-    stbl = media.box(b"stbl", media.full_box(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(8))))
-    mdia = media.box(b"mdia", media.full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), media.box(b"minf", stbl))
-    head = media.box(b"moov", media.box(b"trak", media.full_box(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0)), mdia))
+    head = media.box(b"moov", track_box(7, b"avc1"))
     run = media.full_box(b"trun", struct.pack(">IiI", 2, 100, 0), struct.pack(">IIII", 40, 10, 50, 20), flags=0x305)
-    moof = media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", struct.pack(">II", 7, 0x10000), flags=0x20), run))
-    (track,), broken = media.tracks(head + moof)
+    (track,), broken = media.tracks(head + fragment(media.full_box(b"tfhd", struct.pack(">II", 7, 0x10000), flags=0x20), run) + bytes(0))
     assert not broken and track.codec == "avc1"
     assert track.samples() == [(len(head) + 100, 10, True), (len(head) + 110, 20, False)]
     assert track.seconds == 0.09
 
 
+def test_fragments_take_defaults_and_go_on():
+    trex = media.box(b"mvex", media.full_box(b"trex", struct.pack(">IIIII", 7, 1, 20, 30, 0x10000)))
+    head = media.box(b"moov", track_box(1, b"mp4a", b"soun"), track_box(7, b"avc1"), trex)
+    runs = media.full_box(b"trun", struct.pack(">II", 2, 0), flags=0x4), media.full_box(b"trun", struct.pack(">II", 1, 5), flags=0x200)
+    data = head + fragment(media.full_box(b"tfhd", struct.pack(">IQ", 7, 4000), flags=0x1), *runs) + bytes(0)
+    (audio, video), broken = media.tracks(data)
+    assert not broken and audio.samples() == [] and (audio.handler, video.handler) == ("soun", "vide")
+    assert video.samples() == [(4000, 30, True), (4030, 30, False), (4060, 5, False)] and video.seconds == 0.06
+    # without a base, the next fragment part of one moof goes on where the last ended
+    two = media.box(b"moof", *[media.box(b"traf", media.full_box(b"tfhd", struct.pack(">I", 7)), media.full_box(b"trun", struct.pack(">I", 1))) for _ in "ab"])
+    (_, video), broken = media.tracks(head + two)
+    assert not broken and [at for at, *_ in video.samples()] == [len(head), len(head) + 30]
+
+
+def test_broken_files_end_in_words():
+    empty = lambda *kinds: media.box(b"moov", media.box(b"trak", *[media.box(k) for k in kinds]))
+    deep = b""
+    for _ in range(2000):
+        deep = media.box(b"moov", deep)
+    many = media.box(b"moov", track_box(7, b"avc1")) + fragment(media.full_box(b"tfhd", struct.pack(">I", 7)), media.full_box(b"trun", struct.pack(">I", 3_000_000)))
+    order = track_box(7, b"avc1", tables=(media.full_box(b"stsc", struct.pack(">IIIIIII", 2, 2, 1, 1, 1, 1, 1)), media.full_box(b"stco", struct.pack(">III", 2, 0, 9)), media.full_box(b"stsz", struct.pack(">II", 1, 2))))
+    for data in (empty(b"tkhd"), empty(b"mdhd"), empty(b"stsd"), many, media.box(b"moov", order), media.box(b"moov", track_box(1, b"raw "))[:-3], fragment(media.full_box(b"trun", struct.pack(">I", 1)))):
+        assert media.describe(data)[1], data
+    assert media.describe(deep) == ([], "")
+    assert media.describe(empty(b"free") + media.full_box(b"hdlr", bytes(20)))[1] == ""
+
+
 def test_columns(spark):
     whole = media.mux(media.padded(b"abc"))
-    rows = [(1, bytearray(whole)), (2, None), (3, bytearray()), (4, bytearray(whole[:300])), (5, bytearray(b"\0\0\0\1")), (1, bytearray(whole))]
+    rows = [(1, bytearray(whole)), (2, None), (3, bytearray()), (4, bytearray(whole[:300])), (5, bytearray(b"\0\0\0\1")), (1, bytearray(whole)), (None, bytearray(whole))]
     files = spark.createDataFrame(rows, "file long, content binary")
     got = media.index_media(files).orderBy("file").collect()
-    assert [r["file"] for r in got] == [1, 1, 2, 3, 4, 5]
-    assert got[0] == got[1] and got[0]["codec"] == "raw " and got[0]["n_samples"] == 1 and got[0]["broken"] == ""
-    assert [(k["offset"], k["size"]) for k in got[0]["keyframes"]] == [(len(whole) - 576, 576)]
-    assert got[2]["codec"] is None and got[3]["codec"] is None
-    assert got[4]["broken"] and got[5]["broken"]
+    assert [r["file"] for r in got] == [None, 1, 1, 2, 3, 4, 5]
+    (track,) = got[0]["tracks"]
+    assert got[1] == got[2] and got[1]["tracks"] == got[0]["tracks"] and got[0]["broken"] == "" and track["codec"] == "raw " and track["n_samples"] == 1
+    assert [(k["offset"], k["size"]) for k in track["keyframes"]] == [(len(whole) - 576, 576)]
+    assert got[3]["tracks"] == got[4]["tracks"] == [] and got[5]["broken"] and got[6]["broken"]
     assert media.index_media(files.where("false")).count() == 0
     with pytest.raises(ValueError):
-        media.index_media(files.withColumnRenamed("file", "codec"))
+        media.index_media(files.withColumnRenamed("file", "tracks"))
 
 
 def test_texts(spark):
