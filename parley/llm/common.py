@@ -44,7 +44,14 @@ def stored(df: DataFrame, kind: str = "stage") -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Empties what `stored` wrote, once nothing reads it any more."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.stored_at)
 
 
 def release(spark: SparkSession) -> None:

@@ -3,22 +3,31 @@
 A window is WINDOW consecutive words of one document. A word is removed if it lies in a window whose words also start in
 a document with a smaller id. Documents arrive in batches of rising id.
 
-A run of the index holds what later batches need to be verified against one batch, and never changes: the 64-bit digest
-of each window (over the words' own 64-bit digests) with its document, dealt into buckets and sorted by digest, and the
-hash of each whole text with its first document.
-
-A batch is added as a run, and is hash-joined with each run before it, which gives the least document of each of its
-windows. As every run is bucketed alike, only the batch itself is shuffled, and the runs stay where they are. Its documents are
-cut at once. Then runs of like size are merged into one, which keeps one row for each window, so the number of runs stays
-logarithmic in the number of batches. An index that is given is used with all it holds, and holds the new documents after.
-What was cut is not cut again: a document that arrives late, with an id below those of the history, changes no earlier result.
+Fingerprints. Of the GRAM-word runs inside a window the one with the least hash is its anchor; equal windows have equal
+anchors, and neighbouring windows mostly share theirs, so a document has far fewer anchors than windows. A fingerprint is an
+anchor of a document and its context, a hash of all windows of that document that have the anchor. Equal fingerprints mean equal
+windows, so the least document of a fingerprint speaks for all others, whose windows there are repeats. A run of the index
+holds each fingerprint with its least document, dealt into buckets and sorted by anchor, and never changes; beside it stand the
+texts of the batch, dealt by document, and the digest of each whole text with its first document.
+
+A batch is taken in like this. Its fingerprints are written as a run and merge-joined with every run before it; as all runs are
+bucketed alike, none of them is shuffled. A fingerprint that a smaller document has is a repeat as a whole. Where an anchor
+has several contexts, in the batch or before it, some windows may be equal and others not, as at the ends of a repeated
+passage: the windows of that anchor are verified one by one, over the texts of the documents that speak for each context. Then
+the documents are cut, and runs of like size are merged into one, so that their number stays logarithmic in the number of
+batches. An index that is given is used with all that it holds, and holds the new documents after. What was cut is not cut
+again: a document that arrives late, with an id below those of the history, changes no earlier result.
 
 An exact copy needs no windows: all of them start in the first document with that text, of this batch or of the history. So
-a hot group of copies costs its ids alone, and runs hold distinct texts.
+a hot group of copies costs its ids alone. A passage that many different texts share is reduced to one fingerprint in each slice
+of texts before anything is shuffled; the rest of that slice are repeats already.
+
+Windows are told apart by 128 bits: the anchor's 64 and those of the context or the window. With 1e13 windows the expected
+number of false matches is below 1e-12. Texts are told apart by sha256.
 
 Defined results: a null or empty text has no words; documents of fewer than WINDOW words lose nothing; several rows with
-one doc_id are judged as that document each, and are no copies of one another; an empty table gives no rows; other columns are
-ignored.
+one doc_id are judged as that document each, and are no copies of one another; a row without doc_id is smaller than none,
+so nothing is removed from it or because of it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,119 +35,278 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import WORD, release, stored, table, whole_text, with_least
-from parley.llm.words import Words, signed, slices, windows
+from parley.llm.common import WORD, discard, release, stored, table, whole_text, with_least
+from parley.llm.words import Words, mixed, signed, slices, windows
 
 WINDOW = 13
-#: More than the fan of an index, so that runs are merged within the query.
-BATCHES = 5
+GRAM = 8
+#: With runs merged by pairs, the last of three batches meets a merged run.
+BATCHES, FAN = 3, 2
+
+_GRAM_SALT, _CONTEXT_SALT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
+
+
+@dataclass
+class Windows:
+    """The windows of a run of texts: index of the first word, text, anchor, digest and context of each; and the fingerprints:
+    text, anchor and context of each."""
+
+    first: np.ndarray
+    text: np.ndarray
+    anchor: np.ndarray
+    digest: np.ndarray
+    context: np.ndarray
+    text_of: np.ndarray
+    anchor_of: np.ndarray
+    context_of: np.ndarray
+
+    @classmethod
+    def of(cls, words: Words) -> Windows:
+        h = words.hashes()
+        digest, first = windows(h, words.word_at, WINDOW)
+        if not len(first):
+            return cls(first, first, digest, digest, digest, first, digest, digest)
+        text = np.searchsorted(words.word_at, first, "right") - 1
+        least = mixed(windows(h, np.array([0, len(h)]), GRAM)[0] ^ _GRAM_SALT)
+        width, span = WINDOW - GRAM + 1, 1
+        while span * 2 <= width:  # the least of `width` neighbours, by doubling
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        anchor = least[first]
+        # neighbours with one anchor make a run; the runs of one text and anchor make a fingerprint
+        heads = np.flatnonzero(_changes(text, anchor))
+        total = np.add.reduceat(mixed(digest ^ _CONTEXT_SALT), heads)
+        order = np.lexsort((anchor[heads], text[heads]))
+        starts = np.flatnonzero(_changes(text[heads][order], anchor[heads][order]))
+        context_of = mixed(np.add.reduceat(total[order], starts))
+        number = np.empty(len(heads), np.int64)
+        number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(heads))))
+        context = np.repeat(context_of[number], np.diff(np.append(heads, len(first))))
+        return cls(first, text, anchor, digest, context, text[heads][order][starts], anchor[heads][order][starts], context_of)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _least(ids: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that hold the least id of their key, one for each key, and the rows that hold a greater one."""
+    order = np.lexsort((ids, *key[::-1]))
+    new = _changes(*(k[order] for k in key))
+    heads = order[new]
+    of = np.cumsum(new) - 1
+    return heads, order[ids[order] > ids[heads][of]] if len(order) else order
+
+
+def _lists(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The distinct ids, and a list of values for each."""
+    order = np.argsort(ids, kind="stable")
+    heads = np.flatnonzero(_changes(ids[order]))
+    return ids[order][heads], pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)), pa.int32()), pa.array(signed(values[order])))
 
 
-def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for c in columns:
-            s = c[order]
-            new[1:] |= s[1:] != s[:-1]
-    return [c[order][new] for c in columns]
+def _ids(part: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(part.column(part.schema.get_field_index("doc_id")))
+
+
+def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+_FINGERPRINTS = pa.schema([("place", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("repeats", pa.list_(pa.int64()))])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> digest, doc_id: the distinct windows of each text."""
+    """doc_id, text -> place, context, doc_id, repeats.
+
+    A row with a context is a fingerprint whose anchor is `place`, with its least document of a slice of texts. For the other
+    documents of the slice it is a repeat: their repeated contexts are in rows of their own, placed by document.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words in slices(batch):
+                w = Windows.of(words)
+                ids = _ids(part)[w.text_of]
+                first, again = _least(ids, w.anchor_of, w.context_of)
+                yield _batch(_FINGERPRINTS, len(first), place=pa.array(signed(w.anchor_of[first])), context=pa.array(signed(w.context_of[first])), doc_id=pa.array(ids[first]))
+                if len(again):
+                    owner, repeats = _lists(ids[again], w.context_of[again])
+                    yield _batch(_FINGERPRINTS, len(owner), place=pa.array(signed(mixed(owner.view(np.uint64)))), doc_id=pa.array(owner), repeats=repeats)
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "place long, context long, doc_id long, repeats array<long>")
+
+
+_SEEN = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("repeats", pa.list_(pa.int64()))])
+
+
+def windows_at(docs: DataFrame) -> DataFrame:
+    """doc_id, text, anchors -> anchor, digest, doc_id, repeats: the windows of each document that have one of its anchors.
+
+    As with fingerprints, only the least document of a slice has a window as a row; what the others hold of it are repeats.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in slices(batch):
-                digest, first = windows(words.hashes(), words.word_at, WINDOW)
-                text = np.searchsorted(words.word_at, first, "right") - 1
-                digest, text = _distinct(digest, text)
-                ids = np.asarray(part.column(part.schema.get_field_index("doc_id")))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(digest)), pa.array(ids[text])], names=["digest", "doc_id"])
+                w = Windows.of(words)
+                wanted = part.column(part.schema.get_field_index("anchors"))
+                cut = np.searchsorted(w.text, np.arange(part.num_rows + 1))
+                held = np.zeros(len(w.first), bool)
+                for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    held[a:b] = np.isin(w.anchor[a:b].view(np.int64), np.asarray(wanted[k].values))
+                ids, anchor, digest = _ids(part)[w.text[held]], w.anchor[held], w.digest[held]
+                first, again = _least(ids, anchor, digest)
+                yield _batch(_SEEN, len(first), anchor=pa.array(signed(anchor[first])), digest=pa.array(signed(digest[first])), doc_id=pa.array(ids[first]))
+                if len(again):
+                    owner, repeats = _lists(ids[again], digest[again])
+                    yield _batch(_SEEN, len(owner), doc_id=pa.array(owner), repeats=repeats)
+
+    return docs.select("doc_id", "text", "anchors").mapInArrow(rows, "anchor long, digest long, doc_id long, repeats array<long>")
+
+
+@dataclass(frozen=True)
+class Run:
+    """One run: `name` has the fingerprints, `name`_texts the texts and `name`_keys the first documents of texts."""
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "digest long, doc_id long")
+    name: str
+    level: int
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (digest, doc_id) and (key, first), as tables in the warehouse, which all executors share."""
+    """Sorted immutable runs as bucketed tables in the warehouse, which all executors share."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, fan: int = 4):
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, fan: int = FAN):
         self.spark, self.fan = spark, fan
         self.name = name or f"fingerprints_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[str, int]] = []  # table, level
+        self.runs: list[Run] = []
         self.made = 0
 
-    def _write(self, pairs: DataFrame, firsts: DataFrame, level: int) -> None:
-        run = f"{self.name}_{self.made}"
+    def new(self, level: int = 0) -> Run:
         self.made += 1
-        pairs.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(run)
-        firsts.write.format("parquet").option("compression", "zstd").saveAsTable(f"{run}_keys")
-        self.runs.append((run, level))
+        return Run(f"{self.name}_{self.made}", level)
 
-    def _drop(self, run: str) -> None:
-        self.spark.sql(f"drop table if exists {run}")
-        self.spark.sql(f"drop table if exists {run}_keys")
+    def _save(self, rows: DataFrame, name: str, by: str | None = None, order: bool = False) -> None:
+        writer = rows.write.format("parquet").option("compression", "zstd")
+        if by:
+            writer = writer.bucketBy(self.buckets, by)
+        (writer.sortBy(by) if order else writer).saveAsTable(name)
 
-    def _tables(self, runs: list[str], suffix: str = "") -> DataFrame:
-        return reduce(DataFrame.unionAll, [self.spark.table(run + suffix) for run in runs])
+    def texts(self, run: Run) -> DataFrame:
+        """doc_id, text, copied."""
+        return self.spark.table(f"{run.name}_texts")
 
-    def append(self, pairs: DataFrame, firsts: DataFrame) -> None:
-        """Adds a run of a batch's pairs and first documents."""
-        self._write(pairs.repartition(self.buckets, "digest"), firsts, 0)  # one file a bucket
+    def fresh(self, run: Run) -> DataFrame:
+        return self.spark.table(run.name)
+
+    def least(self, run: Run) -> DataFrame:
+        """place, context and the least document of each fingerprint of a run."""
+        return self.fresh(run).where("context is not null").groupBy("place", "context").agg(F.min("doc_id").alias("first"))
 
     def firsts(self) -> DataFrame | None:
         """key, first of all runs."""
-        return self._tables([run for run, _ in self.runs], "_keys") if self.runs else None
-
-    def hits(self) -> DataFrame:
-        """doc_id, hits: of each document of the last run the digests of its windows that start in a smaller document, of
-        that run or of any before it."""
-        batch = self.spark.table(self.runs[-1][0])
-        within = batch.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        parts = [stored(within.where("least < most").select("digest", "least"), "least")]
-        for run, _ in self.runs[:-1]:
-            before = self.spark.table(run).withColumnRenamed("doc_id", "before")
-            met = before.join(within.hint("shuffle_hash"), "digest").where("before < most")
-            parts.append(stored(met.select("digest", F.least("least", "before").alias("least")), "least"))
-        least = reduce(DataFrame.unionAll, parts).groupBy("digest").agg(F.min("least").alias("least"))
-        met = batch.join(least, "digest").where("doc_id > least")
-        return met.groupBy("doc_id").agg(F.collect_set("digest").alias("hits"))
+        return reduce(DataFrame.unionAll, [self.spark.table(f"{run.name}_keys") for run in self.runs]) if self.runs else None
+
+    def add(self, texts: DataFrame, keys: DataFrame) -> Run:
+        """Writes a run of texts (doc_id, text, copied; dealt by doc_id) with their keys (key, first). It does not count before
+        it is in `runs`."""
+        run = self.new()
+        self._save(texts, f"{run.name}_texts", "doc_id")
+        self._save(keys, f"{run.name}_keys")
+        release(self.spark)
+        made = fingerprints(self.texts(run).where("not copied"))
+        self._save(made.repartition(self.buckets, "place"), run.name, "place", order=True)  # one file a bucket
+        release(self.spark)
+        return run
+
+    def compared(self, run: Run) -> DataFrame:
+        """doc_id, mark, anchor: fingerprints of a new run. mark: the context, where a smaller document has it; anchor: where the
+        document speaks for a context of an anchor that has others."""
+        same, near = Window.partitionBy("place", "context"), Window.partitionBy("place")
+        rows = self.fresh(run).where("context is not null").select(
+            "place", "context", "doc_id", F.min("doc_id").over(same).alias("first"), F.min("context").over(near).alias("low"), F.max("context").over(near).alias("high")
+        )
+        for before in self.runs:
+            least = self.least(before)
+            spread = least.groupBy("place").agg(F.min("context").alias("low_before"), F.max("context").alias("high_before"))
+            rows = rows.join(least.withColumnRenamed("first", "before"), ["place", "context"], "left").join(spread, "place", "left")
+            rows = rows.select(
+                "place", "context", "doc_id", F.least("first", "before").alias("first"), F.least("low", "low_before").alias("low"), F.greatest("high", "high_before").alias("high")
+            )
+        again = F.col("doc_id") > F.col("first")
+        marked = rows.select("doc_id", F.when(again, F.col("context")).alias("mark"), F.when(~again & (F.col("low") < F.col("high")), F.col("place")).alias("anchor"))
+        return marked.where("mark is not null or anchor is not null")
+
+    def verified(self, run: Run, compared: DataFrame) -> DataFrame:
+        """doc_id, marks: digests of windows of a new run's documents that start in a smaller one, by the anchors to be verified."""
+        open_here = compared.where("anchor is not null").select("doc_id", "anchor")
+        asked = open_here.select(F.col("anchor").alias("place")).distinct()
+        seen = []
+        for other in [run, *self.runs]:
+            wanted = open_here if other is run else self.least(other).join(asked, "place").select(F.col("first").alias("doc_id"), F.col("place").alias("anchor"))
+            wanted = wanted.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+            found = windows_at(self.texts(other).where("not copied").join(wanted.hint("shuffle_hash"), "doc_id"))
+            seen.append(found.withColumn("new", F.lit(other is run)))
+        rows = stored(reduce(DataFrame.unionAll, seen), "windows")
+        least = F.min("doc_id").over(Window.partitionBy("anchor", "digest"))
+        held = rows.where("digest is not null").select("digest", "doc_id", "new", least.alias("least"))
+        return held.where("new and doc_id > least").select("doc_id", F.array("digest").alias("marks")).unionAll(rows.where("new and repeats is not null").select("doc_id", "repeats"))
 
     def compact(self) -> None:
         """Merges runs of one level, once there are `fan` of them, into one of the next level."""
         while True:
-            by_level: dict[int, list[str]] = {}
-            for run, level in self.runs:
-                by_level.setdefault(level, []).append(run)
-            full = next(((level, runs) for level, runs in sorted(by_level.items()) if len(runs) >= self.fan), None)
+            by_level: dict[int, list[Run]] = {}
+            for run in self.runs:
+                by_level.setdefault(run.level, []).append(run)
+            full = next((runs for _, runs in sorted(by_level.items()) if len(runs) >= self.fan), None)
             if full is None:
                 return
-            level, merged = full
-            while len(merged) > 1:
-                one, two, *merged = merged
-                self._write(self._joined(one, two), self._tables([one, two], "_keys").groupBy("key").agg(F.min("first").alias("first")), level + 1)
-                self.runs = [x for x in self.runs if x[0] not in (one, two)]
-                self._drop(one)
-                self._drop(two)
-                if merged:
-                    merged = [self.runs[-1][0], *merged]
-
-    def _joined(self, one: str, two: str) -> DataFrame:
-        """digest, doc_id: each window of two runs once. A merge join keeps their buckets in place, which a union does not."""
-        a, b = (self.spark.table(run).groupBy("digest").agg(F.min("doc_id").alias(name)).hint("merge") for run, name in ((one, "a"), (two, "b")))
-        return a.join(b, "digest", "full").select("digest", F.least("a", "b").alias("doc_id"))
+            merged = full[0]
+            for k, run in enumerate(full[1:]):
+                last = k == len(full) - 2
+                whole = self._merged(merged, run, full[0].level + last)
+                self.runs = [whole if x == merged else x for x in self.runs if x != run]
+                merged = whole
+
+    def _merged(self, one: Run, two: Run, level: int) -> Run:
+        """A run of what two hold. Their buckets are joined in place, which a union would shuffle."""
+        run = self.new(level)
+        a, b = (self.least(x).withColumnRenamed("first", name).hint("merge") for x, name in ((one, "a"), (two, "b")))
+        self._save(a.join(b, ["place", "context"], "full").select("place", "context", F.least("a", "b").alias("doc_id")), run.name, "place", order=True)
+        x, y = (self.texts(of).where("not copied and doc_id is not null") for of in (one, two))
+        packed = lambda t, name: t.groupBy("doc_id").agg(F.collect_list("text").alias(name)).hint("merge")
+        both = packed(x, "a").join(packed(y, "b"), "doc_id", "full")
+        texts = both.select("doc_id", F.explode(F.concat(F.coalesce("a", F.array()), F.coalesce("b", F.array()))).alias("text"), F.lit(False).alias("copied"))
+        self._save(texts, f"{run.name}_texts", "doc_id")
+        keys = reduce(DataFrame.unionAll, [self.spark.table(f"{x.name}_keys") for x in (one, two)])
+        self._save(keys.groupBy("key").agg(F.min("first").alias("first")), f"{run.name}_keys")
+        self._drop(one)
+        self._drop(two)
+        release(self.spark)
+        return run
+
+    def _drop(self, run: Run) -> None:
+        for suffix in ("", "_texts", "_keys"):
+            self.spark.sql(f"drop table if exists {run.name}{suffix}")
 
     def drop(self) -> None:
-        for run, _ in self.runs:
+        for run in self.runs:
             self._drop(run)
         self.runs = []
 
@@ -146,87 +314,96 @@ class FingerprintIndex:
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _kept(part: pa.RecordBatch, words: Words, hits: list) -> pa.RecordBatch:
-    """The result rows of a slice: hits[k] are the digests of the windows of text k that start in a smaller document,
-    None where the text is a copy of one, all of whose windows do."""
-    digest, first = windows(words.hashes(), words.word_at, WINDOW)
-    text = np.searchsorted(words.word_at, first, "right") - 1
+def _kept(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
+    """The result rows of a slice of texts with their marks."""
+    w = Windows.of(words)
+    copied, marks = (part.column(part.schema.get_field_index(c)) for c in ("copied", "marks"))
     n_words, removed, shas = words.count.astype(np.int64), np.zeros(len(words.count), np.int64), []
-    for k, hit in enumerate(hits):
-        a, b = np.searchsorted(text, [k, k + 1])
+    cut = np.searchsorted(w.text, np.arange(part.num_rows + 1))
+    data = words.data
+    for k in range(part.num_rows):
+        a, b = int(cut[k]), int(cut[k + 1])
         w0, w1 = int(words.word_at[k]), int(words.word_at[k + 1])
         gone = np.zeros(w1 - w0 + 1, np.int64)
-        starts = first[a:b] if hit is None else first[a:b][np.isin(digest[a:b].view(np.int64), hit)] if len(hit) else first[:0]
+        starts = w.first[a:b]
+        if not copied[k].as_py():  # all windows of a copy start in the first document with its text
+            marked = np.asarray(marks[k].values) if marks[k].is_valid else np.zeros(0, np.int64)
+            starts = starts[np.isin(w.context[a:b].view(np.int64), marked) | np.isin(w.digest[a:b].view(np.int64), marked)] if len(marked) else starts[:0]
         np.add.at(gone, starts - w0, 1)
         np.add.at(gone, starts - w0 + WINDOW, -1)
         covered = np.cumsum(gone)[:-1] > 0
         removed[k] = covered.sum()
         kept = np.flatnonzero(~covered) + w0
-        data = words.data
         shas.append(hashlib.sha256(b" ".join(data[s:e].tobytes() for s, e in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True))).hexdigest())
     ids = part.column(part.schema.get_field_index("doc_id"))
     return pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(removed), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _cut(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The result rows of docs (doc_id, text, copied) by their hits."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """The result rows of docs (doc_id, text, copied, marks)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("hits")
-            copied = batch.schema.get_field_index("copied")
             for part, words in slices(batch):
-                flags = part.column(copied).to_pylist()
-                found = part.column(place)
-                yield _kept(part, words, [None if c else (np.asarray(found[k].values) if found[k].is_valid else ()) for k, c in enumerate(flags)])
+                yield _kept(part, words)
 
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "hits", "copied").mapInArrow(rows, KEPT)
+    return docs.select("doc_id", "text", "copied", "marks").mapInArrow(rows, KEPT)
 
 
-def _arrived(part: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """The result rows of one batch (doc_id, text, key), which is added to the index."""
-    spark = part.sparkSession
+def _arrived(docs: DataFrame, ids: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """The result rows of one batch (doc_id, text, and their doc_id, key), which is added to the index."""
+    ids = ids.where("doc_id is not null")
     # copies of whole texts: of each text only the first document counts
-    ids = part.select("doc_id", "key").where("doc_id is not null")
     known = ids.select("doc_id", "key", F.lit(False).alias("past"))
     past = index.firsts()
     if past is not None:
         known = known.unionAll(past.select(F.col("first").alias("doc_id"), "key", F.lit(True)))
     copies = with_least(known, "key", "doc_id", "first").where("not past and doc_id > first")
     copies = stored(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copy_keys")), "copies")
-    copied = F.coalesce(F.array_contains("copy_keys", F.col("key")), F.lit(False))
-    docs = part.join(copies, "doc_id", "left").select("doc_id", whole_text().alias("text"), copied.alias("copied"))
-    index.append(fingerprints(docs.where("not copied")), ids.groupBy("key").agg(F.min("doc_id").alias("first")))
-    release(spark)
-    marks = stored(index.hits(), "marks")
-    release(spark)
-    out = stored(_cut(docs, marks), "kept")
-    release(spark)
+    copied = F.coalesce(F.array_contains("copy_keys", _key()), F.lit(False)).alias("copied")
+    dealt = docs.select("doc_id", whole_text().alias("text")).repartition(index.buckets, "doc_id")
+    texts = dealt.join(copies.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", copied)
+    run = index.add(texts, ids.groupBy("key").agg(F.min("doc_id").alias("first")))
+    compared = stored(index.compared(run), "compared")
+    marks = compared.where("mark is not null").select("doc_id", F.array("mark").alias("marks"))
+    marks = marks.unionAll(index.verified(run, compared)).unionAll(index.fresh(run).where("repeats is not null").select("doc_id", "repeats"))
+    marks = stored(marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
+    out = stored(_cut(index.texts(run).join(marks.hint("shuffle_hash"), "doc_id", "left")), "kept")
+    for done in (copies, compared, marks):
+        discard(done)
+    index.runs.append(run)
     index.compact()
+    release(index.spark)
     return out
 
 
+def _key():
+    return F.unhex(F.sha2(whole_text(), 256))
+
+
 def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs, taken into the index in `batches` batches by doc_id.
     Documents that the index holds from earlier calls count as well."""
     own = index is None
     index = index or FingerprintIndex(docs.sparkSession)
-    docs = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("key"))
-    bounds = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    docs = docs.select("doc_id", "text")
+    ids = stored(docs.select("doc_id", _key().alias("key")), "ids")
+    bounds = ids.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if bounds["a"] is None:
         batches = 1
     cuts = [bounds["a"] + (bounds["b"] - bounds["a"] + 1) * k // batches for k in range(1, batches)]
     parts = []
     for k in range(batches):
-        part = docs
+        here = F.lit(True)
         if k:
-            part = part.where(F.col("doc_id") >= cuts[k - 1])
+            here = here & (F.col("doc_id") >= cuts[k - 1])
         if k < len(cuts):
-            here = F.col("doc_id") < cuts[k]
-            part = part.where(here if k else here | F.col("doc_id").isNull())
-        parts.append(_arrived(part, index))
+            below = F.col("doc_id") < cuts[k]
+            here = here & (below if k else below | F.col("doc_id").isNull())
+        parts.append(_arrived(docs.where(here), ids.where(here), index))
     if own:
         index.drop()
+    discard(ids)
     return reduce(DataFrame.unionAll, parts)
 
 
