@@ -14,10 +14,13 @@ common layouts of articles, menus, adverts, comments and the like). Pages are ex
 shuffled.
 
 Blocks. Text is cut at block elements and line breaks, white space inside a block becomes one space, blocks are trimmed
-and joined by one space in page order. Character references are decoded. Scripts, styles, heads, templates and comments
-of the markup never hold text.
+and joined by one space in page order. Character references are decoded. Scripts, styles, templates, frames, drawings, the
+insides of form fields and comments of the markup never hold text; what stands in for a script, an object or a canvas does.
 
-Defined results: null or empty html gives an empty text; markup that ends early counts as ending there; repeated rows
+Each page is parsed in time and memory in proportion to its length, and features are made for at most NODES_AT_ONCE nodes at
+a time.
+
+Defined results: null or empty html gives an empty text; a null page_id or url stays null; markup that ends early counts as ending there; repeated rows
 repeat; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,7 +29,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,7 +43,7 @@ from parley.llm.common import table
 # Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is raw text that no reader sees as text.
-RAW = frozenset("script style noscript template iframe svg canvas object title textarea select option".split())
+RAW = frozenset("script style template iframe svg title textarea select option".split())
 # Elements that part blocks of text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -53,6 +57,8 @@ IMPLIED = {
 }
 #: Block elements that end an open paragraph.
 _ENDS_P = BLOCKS - {"br", "button"}
+#: Nodes whose features are held at once.
+NODES_AT_ONCE = 8192
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -91,18 +97,58 @@ def attribute_tokens(source: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Open:
+    """The open elements of a page, each with its nearest block, and where each name is open: every question about them is
+    answered without a walk, so that a page costs time in proportion to its length."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("#root", root)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]  # places of blocks other than paragraphs
+
+    @property
+    def block(self) -> Node:
+        return self.stack[-1][1]
+
+    def push(self, name: str, block: Node) -> None:
+        k = len(self.stack)
+        self.stack.append((name, block))
+        self.at.setdefault(name, []).append(k)
+        if name in BLOCKS and name != "p":
+            self.blocks.append(k)
+
+    def pop(self) -> tuple[str, Node]:
+        name, block = self.stack.pop()
+        k = len(self.stack)
+        if k:
+            self.at[name].pop()
+        if self.blocks and self.blocks[-1] == k:
+            self.blocks.pop()
+        return name, block
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of one of the names; 0 for none."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+
+    def first_after(self, names, place: int) -> int:
+        """The place of the outermost open element of one of the names inside a place; 0 for none."""
+        found = [self.at[x][k] for x in names if self.at.get(x) and (k := bisect_right(self.at[x], place)) < len(self.at[x])]
+        return min(found, default=0)
+
+
 def parse(source: str) -> Page:
     """The block elements of a page with their texts."""
     root = Node("#root", None, ())
     nodes, texts = [root], []
-    stack: list[tuple[str, Node]] = [("#root", root)]  # open elements, each with its nearest block
+    opened = Open(root)
     at, links, fresh = 0, 0, True
+    last = source.rfind(">") + 1  # no tag ends after that
 
     def add(piece: str) -> None:
         nonlocal fresh
         if not piece:
             return
-        block = stack[-1][1]
+        block = opened.block
         shown = html.unescape(piece) if "&" in piece else piece
         texts.append((shown, block, fresh))
         n = len(shown.strip())
@@ -112,15 +158,16 @@ def parse(source: str) -> Page:
         fresh = False
 
     def close(to: int) -> None:
+        """Closes the element at a place and all inside it; nothing at place 0."""
         nonlocal links, fresh
-        while len(stack) > to:
-            name, block = stack.pop()
+        while to and len(opened.stack) > to:
+            name, block = opened.pop()
             if name == "a":
                 links -= 1
             if name in BLOCKS:
                 block.end, fresh = len(texts), True
 
-    while m := _TAG.search(source, at):
+    while m := _TAG.search(source, at, last):
         add(source[at : m.start()])
         at = m.end()
         end_tag, name = m[1], m[2]
@@ -128,38 +175,26 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if end_tag:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in BLOCKS and stack[k][0] in BLOCKS and stack[k][0] != "p":
-                    break  # an inline end tag does not end a block
+            place = opened.last((name,))
+            if name in BLOCKS or place > opened.blocks[-1]:  # an inline end tag does not end a block
+                close(place)
             continue
         if name in RAW and not m[3].endswith("/"):
-            over = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            at = over.end() if over else len(source)
+            end = re.compile(rf"</{name}\s*+>", re.I).search(source, at)
+            at = end.end() if end else len(source)
             continue
         if name in ("br", "hr"):
             fresh = True
         if name in VOID or m[3].endswith("/"):
             continue
-        if name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+        if name in _ENDS_P and opened.block.name == "p":
+            close(opened.last(("p",)))
         if name in IMPLIED:
             ends, limits = IMPLIED[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in limits:
-                    break
-                if stack[k][0] in ends:
-                    close(k)
-                    if name != "tr" and name != "tbody":
-                        break
-        block = stack[-1][1]
+            limit = opened.last(limits)
+            # a row or a body of rows ends all that is open in the table, anything else the innermost
+            close(opened.first_after(ends, limit) if name in ("tr", "tbody") else end if (end := opened.last(ends)) > limit else 0)
+        block = opened.block
         if name in BLOCKS:
             node = Node(name, block, attribute_tokens(m[3]))
             node.start = node.end = len(texts)
@@ -169,11 +204,12 @@ def parse(source: str) -> Page:
             block, fresh = node, True
         elif name == "a":
             links += 1
-        stack.append((name, block))
+        opened.push(name, block)
     tail = source[at:]
     cut = re.search(r"</?[A-Za-z]|<!--", tail)  # a tag that the page's end cuts off
     add(tail[: cut.start()] if cut else tail)
-    close(0)
+    close(1)
+    root.end = len(texts)
     return Page(nodes, texts)
 
 
@@ -203,8 +239,26 @@ def parents(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(parent, np.int64), roots
 
 
-def features(pages: list[Page]) -> np.ndarray:
-    """One row for each block element of each page."""
+_MARKS = len(TAGS) + len(TOKENS)
+_MARK_BYTES = -(-_MARKS // 8)
+
+
+def marks(node: Node) -> int:
+    """The tag and the attribute words of a node, a bit each."""
+    out = 1 << _TAG_AT[node.name] if node.name in _TAG_AT else 0
+    for t in node.tokens:
+        if t in _TOKEN_AT:
+            out |= 1 << (len(TAGS) + _TOKEN_AT[t])
+    return out
+
+
+def _unpacked(bits: list[int]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(x.to_bytes(_MARK_BYTES, "little") for x in bits), np.uint8).reshape(len(bits), _MARK_BYTES)
+    return np.unpackbits(flat, axis=1, bitorder="little")[:, :_MARKS]
+
+
+def feature_blocks(pages: list[Page], at_once: int = NODES_AT_ONCE) -> Iterator[np.ndarray]:
+    """One row for each block element of each page, at most `at_once` rows at a time."""
     nodes = [x for p in pages for x in p.nodes]
     n = len(nodes)
     parent, roots = parents(pages)
@@ -212,14 +266,18 @@ def features(pages: list[Page]) -> np.ndarray:
     n_texts = np.repeat([max(1, len(p.texts)) for p in pages], [len(p.nodes) for p in pages])
     # sums over subtrees: children come after their parents
     sums = [[x.own, x.link, 1, x.name == "p", x.name in ("form", "button", "fieldset")] for x in nodes]
-    for k, p in zip(range(n - 1, -1, -1), parent[::-1].tolist(), strict=True):
-        if p != k:
-            up, x = sums[p], sums[k]
+    own_marks, above = [marks(x) for x in nodes], [0] * n
+    up = parent.tolist()
+    for k in range(n - 1, -1, -1):
+        if up[k] != k:
+            into, x = sums[up[k]], sums[k]
             for j in range(5):
-                up[j] += x[j]
-    total, linked, count, paragraphs, forms = np.array(sums, float).T
+                into[j] += x[j]
+    for k in range(n):
+        if up[k] != k:
+            above[k] = above[up[k]] | own_marks[up[k]]
+    total, linked, count, paragraphs, forms = np.array(sums, float).reshape(n, 5).T
     own = np.array([x.own for x in nodes], float)
-    out = np.zeros((n, N_COLUMNS), np.float32)
     depth = np.array([x.depth for x in nodes], float)
     siblings = np.array([len(x.parent.children) if x.parent else 1 for x in nodes], float)
     place = np.array([x.place if x.parent else 0 for x in nodes], float)
@@ -229,21 +287,19 @@ def features(pages: list[Page]) -> np.ndarray:
         np.log1p(count), paragraphs / count, np.minimum(forms, 5), siblings, place / np.maximum(siblings - 1, 1),
         total / np.maximum(total[parent], 1), np.log1p(total[parent]), linked[parent] / np.maximum(total[parent], 1), start / n_texts,
     ]
-    out[:, :N_BASE] = np.stack(base, axis=1)
-    words_at = N_BASE + len(TAGS)
-    for k, x in enumerate(nodes):
-        if x.name in _TAG_AT:
-            out[k, N_BASE + _TAG_AT[x.name]] = 1
-        for t in x.tokens:
-            if t in _TOKEN_AT:
-                out[k, words_at + _TOKEN_AT[t]] = 1
-    wide = len(TAGS) + len(TOKENS)
-    out[:, N_OWN : N_OWN + wide] = out[parent, N_BASE:N_OWN]
-    above, own_marks = out[:, N_OWN + wide :], out[:, N_BASE:N_OWN]
-    for k, p in enumerate(parent.tolist()):
-        if p != k:
-            np.maximum(above[p], own_marks[p], out=above[k])
-    return out
+    for a in range(0, n, at_once):
+        b = min(n, a + at_once)
+        out = np.empty((b - a, N_COLUMNS), np.float32)
+        out[:, :N_BASE] = np.stack([x[a:b] for x in base], axis=1)
+        out[:, N_BASE:N_OWN] = _unpacked(own_marks[a:b])
+        out[:, N_OWN : N_OWN + _MARKS] = _unpacked([own_marks[p] for p in up[a:b]])
+        out[:, N_OWN + _MARKS :] = _unpacked(above[a:b])
+        yield out
+
+
+def features(pages: list[Page]) -> np.ndarray:
+    """One row for each block element of each page, all at once."""
+    return np.concatenate(list(feature_blocks(pages)))
 
 
 # Boosted trees.
@@ -474,16 +530,27 @@ def _page_text(page: Page, logit: np.ndarray) -> str:
     return " ".join(b for b in joined if b)
 
 
-def main_texts(sources: list[str | None], trees: Trees, at_once: int = 128) -> Iterator[str]:
-    """The main text of each page."""
-    for k in range(0, len(sources), at_once):
-        pages = [parse(x or "") for x in sources[k : k + at_once]]
-        logit = trees.logit(features(pages))
+def main_texts(sources: Iterable[str | None], trees: Trees, at_once: int = NODES_AT_ONCE) -> Iterator[str]:
+    """The main text of each page. Pages are taken together until they have `at_once` nodes."""
+    pages: list[Page] = []
+    held = 0
+
+    def extracted() -> Iterator[str]:
+        logit = np.concatenate([trees.logit(x) for x in feature_blocks(pages, at_once)])
         at = 0
         for page in pages:
             yield _page_text(page, logit[at : at + len(page.nodes)]) if page.texts else ""
             at += len(page.nodes)
 
+    for source in sources:
+        pages.append(parse(source or ""))
+        held += len(pages[-1].nodes)
+        if held >= at_once:
+            yield from extracted()
+            pages, held = [], 0
+    if pages:
+        yield from extracted()
+
 
 def main_text(source: str | None, trees: Trees) -> str:
     return next(main_texts([source], trees))
@@ -496,7 +563,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {name: batch.column(batch.schema.get_field_index(name)) for name in ("page_id", "url", "html")}
-            texts = list(main_texts(column["html"].to_pylist(), shared.value))
+            texts = list(main_texts((x.as_py() for x in column["html"]), shared.value))
             yield pa.RecordBatch.from_arrays(
                 [column["page_id"], column["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

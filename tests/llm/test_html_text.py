@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 
@@ -56,6 +57,28 @@ def test_markup():
     assert texts("") == []
 
 
+def test_time_grows_with_the_length():
+    def took(n):
+        shapes = ("<div>" * n + "</section>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<ul><li>" + "<div>" * n + "<li></li>" * n, "<li><ul><div>" + "<div>" * n + "<li></li>" * n, "<a " * n, "<script>x" * n, "<table>" + "<td><b>" * n + "<tr>" * n)
+        began = time.process_time()
+        for s in shapes:
+            h.parse(s)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40000) < 20 * max(took(4000), 0.02)
+
+
+def test_deep_and_wide_pages_are_whole():
+    trees = h.trained()
+    deep = "<article>" + "<div>" * 3000 + "<p>" + "Some words of an article here. " * 50 + "</p>" + "</div>" * 3000 + "</article>"
+    wide = "<article>" + "".join(f"<p>Words of paragraph {k} stand here.</p>" for k in range(30000)) + "</article>"
+    assert list(h.main_texts([deep, wide], trees))[1] == " ".join(f"Words of paragraph {k} stand here." for k in range(30000))
+    one, page = h.features([h.parse(wide)]), h.parse(wide)
+    assert (np.concatenate(list(h.feature_blocks([page], 1000))) == one).all()
+    assert "inside" in h.main_text("<article><h1>A title of it</h1><p>Text <noscript>inside</noscript> and <canvas>there</canvas>, some more words.</p></article>", trees)
+
+
 def test_edges(spark):
     long = "<article><h1>Title here</h1>" + "<p>Some words of an article &eacute;.</p>" * 20000 + "</article>"
     page = "<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>The  title</h1><p>One\n two.</p><p>Three &#38; four, and some more words to read.</p></article><footer>&copy; me</footer></body>"
