@@ -3,24 +3,29 @@
 Tokens are runs of letters and digits in lower case, so case, punctuation and spacing don't matter. The n-grams of the
 test items are counted over all documents; those that are rare for their item are its seeds: no more than COMMON times
 as many documents hold them as hold the item's middling n-gram (and COMMON more), so an item that is itself all over
-the documents keeps its seeds, and what merely is common speech is none. A passage with two different seeds of an item at like offsets is aligned with the whole item by Smith-Waterman (2 for a
-match, -1 for a change or a gap); its score over the greatest possible one is the similarity, and pairs from `at` up
-are returned.
+the documents keeps its seeds, and what merely is common speech is none. A seed has SEED tokens, or two where the item has no
+more than SHORT of them, so that a short item with every third word changed is still met. A passage with two different seeds
+of an item at like offsets is aligned with the whole item by Smith-Waterman (2 for a match, -1 for a change or a gap); its
+score over the greatest possible one is the similarity, and pairs from `at` up are returned.
 
 The test items are the stated query set. They are taken in blocks of bounded size (about BLOCK tokens), and each block,
 broadcast with its seeds, meets all documents in two passes of Arrow batches: one counts, one joins and aligns. Only
 counts of seeds are shuffled, added up before; a passage that a third of the documents share is aligned where it
 stands, and a pair appears once, from the task that holds the document.
 
-Defined results: null or empty texts and items have no tokens and pair with nothing; items of fewer than SEED tokens
-are sought as a whole; items with equal tokens each get their pairs; rows of docs that repeat give repeated pairs; an
-empty table on either side gives no pairs; other columns are ignored.
+`clean` judges each row where it stands and moves no text.
+
+Defined results: null or empty texts and items have no tokens and pair with nothing; an item of one token is sought as such;
+items with equal tokens each get their pairs; a row without doc_id is judged by its text like any other; of passages with one
+score the first counts; rows of docs that repeat give repeated pairs; an empty table on either side gives no pairs; other
+columns are ignored, and pass through `clean`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from parley.llm.common import table
 from parley.llm.words import LetterRuns, slices, utf8, windows
 
 SEED = 3
+SHORT = 20
 COMMON = 10
 AT = 0.5
 BLOCK = 1 << 20
@@ -52,12 +58,13 @@ class Items:
         return cls(np.array(ids, np.int64), runs.hash, runs.at)
 
     def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length, hashes, items, places) of the n-grams; items that are shorter than SEED count as one n-gram."""
+        """(length, hashes, items, places) of the n-grams; the length is the one that seeds of the item have."""
         size = np.diff(self.at)
+        length = np.minimum(size, np.where(size <= SHORT, 2, SEED))
         for n in range(1, SEED + 1):
             h, first = windows(self.tokens, self.at, n)
             item = np.searchsorted(self.at, first, "right") - 1
-            good = size[item] == n if n < SEED else size[item] >= n
+            good = length[item] == n
             if good.any():
                 yield n, h[good], item[good], first[good] - self.at[item[good]]
 
@@ -238,25 +245,44 @@ def pairs_of_block(docs: DataFrame, items: Items, at: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, PAIRS)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, at: float = AT, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, similarity, passage: the pairs of a document and a test item that it holds a copy of."""
+def without_block(docs: DataFrame, items: Items, at: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((items, rare_seeds(items, frequencies(docs, items))))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, seeds = shared.value
+        for batch in batches:
+            for part, words in slices(batch):
+                keep = np.ones(part.num_rows, bool)
+                keep[[x[0] for x in aligned(LetterRuns(words.data, words.text_at, digits=True), seeds, block, at)]] = False
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def blocks_of(items: DataFrame, block: int) -> Iterator[Items]:
+    """The items in blocks of about `block` tokens."""
     sized = items.where("text is not null and text != ''").select("item_id", "text")
     tokens = sized.agg(F.sum(F.length("text"))).first()[0] or 0  # a text has fewer tokens than half its characters, and one
-    blocks = max(1, -(-tokens // (2 * block)))
-    out = None
-    for k in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        part = Items.of([r["item_id"] for r in rows], [r["text"] for r in rows])
+    n = max(1, -(-tokens // (2 * block)))
+    for k in range(n):
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        part = Items.of([-1 if r["item_id"] is None else r["item_id"] for r in rows], [r["text"] for r in rows])
         if len(part.tokens):
-            pairs = pairs_of_block(docs, part, at)
-            out = pairs if out is None else out.unionAll(pairs)
-    return out if out is not None else docs.sparkSession.createDataFrame([], PAIRS)
+            yield part
 
 
-def clean(docs: DataFrame, items: DataFrame, at: float = AT) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, at: float = AT, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, similarity, passage: the pairs of a document and a test item that it holds a copy of (item -1: no id)."""
+    pairs = [pairs_of_block(docs, part, at) for part in blocks_of(items, block)]
+    return reduce(DataFrame.unionAll, pairs) if pairs else docs.sparkSession.createDataFrame([], PAIRS)
+
+
+def clean(docs: DataFrame, items: DataFrame, at: float = AT, block: int = BLOCK) -> DataFrame:
     """The rows of docs that hold no copy of a test item."""
-    found = contaminated(docs, items, at).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    out = docs
+    for part in blocks_of(items, block):
+        out = without_block(out, part, at)
+    return out
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,17 +49,31 @@ def test_pairs_equal_brute_force(spark):
     assert len(got) >= 50
 
 
+def test_short_items_with_every_third_word_changed(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((9, 12, 15, 18, 20))]
+    docs = []
+    for k, text in items:
+        for shift in range(3):
+            words = [f"x{j}" if j % 3 == shift else w for j, w in enumerate(text.split())]
+            docs.append((len(docs), "before it " + " ".join(words) + " and after"))
+    got = {(r["doc_id"], r["item_id"]) for r in d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, k) for i, t in docs for k, q in items if brute(t.split(), q.split()) / (2 * len(q.split())) >= d.AT}
+    assert got == want and len(want) >= 10
+
+
 def test_edges(spark):
     item = "one two three four five six seven eight nine ten"
     items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "rare pair", 0), (5, item, 0)], "item_id long, text string, doc_id long")
-    rows = [(1, f"before ONE two, three four five six seven eight nine ten. {'after ' * 50000}", 9), (2, None, 9), (3, "", 9), (4, "a rare Pair here", 9), (1, item, 9), (6, "one two three four", 9), (7, "one two thre four five six sevn eight nine ten", 9)]
+    rows = [(1, f"before ONE two, three four five six seven eight nine ten. {'after ' * 50000}", 9), (2, None, 9), (3, "", 9), (4, "a rare Pair here", 9), (1, item, 9), (6, "one two three four", 9), (7, "one two thre four five six sevn eight nine ten", 9), (None, item, 9), (None, "nothing of it", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
-    got = sorted((r["doc_id"], r["item_id"], round(r["similarity"], 2)) for r in d.contaminated(docs, items).collect())
-    assert got == [(1, 1, 1.0), (1, 1, 1.0), (1, 5, 1.0), (1, 5, 1.0), (4, 4, 1.0), (7, 1, 0.7), (7, 5, 0.7)]
-    assert sorted(r["doc_id"] for r in d.clean(docs, items).collect()) == [2, 3, 6]
+    got = sorted((r["doc_id"] or 0, r["item_id"], round(r["similarity"], 2)) for r in d.contaminated(docs, items).collect())
+    assert got == [(0, 1, 1.0), (0, 5, 1.0), (1, 1, 1.0), (1, 1, 1.0), (1, 5, 1.0), (1, 5, 1.0), (4, 4, 1.0), (7, 1, 0.7), (7, 5, 0.7)]
+    for block in (d.BLOCK, 8):
+        assert sorted(r["doc_id"] or 0 for r in d.clean(docs, items, block=block).collect()) == [0, 2, 3, 6]
+    assert d.clean(docs, items).columns == docs.columns
     assert d.contaminated(docs.where("false"), items).count() == 0
     assert d.contaminated(docs, items.where("false")).count() == 0
-    small = sorted((r["doc_id"], r["item_id"], round(r["similarity"], 2)) for r in d.contaminated(docs, items, block=8).collect())
+    small = sorted((r["doc_id"] or 0, r["item_id"], round(r["similarity"], 2)) for r in d.contaminated(docs, items, block=8).collect())
     assert small == got
 
 
