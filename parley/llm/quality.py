@@ -1,25 +1,28 @@
 """Quality by co-training: a view of the text and a view of the page's metadata teach each other.
 
 The text view sees shares of character classes, word lengths and repetition, marks on words and lines; the metadata view sees
-source, language and the stated length. Each round both are fitted to what they know; each hands the rows of the
-unlabelled pool that it is surest of, by its calibrated probability, to the other as pseudo-labels. A view that is never
-sure hands over nothing, so metadata that say nothing about quality do no harm. At the end each view is calibrated by a
-logistic curve on labelled rows that its fit did not see, a last logistic regression weighs both, and all documents
-are scored.
+source, language and the stated length. Each round both are fitted to what they know and score all unlabelled documents in
+Spark; where the calibrated probability of one view is beyond `sure`, the document is handed to the other as a pseudo-label.
+A view that is never sure hands over nothing, so metadata that say nothing about quality do no harm. At the end each view is
+calibrated by a logistic curve on labelled rows that its fit did not see, a last logistic regression over those held-out
+scores weighs both, and all documents are scored.
 
-The views are fitted on the driver to bounded samples: at most `sample` labelled rows of each label and `pool` unlabelled
-ones, those with the least hash of their id; only their feature rows are collected, never texts. Scoring goes on in
-Arrow batches and shuffles nothing.
+The features of all documents are computed once and kept in the shared folder, so a round reads numbers, not texts. The
+fits go on in the driver, on bounded samples of labelled rows: at most `sample` of each label, and at most `handed` of each
+pseudo-label that a view is handed in a round, those with the least hash of their numbers. How many documents were handed over
+in all is counted over all of them. Only feature rows are collected, never texts, and scoring shuffles nothing.
 
 Defined results: a null or empty text has the features of no text at all and is scored from them; null metadata are a
-value of their own; labels that contradict each other count as the higher one; without labels of both kinds all documents
-score 1 and are kept; repeated rows repeat; an empty table gives no rows; other columns pass through `accepted`.
+value of their own; labels that contradict each other count as the higher one, for all rows that repeat their doc_id; a row
+without doc_id has no label; without labels of both kinds all documents score 1 and are kept; repeated rows repeat, and
+count once in a fit; an empty table gives no rows; `score` replaces a column of its own column's name; other columns pass
+through `accepted`.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import stored, table
+from parley.llm.common import discard, stored, table
 from parley.llm.words import Words, slices
 
 SAMPLE = 3000
-POOL = 4000
 ROUNDS = 5
-HANDED = 200
+HANDED = 500
 SURE = 0.97
 KEEP_AT = 0.5
 META_SLOTS = 256
@@ -45,6 +47,7 @@ for _k, _bytes in enumerate(_GROUPS):
     _GROUP[list(_bytes)] = _k
 _GROUP[128:] = len(_GROUPS) + 1
 N_GROUPS = len(_GROUPS) + 2
+N_FEATURES = 17 + N_GROUPS
 
 
 def _per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -143,8 +146,9 @@ def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> View:
     return View(centre, scale, weights)
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, truth: np.ndarray, l2: float) -> View:
-    """A view fitted to all rows, calibrated on the true labels by scores from three fits that did not see them."""
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, truth: np.ndarray, l2: float) -> tuple[View, np.ndarray]:
+    """A view fitted to all rows, calibrated on the true labels by scores from three fits that did not see them; and these
+    scores of the rows with true labels, calibrated as well."""
     view = fitted(x, y, weight, l2)
     fold, raw = np.arange(len(y)) % 3, np.zeros(len(y))
     for k in range(3):
@@ -152,7 +156,22 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, truth: np.ndarr
             raw[fold == k] = fitted(x[fold != k], y[fold != k], weight[fold != k], l2).raw(x[fold == k])
     if len(np.unique(y[truth])) == 2:
         view.curve = logistic(np.column_stack([raw[truth], np.ones(truth.sum())]), y[truth], l2=1e-2)
-    return view
+    return view, raw[truth] * view.curve[0] + view.curve[1]
+
+
+@dataclass
+class Rows:
+    """Feature rows of both views with their labels."""
+
+    text: np.ndarray
+    meta: np.ndarray
+    label: np.ndarray
+
+    def of(self, view: int) -> np.ndarray:
+        return self.meta if view else self.text
+
+    def join(self, other: Rows) -> Rows:
+        return Rows(*(np.concatenate(pair) for pair in ((self.text, other.text), (self.meta, other.meta), (self.label, other.label))))
 
 
 @dataclass
@@ -160,7 +179,8 @@ class Model:
     text: View
     meta: View
     blend: np.ndarray  # text logit, metadata logit, bias
-    handed: list[tuple[int, int]]
+    #: For each round and view: how many unlabelled documents it was sure of, of label 1 and 0.
+    handed: list[tuple[int, int, int, int]]
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         both = np.column_stack([self.text.logit(text), self.meta.logit(meta), np.ones(len(text))])
@@ -173,91 +193,139 @@ def one_hot(slots: np.ndarray) -> np.ndarray:
     return out
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Model:
-    """The two views after `rounds` rounds of exchange, and their blend."""
-    views = [(text, pool_text, 0.3), (meta, pool_meta, 3.0)]
-    taught = [np.full(len(pool_text), -1), np.full(len(pool_text), -1)]  # pseudo-labels that each view has been handed
-    log = []
+#: What a round asks: the two views -> for each of them the rows that it is sure of, to be handed to the other, and their number
+#: by label.
+Handed = list[tuple[Rows, int, int]]
 
-    def fit(k: int) -> View:
-        own, pool, l2 = views[k]
-        extra = taught[k] >= 0
-        x, labels = np.concatenate([own, pool[extra]]), np.concatenate([y, taught[k][extra]])
-        weight = np.concatenate([np.ones(len(y)), np.full(extra.sum(), 0.5)])
-        truth = np.arange(len(x)) < len(y)
-        return calibrated(x, labels, weight, truth, l2)
 
-    for _ in range(rounds):
-        told = []
-        for k in (0, 1):
-            p = sigmoid(fit(k).logit(views[k][1]))
-            other, n = 1 - k, 0
-            for label, confidence in ((1, p), (0, 1 - p)):
-                free = np.flatnonzero((taught[other] < 0) & (confidence >= sure))
-                best = free[np.argsort(-confidence[free], kind="stable")[:handed]]
-                told.append((other, best, label))
-                n += len(best)
-            log.append((k, n))
-        for other, best, label in told:
-            taught[other][best] = label
-        if not any(len(best) for _, best, _ in told):
+def co_train(given: Rows, ask: Callable[[list[View]], Handed], rounds: int = ROUNDS) -> Model:
+    """The two views after at most `rounds` rounds of exchange, and their blend."""
+    l2 = (0.3, 3.0)
+    nothing = Rows(given.text[:0], given.meta[:0], given.label[:0])
+    taught, log = [nothing, nothing], []
+
+    def fit(k: int) -> tuple[View, np.ndarray]:
+        rows = given.join(taught[k])
+        n = len(given.label)
+        weight = np.concatenate([np.ones(n), np.full(len(taught[k].label), 0.5)])
+        return calibrated(rows.of(k), rows.label, weight, np.arange(len(weight)) < n, l2[k])
+
+    for turn in range(rounds):
+        told = ask([fit(k)[0] for k in (0, 1)])
+        log += [(turn, k, ones, zeros) for k, (_, ones, zeros) in enumerate(told)]
+        # what a view is sure of now takes the place of what it was sure of before
+        new = [told[1][0], told[0][0]]
+        same = all(a.text.shape == b.text.shape and (a.text == b.text).all() and (a.label == b.label).all() for a, b in zip(taught, new, strict=True))
+        taught = new
+        if same:
             break
-    text_view, meta_view = fit(0), fit(1)
-    both = np.column_stack([text_view.logit(text), meta_view.logit(meta), np.ones(len(y))])
-    return Model(text_view, meta_view, logistic(both, y, l2=1.0), log)
+    (text_view, text_logit), (meta_view, meta_logit) = fit(0), fit(1)
+    both = np.column_stack([text_logit, meta_logit, np.ones(len(given.label))])
+    return Model(text_view, meta_view, logistic(both, given.label, l2=1.0), log)
+
+
+_FEATURES = "doc_id long, features array<float>, slots array<int>"
+
 
+def _columns(part: pa.RecordBatch, names: tuple[str, ...]) -> list[pa.Array]:
+    return [part.column(part.schema.get_field_index(name)) for name in names]
 
-_FEATURES = "quality int, h long, features array<double>, slots array<int>"
 
+def _slots(part: pa.RecordBatch) -> np.ndarray:
+    return np.array([meta_slots(*x) for x in zip(*(c.to_pylist() for c in _columns(part, ("source", "lang", "n_chars"))), strict=True)], np.int32).reshape(-1, 3)
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, words in slices(batch):
-            rows = text_features(words)
-            column = {name: part.column(part.schema.get_field_index(name)) for name in ("quality", "h", "source", "lang", "n_chars")}
-            slots = [list(meta_slots(*x)) for x in zip(*(column[c].to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [column["quality"], column["h"], pa.array(list(rows), pa.list_(pa.float64())), pa.array(slots, pa.list_(pa.int32()))],
-                names=["quality", "h", "features", "slots"],
-            )
 
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source, lang, n_chars -> doc_id, features, slots."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words in slices(batch):
+                x = text_features(words).astype(np.float32)
+                slots = _slots(part)
+                columns = [pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel())) for m in (x, slots)]
+                yield pa.RecordBatch.from_arrays([*_columns(part, ("doc_id",)), *columns], names=["doc_id", "features", "slots"])
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
+    named = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    return named.mapInArrow(rows, _FEATURES)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _collected(rows: DataFrame) -> Rows:
+    """features, slots, label of a bounded table, in one order whatever the partitions."""
+    found = rows.orderBy("h", "features", "slots").select("features", "slots", "label").toArrow()
+    if not found.num_rows:
+        return Rows(np.zeros((0, N_FEATURES)), np.zeros((0, META_SLOTS)), np.zeros(0))
+    features, slots, label = (c.combine_chunks() for c in found.columns)
+    return Rows(_matrix(features).astype(float), one_hot(_matrix(slots)), np.asarray(label, float))
+
+
+def _least(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` different rows (features, slots, label), those with the least hash."""
+    return rows.select("features", "slots", "label", F.xxhash64("features", "slots").alias("h")).distinct().orderBy("h", "features", "slots").limit(most)
+
+
+def sure_of(unlabelled: DataFrame, views: list[View], sure: float) -> DataFrame:
+    """Every unlabelled row (features, slots) of which a view is sure: view, label, features, slots."""
+    shared = unlabelled.sparkSession.sparkContext.broadcast(views)  # a few hundred numbers
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features, slots = (batch.column(batch.schema.get_field_index(c)) for c in ("features", "slots"))
+            for k, view in enumerate(shared.value):
+                p = sigmoid(view.logit(one_hot(_matrix(slots)) if k else _matrix(features).astype(float)))
+                for label in (1, 0):
+                    found = np.flatnonzero((p if label else 1 - p) >= sure)
+                    taken = [features.take(pa.array(found)), slots.take(pa.array(found))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(np.full(len(found), label, np.int32)), *taken], names=["view", "label", "features", "slots"])
+
+    return unlabelled.select("features", "slots").mapInArrow(rows, "view int, label int, features array<float>, slots array<int>")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, handed: int = HANDED, rounds: int = ROUNDS, sure: float = SURE) -> Model | None:
     """Fits the model to docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality)."""
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    ids = stored(docs.select("doc_id").distinct().join(known, "doc_id", "left"), "labelled")
-    picked = None
-    for kind, most in ((1, sample), (0, sample), (None, pool)):
-        test = F.col("quality").isNull() if kind is None else F.col("quality") == kind
-        part = ids.where(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        picked = part if picked is None else picked.unionAll(part)
-    # at most 2 * sample + pool ids, so this side is always small enough to broadcast
-    rows_of = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    chosen = rows_of.join(F.broadcast(picked), "doc_id").select("quality", F.xxhash64("text").alias("h"), "text", "source", "lang", "n_chars")
-    rows = chosen.mapInArrow(_featured, _FEATURES).dropDuplicates(["h", "quality"]).orderBy("h", "quality").toPandas()
-    given = rows["quality"].notna().to_numpy()
-    y = rows["quality"].to_numpy(float)[given]
-    if len(np.unique(y)) < 2:
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    every = stored(featured(docs).join(known, "doc_id", "left").select("features", "slots", "label"), "features")
+    given = [_collected(_least(every.where(F.col("label") == k), sample)) for k in (1, 0)]
+    if not all(len(x.label) for x in given):
         return None
-    text = np.array(rows["features"].tolist())
-    meta = one_hot(np.array(rows["slots"].tolist()))
-    return co_train(text[given], meta[given], y, text[~given], meta[~given])
+    # labels take turns, so that each fold holds both
+    rows = given[0].join(given[1])
+    turn = np.argsort(np.concatenate([np.arange(len(x.label)) / len(x.label) for x in given]), kind="stable")
+    rows = Rows(rows.text[turn], rows.meta[turn], rows.label[turn])
+    free = every.where("label is null")
+
+    def ask(views: list[View]) -> Handed:
+        found = stored(sure_of(free, views, sure), "sure")
+        n = {(r["view"], r["label"]): r["n"] for r in found.groupBy("view", "label").agg(F.count("*").alias("n")).collect()}
+        out = []
+        for k in (0, 1):
+            ones, zeros = (_collected(_least(found.where((F.col("view") == k) & (F.col("label") == label)), handed)) for label in (1, 0))
+            out.append((ones.join(zeros), n.get((k, 1), 0), n.get((k, 0), 0)))
+        discard(found)
+        return out
+
+    model = co_train(rows, ask, rounds)
+    discard(every)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "quality_score") -> DataFrame:
-    """Every row of docs with its score, 0 to 1, as the column `name`, which docs must not have."""
+    """Every row of docs with its score, 0 to 1, as the column `name`."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, `{name}` double"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in slices(batch):
-                if shared.value is None:
-                    value = np.ones(part.num_rows)
-                else:
-                    column = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("source", "lang", "n_chars")]
-                    slots = np.array([meta_slots(*x) for x in zip(*column, strict=True)]).reshape(-1, 3)
-                    value = shared.value.score(text_features(words), one_hot(slots))
+                value = np.ones(part.num_rows)
+                if shared.value is not None:
+                    # as the features were rounded when they were stored
+                    value = shared.value.score(text_features(words).astype(np.float32).astype(float), one_hot(_slots(part)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, name])
 
     return docs.mapInArrow(rows, schema)
