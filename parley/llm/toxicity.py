@@ -9,12 +9,17 @@ The field has a clean and a toxic label. A token's features are its word (of the
 letters, its length and the words beside it. Forward-backward gives each token's probability of being toxic; a logistic
 curve over the greatest and the summed probability of a document, fitted to the same labels, gives its score.
 
-The field is fitted on the driver to a bounded sample: at most `sample` toxic and `sample` clean labelled rows, those
-with the least hash of their id. Everything else runs in Arrow batches and shuffles nothing.
-
-Defined results: a null or empty text has no tokens and gets the score of a document without toxic tokens; repeated rows
-repeat; documents without label are scored like all; where no labelled toxic row can be learned from, all score 0; an
-empty table gives no rows; other columns are ignored.
+The field is fitted on the driver to a bounded sample: at most `sample` toxic and `sample` clean labelled documents, those
+with the least hash of their id, and no more of them than have SAMPLE_BYTES of text together; of rows that repeat an id the
+one with the least digest. Its vocabulary, a bound of the model and not of what is scored, is every word with a mark and the
+FREQUENT most frequent ones of the sample; other words are told by their stems and last letters. Everything else runs in Arrow
+batches and shuffles nothing.
+
+Defined results: a null or empty text has no tokens and gets the score of a document without toxic tokens; a row without
+doc_id is scored like any other, and its held_out is null; repeated rows repeat; labels that contradict each other count as
+the higher one; documents without label are scored like all; of equally frequent words the one with the lesser hash is in the
+vocabulary; where no labelled toxic row can be learned from, all score 0; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from parley.llm import crf
 from parley.llm.common import stored, table, whole_text
 from parley.llm.words import LetterRuns, mixed, slices, utf8, windows
 
-SAMPLE = 500
+SAMPLE, SAMPLE_BYTES = 500, 48 << 20
+FREQUENT = 2000
 TRAIN_RUN = 64  # items of a training sequence; longer texts are cut into several
 TOXIC_AT = 0.3
 BUCKETS = 1 << 14
@@ -167,7 +173,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0) -> Model
         return None
     # the vocabulary: words with a mark, and those that are frequent enough to learn contexts from
     words, n = np.unique(tokens.hash, return_counts=True)
-    frequent = words[np.argsort(-n, kind="stable")[:2000]]
+    frequent = words[np.argsort(-n, kind="stable")[:FREQUENT]]
     words, n = np.unique(tokens.hash[marked], return_counts=True)
     vocabulary = np.unique(np.concatenate([words[n >= 2], frequent]))
     features = tokens.features(vocabulary)
@@ -194,21 +200,31 @@ def per_text(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return greatest, summed
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of the sample, and how many clean rows one sampled clean row stands for, against toxic ones.
 
-    Ids are joined and picked first, by their hash; only the picked rows' texts (2 * sample at most) are read after that.
+    Ids and lengths are joined and picked first, by the hash of the id; only the picked rows' texts are read after that.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    eligible = docs.select("doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).distinct()
-    rows = stored(eligible.join(known, "doc_id"), "labelled")
+    eligible = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & (whole_text() != ""))
+    digest = F.unhex(F.sha2("text", 256))
+    one = eligible.groupBy("doc_id").agg(F.min(F.struct(digest.alias("digest"), F.octet_length("text").alias("size"))).alias("row"))
+    rows = stored(one.join(known, "doc_id").select("doc_id", "row.*", "toxic"), "labelled")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = {k: [r[0] for r in rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").collect()] for k in (1, 0)}
-    of = {i: k for k, ids in picked.items() for i in ids}
+    picked = {k: rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "size").collect() for k in (1, 0)}
+    of, held = {}, 0
+    for turn in range(sample):  # toxic and clean ones in turn, as far as their texts have room
+        for k in (1, 0):
+            if turn < len(picked[k]) and held + picked[k][turn]["size"] <= sample_bytes:
+                of[picked[k][turn]["doc_id"]] = k
+                held += picked[k][turn]["size"]
     if not of:
         return [], np.zeros(0, np.int64), 1.0
-    found = docs.where(F.col("doc_id").isin(list(of)) & (whole_text() != "")).select("doc_id", "text").orderBy("doc_id", "text").collect()
-    ratios = [counts.get(k, 0) / max(1, len(picked[k])) for k in (1, 0)]
+    chosen = rows.where(F.col("doc_id").isin(list(of))).select("doc_id", "digest")  # at most 2 * sample rows
+    texts = docs.where(F.col("doc_id").isin(list(of))).select("doc_id", "text", digest.alias("digest")).join(F.broadcast(chosen), ["doc_id", "digest"])
+    found = texts.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    n_picked = [sum(v == k for v in of.values()) for k in (1, 0)]
+    ratios = [counts.get(k, 0) / max(1, n) for k, n in zip((1, 0), n_picked, strict=True)]
     return [r["text"] for r in found], np.array([of[r["doc_id"]] for r in found], np.int64), ratios[1] / (ratios[0] or 1.0)
 
 

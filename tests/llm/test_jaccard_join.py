@@ -53,12 +53,34 @@ def test_equals_brute_force(spark):
     docs = spark.createDataFrame([(*r, 0) for r in [*rows, rows[0], rows[7]]], "doc_id long, text string, root long")
     want = brute(rows)
     assert sum(w[3] for w in want) > 100
-    for block in (4, 512):  # components of several blocks, and of one
-        assert sorted(tuple(r) for r in j.join(docs, block).collect()) == want
-    kept = sorted(r["doc_id"] for r in j.deduplicated(docs.dropDuplicates(["doc_id"])).collect())
+    for limits in ((4, 8 << 20, 8), (512, 2000, 1), (512, 8 << 20, 8)):  # blocks by members and by bytes, cells made one
+        assert sorted(tuple(r) for r in j.join(docs, *limits).collect()) == want
+    kept = sorted(r["doc_id"] for r in j.deduplicated(docs).collect())
     assert kept == sorted(w[0] for w in want if w[0] == w[1])
 
 
+def test_rows_without_id_and_columns_of_any_name(spark):
+    long = " ".join(f"w{k % 977}" for k in range(60000))
+    rows = [(1, "a b c d e f", 1, 1, "x"), (None, "a b c d e f", 2, 2, "x"), (None, "only here and nowhere else", 3, 3, None), (None, "only here and nowhere else", 3, 3, None), (None, None, 4, 4, None), (5, long, 5, 5, None), (6, long + " end", 6, 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, tied int, node string")
+    got = [tuple(r) for r in j.join(docs).collect()]
+    assert {r for r in got if r[0]} == {(1, 1, 1, 0), (5, 5, 5, 1), (6, 5, 6, 1)}
+    unnamed = [r for r in got if r[0] is None]
+    assert len(unnamed) == 3 and sum(r[1] == 1 for r in unnamed) == 1 and all(r[1] == 1 or r[1] >= j.UNNAMED for r in unnamed)
+    kept = j.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["n"]) for r in kept.collect()) == [(0, 3), (0, 4), (1, 1), (5, 5)]
+
+
+def test_met_deals_no_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(j, "SHARE", 3)
+    rows = spark.createDataFrame([(k % 4 if k < 20 else 9, k) for k in range(100)], "key long, x long")
+    facts = rows.groupBy("key").count().withColumnRenamed("count", "n").where("key != 2")
+    for how in ("inner", "left"):
+        got = {(r["x"], r["n"]) for r in j.met(rows, facts, ["key"], 100, how).collect()}
+        assert got == {(r["x"], r["n"]) for r in rows.join(facts, "key", how).collect()}
+
+
 def test_empty(spark):
     assert j.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
