@@ -6,22 +6,31 @@ shingle) have a Jaccard similarity of AT or more.
 Classes. Documents with equal texts are one class; only its least doc_id, the representative, goes on.
 
 Candidates. Each representative has BANDS * ROWS MinHash values. Representatives that agree on all values of a band share a
-bucket; a pair at the threshold shares none with a probability of (1 - AT**ROWS)**BANDS, 1e-7. Buckets of one member
-are dropped, the others tie their members to the least one, and connected ties make a component. So each text moves
-once, to its component, and not once for each bucket.
+bucket, and are candidates of each other; a pair at the threshold shares none with a probability of (1 - AT**ROWS)**BANDS,
+1e-7. Buckets of one member are dropped.
 
-Pruning and verification. A component is cut into blocks of at most BLOCK members by hash, and each pair of blocks is one
-group of rows in one task, so a component of any size is spread. In it, pairs that share a bucket are compared MinHash
-value by MinHash value, STEP at a time: with m agreements of n, the posterior probability that the similarity reaches AT
-is the upper tail of a beta distribution (from a uniform prior), and the pair is dropped where that is below TOLERANCE.
-What is left is verified by its exact Jaccard similarity, many pairs at once by a product of bit rows. Rows that leave
-are links counted for each member and ties to a spanning forest: as many as members, never pairs.
+Cells. So that a text moves once or twice and not once for each bucket, each representative gets a cell: the least member
+that most of its buckets have as their least one. Wherever two cells meet in a bucket, the members in it are sent to the pair of
+cells, so each two candidates meet exactly once, in the pair of their cells. Nothing is closed over chains of candidates,
+so weak ties do not grow into large groups. (A bucket in which more than CELLS cells meet makes them one.)
+
+Pruning and verification. The sides of a pair of cells are cut into blocks of at most BLOCK members and BLOCK_BYTES of text
+by hash, and each pair of blocks is one group of rows in one task, so cells of any size are spread. In it, pairs that share
+a bucket are compared MinHash value by MinHash value, STEP at a time: with m agreements of n, the posterior probability that
+the similarity reaches AT is the upper tail of a beta distribution (from a uniform prior), and the pair is dropped where that
+is below TOLERANCE. What is left is verified by its exact Jaccard similarity, many pairs at once by a product of bit rows.
+Rows that leave are links counted for each member and ties to a spanning forest: as many as members, never pairs.
 
 Groups. Ties connect representatives; the least doc_id of a group of linked classes is its class_id.
 
-Defined results: null and empty texts are of one class and linked to no other; ties and repeated rows of one doc_id give
-one row, by the least text; an empty table gives no rows; other columns are ignored by `join` and pass through
-`deduplicated`.
+Hot keys. Whenever rows meet facts of their key, the facts of keys that hold a SHARE-th of the rows or more, of which there are
+SHARE at most, are broadcast, and only the rest is dealt by key.
+
+Defined results: null and empty texts are of one class and linked to no other; rows that repeat a doc_id count once in
+`join`, by the text with the least digest; a row without doc_id takes part under a number from 2**62 up that its text gives it
+(rows with equal texts share it), greater than any doc_id: its doc_id stays null, and its class_id is such a number only
+where no row with a doc_id is in its group; `deduplicated` keeps one row of each group, whatever repeats; an empty table
+gives no rows; other columns are ignored by `join` and pass through `deduplicated`.
 """
 
 from __future__ import annotations
@@ -33,10 +42,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import release, stored, table, whole_text, with_least
+from parley.llm.common import discard, release, stored, table, whole_text, with_least
 from parley.llm.words import WORD_BASE, Words, mixed, signed, slices, span_hashes, utf8, windows
 
 SHINGLE = 5
@@ -44,7 +53,10 @@ AT = 0.8
 BANDS, ROWS = 40, 5
 STEP = 20
 TOLERANCE = 1e-9
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+CELLS = 8
+SHARE = 1000
+UNNAMED = 1 << 62
 SLOTS = 1 << 19
 
 _HASHES = BANDS * ROWS
@@ -99,8 +111,13 @@ def least_agreements() -> np.ndarray:
     return out
 
 
+def node() -> Column:
+    """The doc_id, or what stands in for it."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(whole_text()), F.lit(UNNAMED >> 1)))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, buckets: the bucket of each band, for each document that has any shingle."""
+    """node, size (bytes of text), buckets: the bucket of each band, for each document that has any shingle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +127,22 @@ def signatures(docs: DataFrame) -> DataFrame:
                     continue
                 sets = shingles(words)
                 keys = bands(np.stack([minhash(sets[k]) for k in full]))
-                ids = np.asarray(part.column(part.schema.get_field_index("doc_id")))[full]
+                nodes = np.asarray(part.column(part.schema.get_field_index("node")))[full]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(signed(keys.ravel())))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["doc_id", "buckets"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.diff(words.text_at)[full]), lists], names=["node", "size", "buckets"])
+
+    return docs.select("node", "text").mapInArrow(rows, "node long, size long, buckets array<long>")
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(rows, "doc_id long, buckets array<long>")
+
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined to facts, which have one row for each key with `n`, the number of rows that have it (`total` in all).
+
+    At most SHARE keys have total / SHARE rows or more; their facts are broadcast, and no hot key is dealt to one task.
+    """
+    hot = F.col("n") * SHARE >= max(1, total)
+    marked = rows.join(F.broadcast(facts.where(hot).withColumn("_hot", F.lit(True))), keys, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(facts.where(~hot), keys, how)
+    return marked.where("_hot").drop("_hot").unionByName(rest)
 
 
 def components(ties: DataFrame) -> DataFrame:
@@ -127,14 +155,16 @@ def components(ties: DataFrame) -> DataFrame:
     edges = stored(ties.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "ties")
     print_of = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
     state = edges.select(*print_of).first()
-    while True:
+    while state["n"]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = met(both.where("v > u"), least, ["u"], 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met(large, least, ["u"], state["n"])
         tied = small.select("u", F.col("m").alias("v")).unionAll(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges, before = stored(tied.where("u != v").distinct(), "ties"), state
+        was, before = edges, state
+        edges = stored(tied.where("u != v").distinct(), "ties")
+        discard(was)
         state = edges.select(*print_of).first()
         if state == before:
             break
@@ -218,12 +248,12 @@ def common(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np
 
 
 def links_of_group(group: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one pair of blocks -> doc_id, tied (the least member it is tied to here), n (its links here)."""
-    same = group["left"].iloc[0] == group["right"].iloc[0]
-    group = group.drop_duplicates(["doc_id", "side"])  # rows that repeat
-    sides = [group[group["side"] == k].sort_values("doc_id") for k in (0, 1)]
-    a = Block(sides[0]["doc_id"].to_numpy(), sides[0]["text"].tolist())
-    b = a if same else Block(sides[1]["doc_id"].to_numpy(), sides[1]["text"].tolist())
+    """The rows of one pair of blocks -> node, tied (the least member it is tied to here), n (its links here)."""
+    same = group["left"].iloc[0] == group["right"].iloc[0] and group["i"].iloc[0] == group["j"].iloc[0]
+    group = group.drop_duplicates(["node", "side"])  # rows that repeat
+    sides = [group[group["side"] == k].sort_values("node") for k in (0, 1)]
+    a = Block(sides[0]["node"].to_numpy(), sides[0]["text"].tolist())
+    b = a if same else Block(sides[1]["node"].to_numpy(), sides[1]["text"].tolist())
     i, j = linked(a, b, same) if len(a.ids) and len(b.ids) else (np.zeros(0, np.int64),) * 2
     ids = a.ids if same else np.concatenate([a.ids, b.ids])
     j = j if same else j + len(a.ids)
@@ -238,59 +268,130 @@ def links_of_group(group: pd.DataFrame) -> pd.DataFrame:
             break
         root = new
     some = n > 0
-    return pd.DataFrame({"doc_id": ids[some], "tied": ids[root[some]], "n": n[some]})
+    return pd.DataFrame({"node": ids[some], "tied": ids[root[some]], "n": n[some]})
 
 
-def verified(reps: DataFrame, chosen: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, tied, n for each member of a component and pair of blocks in which it has links.
+def candidates(buckets: DataFrame) -> DataFrame:
+    """bucket, node, size -> the same with head, the least member, where a bucket has others, stored."""
+    heads = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "heads")
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    out = stored(met(buckets, heads, ["bucket"], total).select("bucket", "node", "size", "head"), "candidates")
+    discard(heads)
+    return out
 
-    reps: doc_id, digest, text; chosen: doc_id and the digest of the text that counts, where rows repeat a doc_id.
+
+def cells(found: DataFrame, most: int = CELLS) -> DataFrame:
+    """bucket, node, size, cell for each candidate (bucket, node, size, head), stored."""
+    votes = found.groupBy("node", "head").agg(F.count("*").alias("votes"))
+    own = votes.groupBy("node").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("cell"))
+    held = stored(found.join(own, "node").select("bucket", "node", "size", "cell"), "cells")
+    pairs = held.groupBy("bucket", "cell").agg(F.count("*").alias("n"))
+    wide = pairs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cell").alias("least")).where(F.col("n") > most)
+    wide = stored(wide, "wide")
+    total = wide.agg(F.sum("n")).first()[0]
+    if total:
+        ties = met(pairs.select("bucket", "cell"), wide, ["bucket"], total).select(F.col("cell").alias("a"), F.col("least").alias("b"))
+        roots = stored(components(ties), "roots").withColumnRenamed("node", "cell")
+        n_of = held.groupBy("cell").agg(F.count("*").alias("n"))
+        n_held = n_of.agg(F.sum("n")).first()[0]
+        one = met(held, n_of.join(roots, "cell"), ["cell"], n_held, "left")
+        was, held = held, stored(one.select("bucket", "node", "size", F.coalesce("root", "cell").alias("cell")), "cells")
+        discard(was)
+    discard(wide)
+    return held
+
+
+def placed(held: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """node and its places (left, right: a pair of cells; i, j: their blocks; side), stored."""
+    in_bucket = held.groupBy("bucket", "cell").agg(F.count("*").alias("n"))
+    shared = in_bucket.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_set("cell").alias("meet")).where(F.size("meet") > 1)
+    shared = stored(shared, "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    others = met(held, shared, ["bucket"], total).select("node", "size", "cell", F.explode("meet").alias("other")).where("cell != other")
+    every = held.select("node", "size", "cell", F.col("cell").alias("other")).unionAll(others).distinct()
+    sided = stored(every.select("node", "size", F.least("cell", "other").alias("left"), F.greatest("cell", "other").alias("right"), (F.col("cell") > F.col("other")).cast("int").alias("side")), "sided")
+    n_blocks = lambda k: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == k) / block), F.ceil(F.coalesce(F.sum(F.when(F.col("side") == k, F.col("size"))), F.lit(0)) / block_bytes)).cast("int")
+    sizes = sided.groupBy("left", "right").agg(F.count("*").alias("n"), n_blocks(0).alias("rows"), n_blocks(1).alias("columns")).where("n > 1")
+    sizes = stored(sizes, "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    one_cell = F.col("left") == F.col("right")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("rows")).otherwise(F.col("columns"))).cast("int")
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    across = F.sequence(F.lit(0), F.when(one_cell | (F.col("side") == 1), F.col("rows")).otherwise(F.col("columns")) - 1)
+    places = F.when(one_cell, F.transform(across, lambda o: place(F.least("own", o), F.greatest("own", o), F.col("own") > o))).otherwise(
+        F.transform(across, lambda o: place(F.when(F.col("side") == 0, F.col("own")).otherwise(o), F.when(F.col("side") == 0, o).otherwise(F.col("own")), F.col("side")))
+    )
+    out = met(sided, sizes, ["left", "right"], total).withColumn("own", own).select("node", "left", "right", F.inline(places))
+    out = stored(out, "placed")
+    for done in (shared, sided, sizes):
+        discard(done)
+    return out
+
+
+def verified(reps: DataFrame, chosen: DataFrame, places: DataFrame) -> DataFrame:
+    """node, tied, n for each member and pair of blocks in which it has links.
+
+    reps: node, digest, text; chosen: node and the digest of the text that counts, where rows repeat a doc_id.
     """
-    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
-    members = roots.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    met = F.transform(others, lambda o: F.struct(F.least("own", o).alias("left"), F.greatest("own", o).alias("right"), (F.col("own") > o).cast("int").alias("side")))
-    placed = stored(members.select("doc_id", "root", F.inline(met)), "placed")
-    # most texts have no candidate: a sieve of SLOTS hash slots at most, which is all that is broadcast, keeps them from the shuffle
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    slots = placed.select(slot.alias("slot")).distinct()
+    # most texts have no candidate: a sieve of SLOTS hash slots at most, which is all that is broadcast, keeps them from the
+    # shuffle. With more candidates than slots it lets all texts through, and each is shuffled once.
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS))
+    slots = places.select(slot.alias("slot")).distinct()
     near = reps.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    texts = near.join(chosen, "doc_id").where("digest = chosen").select("doc_id", "text").join(placed, "doc_id")
-    return texts.groupBy("root", "left", "right").applyInPandas(links_of_group, "doc_id long, tied long, n long")
+    texts = near.join(chosen, "node").where("digest = chosen").select("node", "text").join(places, "node")
+    return texts.groupBy("left", "right", "i", "j").applyInPandas(links_of_group, "node long, tied long, n long")
 
 
-def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its group of linked classes), rep_id (the least with the same text) and
-    n_links (other texts that its text is linked to)."""
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+def classes(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, most_cells: int = CELLS) -> DataFrame:
+    """node, class_id, rep_id, n_links."""
+    spark, docs = docs.sparkSession, docs.select(node().alias("node"), "text")
     digest = F.unhex(F.sha2(whole_text(), 256))
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("digest"))
-    members = stored(with_least(one, "digest", "doc_id", "rep_id").select("doc_id", "rep_id", "digest"), "classes")
-    chosen = members.where("doc_id = rep_id").select("doc_id", F.col("digest").alias("chosen"))
-    members = members.select("doc_id", "rep_id")
-    reps = docs.select("doc_id", digest.alias("digest"), whole_text().alias("text"))
-    own = members.where("doc_id = rep_id").select("doc_id")
-    signed_reps = signatures(docs).join(own, "doc_id", "left_semi")
-    buckets = stored(signed_reps.select("doc_id", F.explode("buckets").alias("bucket")), "buckets")
+    one = docs.groupBy("node").agg(F.min(digest).alias("digest"))
+    members = stored(with_least(one, "digest", "node", "rep_id").select("node", "rep_id", "digest"), "classes")
+    chosen = members.where("node = rep_id").select("node", F.col("digest").alias("chosen"))
+    members = members.select("node", "rep_id")
+    reps = docs.select("node", digest.alias("digest"), whole_text().alias("text"))
+    signed_reps = signatures(docs).join(chosen.select("node"), "node", "left_semi")
+    buckets = stored(signed_reps.select("node", "size", F.explode("buckets").alias("bucket")), "buckets")
     release(spark)
-    heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("bucket", "head")
-    ties = buckets.join(heads, "bucket").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    roots = stored(components(ties), "components")
+    found = candidates(buckets)
+    discard(buckets)
     release(spark)
-    found = stored(verified(reps, chosen, roots, block), "links")
+    held = cells(found, most_cells)
+    discard(found)
+    places = placed(held, block, block_bytes)
+    discard(held)
     release(spark)
-    groups = components(found.select(F.col("doc_id").alias("a"), F.col("tied").alias("b")))
-    counts = found.groupBy("doc_id").agg(F.sum("n").alias("n_links")).withColumnRenamed("doc_id", "rep_id")
-    roots_of = groups.select(F.col("node").alias("rep_id"), "root")
-    out = members.join(counts, "rep_id", "left").join(roots_of, "rep_id", "left")
-    return out.select("doc_id", F.coalesce("root", "rep_id").alias("class_id"), "rep_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links = stored(verified(reps, chosen, places), "links")
+    discard(places)
+    release(spark)
+    groups = components(links.select(F.col("node").alias("a"), F.col("tied").alias("b")))
+    counts = links.groupBy("node").agg(F.sum("n").alias("n_links"))
+    copies = members.groupBy("rep_id").agg(F.count("*").alias("n"))
+    facts = groups.join(counts, "node", "full").select(F.col("node").alias("rep_id"), "root", "n_links").join(copies, "rep_id")
+    facts = stored(facts, "facts")
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    out = met(members, facts, ["rep_id"], total, "left")
+    return out.select("node", F.coalesce("root", "rep_id").alias("class_id"), "rep_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, most_cells: int = CELLS) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its group of linked classes), rep_id (the least with the same text) and
+    n_links (other texts that its text is linked to)."""
+    named = F.when(F.col("node") < UNNAMED, F.col("node")).alias("doc_id")
+    return classes(docs, block, block_bytes, most_cells).select(named, "class_id", "rep_id", "n_links")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs of one document for each group: the one with the least doc_id."""
-    kept = join(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of docs for each group: of the least doc_id."""
+    columns = docs.columns
+    rows = docs.select(node().alias("node"), F.struct("*").alias("row"))
+    kept = classes(docs).where("node = class_id").select("node")
+    times = rows.groupBy("node").agg(F.count("*").alias("times"))
+    kept = stored(kept.join(times, "node"), "kept")
+    once = rows.join(kept.where("times = 1"), "node", "left_semi")
+    again = rows.join(kept.where("times > 1"), "node", "left_semi").groupBy("node").agg(F.min_by("row", F.sha2(F.coalesce("row.text", F.lit("")), 256)).alias("row"))
+    return once.select("row.*").unionAll(again.select("row.*")).select(*columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
