@@ -8,7 +8,7 @@ anchors, and neighbouring windows mostly share theirs, so a document has far few
 anchor of a document and its context, a hash of all windows of that document that have the anchor. Equal fingerprints mean equal
 windows, so the least document of a fingerprint speaks for all others, whose windows there are repeats. A run of the index
 holds each fingerprint with its least document, dealt into buckets and sorted by anchor, and never changes; beside it stand the
-texts of the batch, dealt by document, and the digest of each whole text with its first document.
+texts of the batch, dealt by document, each with its digest.
 
 A batch is taken in like this. Its fingerprints are written as a run and merge-joined with every run before it; as all runs are
 bucketed alike, none of them is shuffled. A fingerprint that a smaller document has is a repeat as a whole. Where an anchor
@@ -152,13 +152,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "place long, context long, doc_id long, repeats array<long>")
 
 
-_SEEN = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("repeats", pa.list_(pa.int64()))])
+_SEEN = pa.schema([("place", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("repeats", pa.list_(pa.int64()))])
 
 
 def windows_at(docs: DataFrame) -> DataFrame:
-    """doc_id, text, anchors -> anchor, digest, doc_id, repeats: the windows of each document that have one of its anchors.
+    """doc_id, text, anchors -> place, digest, doc_id, repeats: the windows of each document that have one of its anchors.
 
-    As with fingerprints, only the least document of a slice has a window as a row; what the others hold of it are repeats.
+    As with fingerprints, only the least document of a slice has a window as a row, placed by its anchor; what the others hold of
+    it are repeats.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,17 +173,17 @@ def windows_at(docs: DataFrame) -> DataFrame:
                     held[a:b] = np.isin(w.anchor[a:b].view(np.int64), np.asarray(wanted[k].values))
                 ids, anchor, digest = _ids(part)[w.text[held]], w.anchor[held], w.digest[held]
                 first, again = _least(ids, anchor, digest)
-                yield _batch(_SEEN, len(first), anchor=pa.array(signed(anchor[first])), digest=pa.array(signed(digest[first])), doc_id=pa.array(ids[first]))
+                yield _batch(_SEEN, len(first), place=pa.array(signed(anchor[first])), digest=pa.array(signed(digest[first])), doc_id=pa.array(ids[first]))
                 if len(again):
                     owner, repeats = _lists(ids[again], digest[again])
-                    yield _batch(_SEEN, len(owner), doc_id=pa.array(owner), repeats=repeats)
+                    yield _batch(_SEEN, len(owner), place=pa.array(signed(mixed(owner.view(np.uint64)))), doc_id=pa.array(owner), repeats=repeats)
 
-    return docs.select("doc_id", "text", "anchors").mapInArrow(rows, "anchor long, digest long, doc_id long, repeats array<long>")
+    return docs.select("doc_id", "text", "anchors").mapInArrow(rows, "place long, digest long, doc_id long, repeats array<long>")
 
 
 @dataclass(frozen=True)
 class Run:
-    """One run: `name` has the fingerprints, `name`_texts the texts and `name`_keys the first documents of texts."""
+    """One run: the table `name` has the fingerprints, and `name`_texts the texts."""
 
     name: str
     level: int
@@ -209,7 +210,7 @@ class FingerprintIndex:
         (writer.sortBy(by) if order else writer).saveAsTable(name)
 
     def texts(self, run: Run) -> DataFrame:
-        """doc_id, text, copied."""
+        """doc_id, text, key, copied."""
         return self.spark.table(f"{run.name}_texts")
 
     def fresh(self, run: Run) -> DataFrame:
@@ -221,18 +222,15 @@ class FingerprintIndex:
 
     def firsts(self) -> DataFrame | None:
         """key, first of all runs."""
-        return reduce(DataFrame.unionAll, [self.spark.table(f"{run.name}_keys") for run in self.runs]) if self.runs else None
+        held = [self.texts(run).where("not copied and doc_id is not null").select("key", F.col("doc_id").alias("first")) for run in self.runs]
+        return reduce(DataFrame.unionAll, held) if held else None
 
-    def add(self, texts: DataFrame, keys: DataFrame) -> Run:
-        """Writes a run of texts (doc_id, text, copied; dealt by doc_id) with their keys (key, first). It does not count before
-        it is in `runs`."""
+    def add(self, texts: DataFrame) -> Run:
+        """Writes a run of texts (doc_id, text, key, copied; dealt by doc_id). It does not count before it is in `runs`."""
         run = self.new()
         self._save(texts, f"{run.name}_texts", "doc_id")
-        self._save(keys, f"{run.name}_keys")
-        release(self.spark)
         made = fingerprints(self.texts(run).where("not copied"))
         self._save(made.repartition(self.buckets, "place"), run.name, "place", order=True)  # one file a bucket
-        release(self.spark)
         return run
 
     def compared(self, run: Run) -> DataFrame:
@@ -263,10 +261,9 @@ class FingerprintIndex:
             wanted = wanted.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
             found = windows_at(self.texts(other).where("not copied").join(wanted.hint("shuffle_hash"), "doc_id"))
             seen.append(found.withColumn("new", F.lit(other is run)))
-        rows = stored(reduce(DataFrame.unionAll, seen), "windows")
-        least = F.min("doc_id").over(Window.partitionBy("anchor", "digest"))
-        held = rows.where("digest is not null").select("digest", "doc_id", "new", least.alias("least"))
-        return held.where("new and doc_id > least").select("doc_id", F.array("digest").alias("marks")).unionAll(rows.where("new and repeats is not null").select("doc_id", "repeats"))
+        least = F.min(F.when(F.col("digest").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("place", "digest"))
+        rows = reduce(DataFrame.unionAll, seen).withColumn("least", least).where("new and (repeats is not null or doc_id > least)")
+        return rows.select("doc_id", F.coalesce("repeats", F.array("digest")).alias("marks"))
 
     def compact(self) -> None:
         """Merges runs of one level, once there are `fan` of them, into one of the next level."""
@@ -290,19 +287,16 @@ class FingerprintIndex:
         a, b = (self.least(x).withColumnRenamed("first", name).hint("merge") for x, name in ((one, "a"), (two, "b")))
         self._save(a.join(b, ["place", "context"], "full").select("place", "context", F.least("a", "b").alias("doc_id")), run.name, "place", order=True)
         x, y = (self.texts(of).where("not copied and doc_id is not null") for of in (one, two))
-        packed = lambda t, name: t.groupBy("doc_id").agg(F.collect_list("text").alias(name)).hint("merge")
-        both = packed(x, "a").join(packed(y, "b"), "doc_id", "full")
-        texts = both.select("doc_id", F.explode(F.concat(F.coalesce("a", F.array()), F.coalesce("b", F.array()))).alias("text"), F.lit(False).alias("copied"))
-        self._save(texts, f"{run.name}_texts", "doc_id")
-        keys = reduce(DataFrame.unionAll, [self.spark.table(f"{x.name}_keys") for x in (one, two)])
-        self._save(keys.groupBy("key").agg(F.min("first").alias("first")), f"{run.name}_keys")
+        packed = lambda t, name: t.groupBy("doc_id").agg(F.collect_list(F.struct("text", "key")).alias(name)).hint("merge")
+        rows = F.concat(*[F.coalesce(F.col(c), F.array()) for c in "ab"])
+        both = packed(x, "a").join(packed(y, "b"), "doc_id", "full").select("doc_id", F.inline(rows))
+        self._save(both.select("doc_id", "text", "key", F.lit(False).alias("copied")), f"{run.name}_texts", "doc_id")
         self._drop(one)
         self._drop(two)
-        release(self.spark)
         return run
 
     def _drop(self, run: Run) -> None:
-        for suffix in ("", "_texts", "_keys"):
+        for suffix in ("", "_texts"):
             self.spark.sql(f"drop table if exists {run.name}{suffix}")
 
     def drop(self) -> None:
@@ -360,17 +354,17 @@ def _arrived(docs: DataFrame, ids: DataFrame, index: FingerprintIndex) -> DataFr
         known = known.unionAll(past.select(F.col("first").alias("doc_id"), "key", F.lit(True)))
     copies = with_least(known, "key", "doc_id", "first").where("not past and doc_id > first")
     copies = stored(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copy_keys")), "copies")
-    copied = F.coalesce(F.array_contains("copy_keys", _key()), F.lit(False)).alias("copied")
+    copied = F.coalesce(F.array_contains("copy_keys", F.col("key")), F.lit(False)).alias("copied")
     dealt = docs.select("doc_id", whole_text().alias("text")).repartition(index.buckets, "doc_id")
-    texts = dealt.join(copies.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", copied)
-    run = index.add(texts, ids.groupBy("key").agg(F.min("doc_id").alias("first")))
+    texts = dealt.join(copies.hint("shuffle_hash"), "doc_id", "left").withColumn("key", _key())
+    run = index.add(texts.select("doc_id", "text", "key", copied))
     compared = stored(index.compared(run), "compared")
     marks = compared.where("mark is not null").select("doc_id", F.array("mark").alias("marks"))
     marks = marks.unionAll(index.verified(run, compared)).unionAll(index.fresh(run).where("repeats is not null").select("doc_id", "repeats"))
     marks = stored(marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
     out = stored(_cut(index.texts(run).join(marks.hint("shuffle_hash"), "doc_id", "left")), "kept")
-    for done in (copies, compared, marks):
-        discard(done)
+    discard(compared)
+    discard(marks)
     index.runs.append(run)
     index.compact()
     release(index.spark)
