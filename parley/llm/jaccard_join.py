@@ -137,7 +137,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 def met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """rows joined to facts, which have one row for each key with `n`, the number of rows that have it (`total` in all).
 
-    At most SHARE keys have total / SHARE rows or more; their facts are broadcast, and no hot key is dealt to one task.
+    At most SHARE keys have total / SHARE rows or more; their facts are broadcast, and no hot key is dealt to one task. With
+    how = "left", keys without facts must not be hot.
     """
     hot = F.col("n") * SHARE >= max(1, total)
     marked = rows.join(F.broadcast(facts.where(hot).withColumn("_hot", F.lit(True))), keys, "left")
@@ -294,7 +295,7 @@ def cells(found: DataFrame, most: int = CELLS) -> DataFrame:
         roots = stored(components(ties), "roots").withColumnRenamed("node", "cell")
         n_of = held.groupBy("cell").agg(F.count("*").alias("n"))
         n_held = n_of.agg(F.sum("n")).first()[0]
-        one = met(held, n_of.join(roots, "cell"), ["cell"], n_held, "left")
+        one = met(held, n_of.join(roots, "cell", "left"), ["cell"], n_held)
         was, held = held, stored(one.select("bucket", "node", "size", F.coalesce("root", "cell").alias("cell")), "cells")
         discard(was)
     discard(wide)
@@ -368,7 +369,9 @@ def classes(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
     groups = components(links.select(F.col("node").alias("a"), F.col("tied").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     copies = members.groupBy("rep_id").agg(F.count("*").alias("n"))
-    facts = groups.join(counts, "node", "full").select(F.col("node").alias("rep_id"), "root", "n_links").join(copies, "rep_id")
+    linked_to = groups.join(counts, "node", "full").select(F.col("node").alias("rep_id"), "root", "n_links")
+    # texts of many copies have facts as well, though there be none, so that they are among the hot keys
+    facts = copies.join(linked_to, "rep_id", "left").where("root is not null or n_links is not null or n >= 64")
     facts = stored(facts, "facts")
     total = facts.agg(F.sum("n")).first()[0] or 0
     out = met(members, facts, ["rep_id"], total, "left")
