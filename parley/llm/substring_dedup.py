@@ -35,11 +35,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,10 @@ from parley.llm.common import WORD, discard, release, stored, table, whole_text,
 from parley.llm.words import Words, mixed, signed, slices, windows
 
 WINDOW = 13
-GRAM = 8
+GRAM = 6
 #: With runs merged by pairs, the last of three batches meets a merged run.
 BATCHES, FAN = 3, 2
+SLICE = 2 << 20  # bytes of text whose windows a task holds at once
 
 _GRAM_SALT, _CONTEXT_SALT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
@@ -140,7 +143,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch):
+            for part, words in slices(batch, most=SLICE):
                 w = Windows.of(words)
                 ids = _ids(part)[w.text_of]
                 first, again = _least(ids, w.anchor_of, w.context_of)
@@ -164,7 +167,7 @@ def windows_at(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch):
+            for part, words in slices(batch, most=SLICE):
                 w = Windows.of(words)
                 wanted = part.column(part.schema.get_field_index("anchors"))
                 cut = np.searchsorted(w.text, np.arange(part.num_rows + 1))
@@ -308,29 +311,41 @@ class FingerprintIndex:
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def _digested(words: Words, gone: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """How many words of each text are gone, and the digest of the others, joined by one space."""
+    kept = np.flatnonzero(~gone)
+    size = words.end[kept] - words.start[kept]
+    before = np.concatenate([[0], np.cumsum(size)])
+    place = before[:-1] + np.arange(len(kept))  # a space follows each word
+    out = np.full(before[-1] + len(kept), 32, np.uint8)
+    step = np.arange(before[-1])
+    out[np.repeat(place - before[:-1], size) + step] = words.data[np.repeat(words.start[kept] - before[:-1], size) + step]
+    cut = np.searchsorted(kept, words.word_at)
+    ends = np.append(place, len(out))[cut]
+    flat = memoryview(out)
+    shas = [hashlib.sha256(flat[a : b - 1] if b > a else b"").hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return words.count - np.diff(cut), shas
+
+
 def _kept(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
     """The result rows of a slice of texts with their marks."""
-    w = Windows.of(words)
     copied, marks = (part.column(part.schema.get_field_index(c)) for c in ("copied", "marks"))
-    n_words, removed, shas = words.count.astype(np.int64), np.zeros(len(words.count), np.int64), []
-    cut = np.searchsorted(w.text, np.arange(part.num_rows + 1))
-    data = words.data
-    for k in range(part.num_rows):
-        a, b = int(cut[k]), int(cut[k + 1])
-        w0, w1 = int(words.word_at[k]), int(words.word_at[k + 1])
-        gone = np.zeros(w1 - w0 + 1, np.int64)
-        starts = w.first[a:b]
-        if not copied[k].as_py():  # all windows of a copy start in the first document with its text
-            marked = np.asarray(marks[k].values) if marks[k].is_valid else np.zeros(0, np.int64)
-            starts = starts[np.isin(w.context[a:b].view(np.int64), marked) | np.isin(w.digest[a:b].view(np.int64), marked)] if len(marked) else starts[:0]
-        np.add.at(gone, starts - w0, 1)
-        np.add.at(gone, starts - w0 + WINDOW, -1)
-        covered = np.cumsum(gone)[:-1] > 0
-        removed[k] = covered.sum()
-        kept = np.flatnonzero(~covered) + w0
-        shas.append(hashlib.sha256(b" ".join(data[s:e].tobytes() for s, e in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True))).hexdigest())
+    gone = np.zeros(len(words.start), bool)
+    if marks.null_count < part.num_rows:
+        w = Windows.of(words)
+        hit = np.zeros(len(w.first), bool)
+        cut = np.searchsorted(w.text, np.arange(part.num_rows + 1))
+        for k in np.flatnonzero(np.asarray(marks.is_valid())).tolist():
+            a, b, marked = cut[k], cut[k + 1], np.asarray(marks[k].values)
+            hit[a:b] = np.isin(w.context[a:b].view(np.int64), marked) | np.isin(w.digest[a:b].view(np.int64), marked)
+        n = len(gone) + 1
+        gone = np.cumsum(np.bincount(w.first[hit], minlength=n) - np.bincount(w.first[hit] + WINDOW, minlength=n))[:-1] > 0
+    # all windows of a copy start in the first document with its text
+    gone |= np.repeat(np.asarray(copied) & (words.count >= WINDOW), words.count)
+    removed, shas = _digested(words, gone)
     ids = part.column(part.schema.get_field_index("doc_id"))
-    return pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(removed), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    columns = [ids, pa.array(words.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(shas, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -338,12 +353,26 @@ def _cut(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch):
-                yield _kept(part, words)
+            marked = batch.column(batch.schema.get_field_index("marks")).is_valid()
+            for some in (batch.filter(marked), batch.filter(pc.invert(marked))):  # only texts with marks need their windows
+                for part, words in slices(some, most=SLICE):
+                    yield _kept(part, words)
 
     return docs.select("doc_id", "text", "copied", "marks").mapInArrow(rows, KEPT)
 
 
+@contextmanager
+def bucketed(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables that are dealt by some of a join's keys are joined where they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _arrived(docs: DataFrame, ids: DataFrame, index: FingerprintIndex) -> DataFrame:
     """The result rows of one batch (doc_id, text, and their doc_id, key), which is added to the index."""
     ids = ids.where("doc_id is not null")
@@ -394,7 +423,8 @@ def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | N
         if k < len(cuts):
             below = F.col("doc_id") < cuts[k]
             here = here & (below if k else below | F.col("doc_id").isNull())
-        parts.append(_arrived(docs.where(here), ids.where(here), index))
+        with bucketed(docs.sparkSession):
+            parts.append(_arrived(docs.where(here), ids.where(here), index))
     if own:
         index.drop()
     discard(ids)
