@@ -246,7 +246,7 @@ class FingerprintIndex:
         for before in self.runs:
             least = self.least(before)
             spread = least.groupBy("place").agg(F.min("context").alias("low_before"), F.max("context").alias("high_before"))
-            rows = rows.join(least.withColumnRenamed("first", "before"), ["place", "context"], "left").join(spread, "place", "left")
+            rows = rows.join(least.withColumnRenamed("first", "before").hint("merge"), ["place", "context"], "left").join(spread.hint("merge"), "place", "left")
             rows = rows.select(
                 "place", "context", "doc_id", F.least("first", "before").alias("first"), F.least("low", "low_before").alias("low"), F.greatest("high", "high_before").alias("high")
             )
@@ -260,7 +260,7 @@ class FingerprintIndex:
         asked = open_here.select(F.col("anchor").alias("place")).distinct()
         seen = []
         for other in [run, *self.runs]:
-            wanted = open_here if other is run else self.least(other).join(asked, "place").select(F.col("first").alias("doc_id"), F.col("place").alias("anchor"))
+            wanted = open_here if other is run else self.least(other).hint("merge").join(asked, "place").select(F.col("first").alias("doc_id"), F.col("place").alias("anchor"))
             wanted = wanted.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
             found = windows_at(self.texts(other).where("not copied").join(wanted.hint("shuffle_hash"), "doc_id"))
             seen.append(found.withColumn("new", F.lit(other is run)))
