@@ -10,8 +10,9 @@ year soon after, with the lines right below it that begin with "(c)"; so wrapped
 COPYRIGHT_MOST characters after that is text in one line, and loses only the statement up to its first full stop.
 
 Lines are first joined by their first word to the first words that the known texts can begin with, so only lines that may
-match are made canonical; whatever table of known texts a caller passes decides that. What matched is grouped by document: the
-texts themselves are never shuffled while the known side is small enough for Spark to broadcast, by its own size check.
+match are made canonical; whatever table of known texts a caller passes decides that. These words are counted, and broadcast
+if they are no more than MOST_FIRSTS; otherwise all lines are digested. What matched is grouped by document: the texts themselves are
+never shuffled, and of the known digests Spark's own size check decides.
 
 Defined results: a null text is the empty text and matches nothing, as does a text that is empty once canonical; repeated
 rows of one doc_id make one row, in which their notices add up; rows without doc_id count as one document; a digest of
@@ -167,6 +168,8 @@ NOTICES = (
 KNOWN = tuple((name, f"{title}\n\n{body}") for name, titles, body in TEXTS for title in ("", *titles)) + NOTICES
 
 COPYRIGHT_MOST = 160
+#: With more first words than this all lines are digested.
+MOST_FIRSTS = 10_000
 # What a copyright statement begins with, in lower case.
 _STATEMENT = r"(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{])|copyright[ \t][^\n]{0,80}\b(?:19|20)[0-9][0-9]\b|\(c\)[ \t]*(?:copyright|[0-9<\[{])|©)"
 COPYRIGHT_LINE = rf"^[^a-z0-9\n]*(?:{_STATEMENT}[^\n]{{0,{COPYRIGHT_MOST}}}(?:\n[^a-z0-9\n]*c\)[^\n]{{0,{COPYRIGHT_MOST}}})*|all rights reserved[^a-z0-9\n]*)$"
@@ -223,8 +226,11 @@ def pieces(docs: DataFrame, known: DataFrame) -> DataFrame:
     # a list mark or a copyright statement hides the first word; such lines are few, and all of them are digested
     bare = F.lower("text").rlike(rf"^[^\p{{L}}\p{{N}}]*{_MARK}|{COPYRIGHT_START}")
     told = F.when(F.col("line") > 0, F.when(bare, "*").otherwise(F.regexp_extract(F.lower("text"), _WORD, 0)))
-    firsts = first_words(known).select("first", F.lit(True).alias("may"))
-    met = each.withColumn("told", told).join(firsts, F.col("told") == F.col("first"), "left").where("line = 0 or may or told = '*'")
+    firsts = first_words(known)
+    if firsts.limit(MOST_FIRSTS + 1).count() > MOST_FIRSTS:
+        return each.select("doc_id", "line", digest(F.col("text")).alias("digest"))
+    may = F.broadcast(firsts.select("first", F.lit(True).alias("may")))
+    met = each.withColumn("told", told).join(may, F.col("told") == F.col("first"), "left").where("line = 0 or may or told = '*'")
     return met.select("doc_id", "line", digest(F.col("text")).alias("digest"))
 
 

@@ -43,8 +43,11 @@ def test_layouts_of_entire_texts(spark):
     assert got == want
 
 
-def test_callers_notices_in_lines(spark):
+def test_callers_notices_in_lines(spark, monkeypatch):
     known = spark.createDataFrame([("own", "May be used freely by anyone."), ("own2", "Sub-licence as you like"), ("own3", "copyright notices stay")], "license string, text string")
     rows = [(1, "first\n2) MAY be used freely, by anyone\nlast"), (2, "a\nsublicense as you like\n---\nCopyright notices stay"), (3, "Copyright 2020 x\nmay be used"), (None, "May be used freely by anyone."), (None, None)]
     got = {r["doc_id"]: (r["text_license"], r["notices"], r["n_notices"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
     assert got == {1: (None, "own", 1), 2: (None, "own2,own3", 2), 3: (None, "", 0), None: ("own", "own", 1)}
+    monkeypatch.setattr(licences, "MOST_FIRSTS", 1)
+    again = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+    assert {r["doc_id"]: (r["text_license"], r["notices"], r["n_notices"]) for r in again} == got
