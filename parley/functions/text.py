@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The word pattern. A word is a run of letters, marks, digits and underscores; an apostrophe or a full
@@ -22,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
+def raw_tokens(text: Column) -> Column:
+    """One row for each word as `tokens` has it, or for a run of marks and underscores alone, which is no word."""
+    return F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0)))
+
+
 def has_han(word: Column) -> Column:
     return word.rlike(r"\p{IsHan}")
 
@@ -34,3 +39,13 @@ def normalized(word: Column) -> Column:
 def acceptable(word: Column, min_length: int = 2) -> Column:
     """Long enough, no function word, and not made of digits and number signs only."""
     return (F.length(word) >= min_length) & ~word.isin(STOP_WORDS) & ~word.rlike(r"^[0-9.,:%/-]+$")
+
+
+def counted(texts: DataFrame, *keys: str, every: bool = False) -> DataFrame:
+    """keys, word, n: how often each acceptable word (with `every`: each word) stands in the texts.
+
+    Words are counted as they are spelled first, so that the tests and the folding of case see each spelling once.
+    """
+    spelled = texts.select(*keys, raw_tokens(F.col("text")).alias("raw")).groupBy(*keys, "raw").agg(F.count("*").alias("uses"))
+    words = spelled.where(F.col("raw").rlike(r"[\p{L}\p{N}]")).select(*keys, normalized(F.col("raw")).alias("word"), "uses")
+    return words.where(F.lit(every) | acceptable(F.col("word"))).groupBy(*keys, "word").agg(F.sum("uses").alias("n"))

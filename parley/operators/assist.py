@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.bundle import nests_quantifiers
+
 Client = Callable[[str], str]
 
 
@@ -97,7 +99,7 @@ def curated(texts: DataFrame, proposed: DataFrame, most_chars: int = 10) -> Data
 
 def worthwhile_rule(pattern: str, samples: list[str], most: float = 0.7) -> bool:
     """Whether a proposed cleaning rule takes something out of the samples, and never more than `most` of one."""
-    if re.search(r"\([^()]*[+*][^()]*\)[+*{]", pattern):
+    if nests_quantifiers(pattern):
         return False
     try:
         left = [re.sub(pattern, "", s) for s in samples]

@@ -1,74 +1,85 @@
-"""Cleaning of message text: Column expressions for what regular expressions can say, and line-run operators.
+"""Cleaning of message text: Column expressions for what regular expressions can say, and scans for nested markup and lines.
 
-The order of `clean` matters: comments and declarations go first, code and tags next, links and marks after that, white
-space last. Everything stays in the JVM; runs of lines are found with array functions inside a row, so no line is
-shuffled.
+The order of `clean` matters: input wrappers and a user's own rules go first, then comments, code and data, then tags, then
+links and marks, then runs of lines, and white space last. What is inside a row stays there: no text is shuffled. The two
+scans run in Arrow batches (`scanning`), all else in the JVM.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators import scanning as S
+
 # Elements of HTML whose tags are removed while their content stays; any other tag is a plug-in's own.
 HTML_TAGS = (
-    "a abbr address article aside b bdi bdo big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p pre q s samp script section select small span strike strong style sub "
-    "summary sup table tbody td tfoot th thead time title tr tt u ul var video"
+    "a abbr b bdi bdo big blockquote br caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font h1 h2 h3 h4 h5 h6 hr i img ins kbd label li mark ol "
+    "p pre q rp rt ruby s samp section small span strike strong sub summary sup table tbody td tfoot th thead time tr tt u ul var wbr"
 ).split()
-_ANY_HTML = "|".join(HTML_TAGS)
-
+#: Elements that make up a whole page, for texts that are pages.
+PAGE_TAGS = (*HTML_TAGS, *"html head title meta link body main article nav header footer aside form input button base iframe video audio source picture svg noscript address".split())
+# Names of tags around a user's own input.
+WRAPPERS = ("用户输入", "本轮输入", "user[_-]?input", "current[_-]?input", "player[_-]?input")
+# Keys of JSON schemas, which are no words of a reasoning trace.
+SCHEMA_WORDS = "string number boolean object array null true false type value check items properties required enum default format title description schema const ref".split()
+
+WRAPPED = rf"(?is)<([^<>\s/]*(?:{'|'.join(WRAPPERS)})[^<>\s/]*)>(.*?)</\1>"
 COMMENT = r"(?s)<!--.*?-->"
 DECLARATION = r"<[!?][^>]*>"
 FENCE = r"(?s)```.*?```|~~~.*?~~~"
-DATA_URI = r"data:[a-zA-Z0-9.+/-]+;base64,[A-Za-z0-9+/=]+"
-BASE64_WORD = r"[A-Za-z0-9+/]{120,}={0,2}"
-STYLE_SCRIPT = r"(?is)<(?:style|script)\b.*?(?:</(?:style|script)\s*>|$)"
-CUSTOM_EMPTY = rf"(?i)<(?!/|(?:{_ANY_HTML})\b)[a-z_][\w:-]*[^<>]*/>"
-CUSTOM_PAIR = rf"(?is)<(?!(?:{_ANY_HTML})\b)([a-z_][\w:-]*)\b[^<>]*>[^<]*+(?:<(?!/?\1\b)[^<]*+)*+</\1\s*>"
-ORPHAN_CLOSE = rf"(?is)^.*</(?!(?:{_ANY_HTML})\b)[a-z_][\w:-]*\s*>"
-DANGLING_OPEN = rf"(?is)<(?!/|(?:{_ANY_HTML})\b)[a-z_][\w:-]*(?:\s[^<>]*)?>[^<]*"
+DATA_URI = r"data:[\w.+-]+/[\w.+-]+;base64,[A-Za-z0-9+/=]+"
+BASE64_WORD = r"\b[A-Za-z0-9+/]{120,}={0,2}"
+STYLE_SCRIPT = r"(?is)<(?:style|script)\b.*?(?:</(?:style|script)\s*>|\z)"
 HTML_TAG = r"</?[\p{L}_:][^>]*>"
 MACRO = r"(?s)\{\{.*?\}\}"
-OOC = r"(?is)\[ooc[:：].*?\]|\(ooc[:：].*?\)|（ooc[:：].*?）|【ooc[:：].*?】"
+OOC = r"(?is)\[ooc\s*[:：].*?\]|\(ooc\s*[:：].*?\)|（ooc\s*[:：].*?）|【ooc\s*[:：].*?】"
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 LINK = r"\[([^\]]*)\]\([^)]*\)"
-URL = r"https?://[^\s<>\"')\]]+"
+URL = r"(?i)\bhttps?://\S+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 BACKTICKS = r"`([^`]*)`"
-MARKS = r"(?m)^[ \t]*(?:#{1,6}|>+|[-*+])[ \t]+|\*\*|__|~~"
+LINE_MARKS = r"(?m)^[ \t]{0,3}(?:#{1,6}[ \t]+|>[ \t]?|[-+][ \t]+)"
+EMPHASIS = r"[*_~`]+"
 
 # Character references by name, each with the character it stands for.
 ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
+    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"),
+    ("ldquo", "“"), ("rdquo", "”"), ("lsquo", "‘"), ("rsquo", "’"), ("amp", "&"),
 )
 
-# Whole lines of instruction templates.
-INSTRUCT = r"(?i)^\s*(?:<\|?/?(?:im_start|im_end|system|user|assistant|eot_id|end_of_turn|start_of_turn|endoftext|s)\|?>\s*\w*|\[/?INST\]|<</?SYS>>|###\s*(?:instruction|response|input|system|user|assistant):?|(?:human|assistant|system):)\s*$"
-
-# Line shapes.
-PIPE_ROW = r"^\s*\|.*\|.*$"
-SEPARATOR = r"^[|+\-=:\s]{4,}$"
-BARE_TITLE = r"^\s*[\[{【][^\]}】]{0,40}[\]}】]\s*$"
-KEY_VALUE = r"^\s*(?:[-*•]\s*)?([^：:\n]{1,12}?)\s*[：:]\s*(.{0,80})$"
-NUMERIC = r"^[\d./:%+\-~\s]+$"
-PANEL = r"^\s*(?:[\p{L}\p{N}_-]{1,20}\s+){1,8}\d{1,5}\s*$"
-INDENTED = r"^\s{2,}[^\s#:-][^:\n]{0,40}:\s+\S.{0,60}$"
-JSON_LINE = r"^\s*\"?[A-Za-z_$][\w$-]*\"?\s*:\s*(?:\"?[^\",{}\[\]]{0,80}\"?|\{|\[)\s*,?\s*$"
-CODE_LINE = r"^\s*(?:[a-zA-Z-]{2,30}\s*:\s*[^;{}]{1,160};|[.#@][^{}\n]{0,160}\{|[{}\[\]();,]+|(?:function|const|let|var|return|import|export|if|for|while|switch|try|catch)\b.*[;{})])\s*$"
+#: Repeated lines up to this many are part of the expression.
+MOST_REPEATED = 500
 
 
 @dataclass(frozen=True)
 class CleanOptions:
-    """Which optional stages of `clean` run."""
+    """Which optional stages of `clean` run, and which tags count as markup of a text itself."""
 
     custom_tags: bool = True
     code_blocks: bool = True
     structured_lines: bool = True
     ooc: bool = True
+    html: tuple[str, ...] = tuple(HTML_TAGS)
+
+
+PAGES = CleanOptions(html=PAGE_TAGS)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A user's own pattern and what takes its place. placement: the kinds of text it is for (1 user, 2 character, 6
+    reasoning; none: all). trims: taken out of what the replacement quotes."""
+
+    find: str
+    replace: str = ""
+    flags: str = "g"
+    placement: tuple[int, ...] = ()
+    markdown_only: bool = False
+    trims: tuple[str, ...] = ()
 
 
 def spaced(text: Column, *patterns: str) -> Column:
@@ -77,20 +88,42 @@ def spaced(text: Column, *patterns: str) -> Column:
     return text
 
 
+def unwrapped(text: Column) -> Column:
+    """What stands inside a wrapper of the user's own input, where there is one."""
+    held = F.regexp_extract(text, WRAPPED, 2)
+    return F.when(text.contains("<") & text.rlike(WRAPPED), F.trim(held)).otherwise(text)
+
+
+def apply_rules(text: Column, rules: tuple[Rule, ...], placement: Column | None = None) -> Column:
+    """The text after each rule in turn. A rule that would take nearly all of a longer text is left out for that text."""
+    for rule in rules:
+        marks = "".join(sorted(set(rule.flags) & set("ims")))
+        if rule.trims and "$" in rule.replace:
+            after = scanned(text, lambda t, rule=rule, marks=marks: S.replaced(t, rule.find, marks, rule.replace, rule.trims))
+        else:
+            pattern = f"(?{marks}){rule.find}" if marks else rule.find
+            after = F.regexp_replace(text, pattern, rule.replace)
+        emptied = (F.length(after) < F.length(text) * 0.1) & (F.length(text) > 200)
+        applies = ~emptied
+        if placement is not None and rule.placement:
+            applies = applies & placement.isin(*rule.placement)
+        text = F.when(applies, after).otherwise(text)
+    return text
+
+
 def decode_entities(text: Column) -> Column:
-    """Named references, then decimal and hexadecimal ones of one character's range."""
+    """References by name, decimal and hexadecimal ones; a name or a number that stands for nothing becomes a blank."""
+    out = text
     for name, char in ENTITIES[:-1]:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    parts = F.split(text, r"(?=&#)")
-    number = lambda p: F.regexp_extract(p, r"^&#(x?[0-9A-Fa-f]{1,6});", 1)
-    code = lambda p: F.when(number(p).startswith("x"), F.conv(F.substring(number(p), 2, 8), 16, 10)).otherwise(F.regexp_extract(number(p), r"^[0-9]+$", 0))
-    point = lambda p: code(p).try_cast("int")
-    bytes_of = lambda n: F.when(n < 128, F.chr(n)).when(
-        n < 65536, F.decode(F.unhex(F.concat(F.lpad(F.hex(n), 4, "0"))), "UTF-16BE")
-    )
-    one = lambda p: F.concat(F.coalesce(bytes_of(point(p)), F.lit(" ")), F.regexp_replace(p, r"^&#x?[0-9A-Fa-f]{1,6};", ""))
-    text = F.array_join(F.transform(parts, lambda p: F.when(number(p) != "", one(p)).otherwise(p)), "")
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+        out = F.regexp_replace(out, f"(?i)&{name};", char)
+    parts = F.split(F.regexp_replace(out, r"(?i)&(?!amp;)[a-z][a-z0-9]*;", " "), r"(?=&#)")
+    number = lambda p: F.regexp_extract(p, r"^&#([xX][0-9A-Fa-f]+|[0-9]+);", 1)
+    code = lambda n: F.when(F.lower(n).startswith("x"), F.conv(F.substring(n, 2, 12), 16, 10)).otherwise(n).try_cast("int")
+    valid = lambda n: (n >= 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    shown = lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    one = lambda p: F.concat(F.coalesce(shown(code(number(p))), F.lit(" ")), F.regexp_replace(p, r"^&#[xX]?[0-9A-Fa-f]+;", ""))
+    out = F.array_join(F.transform(parts, lambda p: F.when(number(p) != "", one(p)).otherwise(p)), "")
+    return F.when(text.contains("&"), F.regexp_replace(out, "(?i)&amp;", "&")).otherwise(text)
 
 
 def strip_tags(text: Column) -> Column:
@@ -103,7 +136,7 @@ def strip_links(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of blanks become one, three or more line ends two; no blanks at line ends."""
-    text = F.regexp_replace(text, r"[ \t ]+", " ")
+    text = F.regexp_replace(text, "[ \t\u00a0]+", " ")
     text = F.regexp_replace(text, r" *\n *", "\n")
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
@@ -112,80 +145,75 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def structured(line: Column) -> Column:
-    """Rows of tables, separators and bare titles."""
-    return line.rlike(PIPE_ROW) | (line.rlike(SEPARATOR) & (F.length(F.trim(line)) > 3)) | (line.rlike(BARE_TITLE) & (F.trim(line) != ""))
-
+def scanned(text: Column, *steps) -> Column:
+    """The text after steps from text to text, one after the other, in Arrow batches."""
 
-def without_lines(text: Column, unwanted) -> Column:
-    return F.array_join(F.filter(lines(text), lambda line: ~unwanted(line)), "\n")
+    @F.pandas_udf("string")
+    def scan(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t:
+                for step in steps:
+                    t = step(t)
+            return t
 
+        return texts.map(one, na_action="ignore")
 
-def without_runs(text: Column, hit, least: int) -> Column:
-    """The text without lines that stand in runs of at least `least` neighbours for which hit(line) holds.
+    return scan(text)
 
-    A fold over the lines: the open run is held back, and dropped or put out when it ends.
-    """
-    empty = F.array().cast("array<string>")
-    state = F.struct(empty.alias("out"), empty.alias("run"))
-    settled = lambda s: F.when(F.size(s["run"]) >= least, s["out"]).otherwise(F.concat(s["out"], s["run"]))
 
-    def step(s, line):
-        line_at = F.array(line)
-        return F.when(hit(line), F.struct(s["out"].alias("out"), F.concat(s["run"], line_at).alias("run"))).otherwise(F.struct(F.concat(settled(s), line_at).alias("out"), empty.alias("run")))
+def without_runs(text: Column, hit, least: int = 3, over_blanks: bool = False) -> Column:
+    """The text without lines that stand in runs of at least `least` for which hit(line) holds."""
+    return scanned(text, lambda t: S.without_runs(t, hit, least, over_blanks))
 
-    return F.array_join(F.aggregate(lines(text), state, step, settled), "\n")
 
+def without_structured(text: str) -> str:
+    return "\n".join(x for x in text.split("\n") if not S.is_structured(x))
 
-def is_code(line: Column) -> Column:
-    return (F.length(line) <= 200) & line.rlike(CODE_LINE)
 
+def strip_custom_tags(text: Column, html: tuple[str, ...] = tuple(HTML_TAGS)) -> Column:
+    """Plug-in elements with their content, nested to any depth, and what an unmatched end or start tag of one leaves."""
+    known = frozenset(html)
+    return scanned(text, lambda t: S.without_custom_tags(t, known))
 
-def is_key_value(line: Column) -> Column:
-    """A short label and a short value that is a number."""
-    return (F.length(line) <= 200) & F.trim(F.regexp_extract(line, KEY_VALUE, 2)).rlike(NUMERIC)
 
-
-def is_panel(line: Column) -> Column:
-    return (F.length(line) <= 200) & line.rlike(PANEL)
-
-
-def is_indented(line: Column) -> Column:
-    return (F.length(line) <= 200) & line.rlike(INDENTED)
-
-
-def is_json(line: Column) -> Column:
-    return (F.length(line) <= 400) & line.rlike(JSON_LINE)
-
-
-def strip_custom_tags(text: Column, passes: int = 3) -> Column:
-    """Plug-in elements with their content, then what an unmatched end or start tag of one leaves."""
-    text = spaced(text, CUSTOM_EMPTY)
-    for _ in range(passes):
-        text = spaced(text, CUSTOM_PAIR)
-    return spaced(text, ORPHAN_CLOSE, DANGLING_OPEN)
-
-
-def clean(text: Column, options: CleanOptions = CleanOptions()) -> Column:
-    """The whole cleaning of a message."""
-    text = F.coalesce(text, F.lit(""))
-    text = spaced(text, COMMENT, DECLARATION, FENCE, DATA_URI, BASE64_WORD, STYLE_SCRIPT)
+def clean(text: Column, options: CleanOptions = CleanOptions(), rules: tuple[Rule, ...] = (), placement: Column | None = None) -> Column:
+    """The whole cleaning of a message. A null text is empty."""
+    known = frozenset(options.html)
+    text = apply_rules(unwrapped(F.coalesce(text, F.lit(""))), rules, placement)
+    text = spaced(text, COMMENT, DECLARATION, *([FENCE] if options.code_blocks else []), DATA_URI, BASE64_WORD)
+    markup = [S.without_json]
     if options.custom_tags:
-        text = F.when(text.contains("<"), strip_custom_tags(text)).otherwise(text)
-    text = without_lines(text, lambda line: line.rlike(INSTRUCT))
+        text = spaced(text, STYLE_SCRIPT)
+        markup += [S.without_details, lambda t: S.without_custom_tags(t, known)]
+    text = scanned(text, *markup, S.without_colon_fences, S.without_instruct)
     text = decode_entities(strip_tags(text))
     if options.ooc:
         text = spaced(text, OOC)
     text = strip_links(spaced(text, MACRO))
     text = F.regexp_replace(spaced(text, URL, EMAIL), BACKTICKS, "$1")
-    if options.code_blocks:
-        text = without_runs(text, is_code, 3)
-    text = without_runs(text, is_key_value, 3)
-    text = without_runs(text, is_panel, 3)
-    text = without_runs(text, is_indented, 3)
+    by_line = [lambda t: S.without_runs(t, S.is_code, 3, over_blanks=True)] if options.code_blocks else []
     if options.structured_lines:
-        text = without_lines(text, structured)
-    return collapse(spaced(text, MARKS))
+        by_line += [S.without_status, S.without_bracket_status, S.without_wrapped, lambda t: S.without_runs(t, S.is_panel, 3)]
+        by_line += [lambda t: S.without_runs(t, S.is_indented, 3, over_blanks=True), without_structured]
+    if by_line:
+        text = scanned(text, *by_line)
+    return collapse(spaced(text, LINE_MARKS, EMPHASIS))
+
+
+def clean_reasoning(traces: DataFrame, options: CleanOptions = CleanOptions(), rules: tuple[Rule, ...] = (), ratio: float = 0.25) -> DataFrame:
+    """id, text (a reasoning trace each) -> id, text, cleaned; printed JSON and sentences that a good share of the traces repeat go
+    as well, and traces of which nothing is left."""
+    first = without_runs(clean(F.col("text"), options, rules, F.lit(6)), S.is_json_line, 2)
+    base = traces.select("id", first.alias("text"))
+    return strip_boilerplate(base, boilerplate(base, ratio)).where(F.trim("text") != "")
+
+
+def strip_boilerplate(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """id, text -> the same without the sentences of `found` (sentence, n), one sentence a line. At most 1 / ratio sentences of each text
+    are in it, so it is put beside each text as one array, whose size is bounded by that of a text."""
+    bad = found.agg(F.collect_set("sentence").alias("bad"))
+    kept = F.array_join(F.filter(sentences(F.col("text")), lambda x: ~F.array_contains("bad", x)), "\n")
+    return texts.crossJoin(F.broadcast(bad)).select("id", F.when(F.size("bad") == 0, F.col("text")).otherwise(kept).alias("text"))
 
 
 def repeated_lines(texts: DataFrame, key: str = "id", ratio: float = 0.25, least: int = 5, length: int = 6) -> DataFrame:
@@ -197,9 +225,13 @@ def repeated_lines(texts: DataFrame, key: str = "id", ratio: float = 0.25, least
 
 
 def strip_repeated(texts: DataFrame, key: str = "id", ratio: float = 0.25, least: int = 5) -> DataFrame:
-    """texts without their repeated lines. At most 1 / ratio lines of each text's worth can be repeated, so the list of them
-    is small; Spark broadcasts it below its own threshold and else joins by line."""
+    """texts without their repeated lines. At most 1 / ratio lines of each text's worth can be repeated, so the list of them is put
+    beside each text; where `ratio` is so small that it has more than MOST_REPEATED lines, texts are dealt by line instead."""
     found = repeated_lines(texts, key, ratio, least).select(F.col("line").alias("bad"))
+    some = found.limit(MOST_REPEATED + 1).agg(F.collect_set("bad").alias("bad")).first()["bad"]
+    if len(some) <= MOST_REPEATED:
+        kept = F.filter(lines(F.col("text")), lambda x: ~F.trim(x).isin(some)) if some else lines(F.col("text"))
+        return texts.select(key, F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("text"))
     each = texts.select(key, F.posexplode(lines(F.col("text"))).alias("k", "line"))
     kept = each.join(found, F.trim("line") == F.col("bad"), "left_anti")
     whole = F.array_sort(F.collect_list(F.struct("k", "line")))
@@ -208,7 +240,7 @@ def strip_repeated(texts: DataFrame, key: str = "id", ratio: float = 0.25, least
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(text, r"(?<=[。！？；\n])|(?<=[.!?]\s)")
+    parts = F.split(F.regexp_replace(text, r"([。！？；\n]|[.!?]\s)", "$1\u0001"), "\u0001")
     return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that end in -ing or -ed and are no inflections.
-NOT_INFLECTED = (
-    "thing king ring string spring wing bring sing swing during nothing something anything everything morning evening ceiling feeling meeting building clothing darling sibling "
-    "red bed need seed speed indeed bleed breed freed hundred sacred wicked naked aged"
+#: Words whose ending is none, though a word of its own would be left without it. Stems without a vowel and words in -eed need no
+#: entry.
+OPAQUE = (
+    "anything ceiling darling duckling during earring evening everything herring hundred kindred morning naked nothing pudding sacred sibling "
+    "something wedding wicked"
 ).split()
 
 
@@ -41,8 +42,8 @@ def base_forms(word: Column) -> Column:
         F.when(is_ing, F.concat(ing, F.lit("e"))),
         F.when(is_ing & ing.rlike(doubled), _cut(word, 4)),
     )
-    kept = F.filter(F.array_distinct(F.array_compact(found)), lambda b: b != word)
-    return F.when((n < 4) | word.isin(NOT_INFLECTED), F.array().cast("array<string>")).otherwise(kept)
+    kept = F.filter(F.array_distinct(F.array_compact(found)), lambda b: (b != word) & b.rlike("[aeiouy]|[^a-z]"))
+    return F.when((n < 4) | word.endswith("eed") | word.isin(OPAQUE), F.array().cast("array<string>")).otherwise(kept)
 
 
 def merge_plan(counts: DataFrame, stop_words: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import cut
+
 MOST_PRIORITY, LONGEST = 50, 32
 
 
@@ -27,12 +29,13 @@ def apply_priority(words: DataFrame, priority: DataFrame) -> DataFrame:
 def alias_closure(aliases: DataFrame, hops: int = 16) -> DataFrame:
     """source, target (one target for each source) -> source, final: the end of each chain; sources on or before a cycle
     are left out. Each round doubles how far all chains are followed."""
-    steps = aliases.select(F.lower("source").alias("source"), F.lower("target").alias("final"))
+    steps = cut(aliases.select(F.lower("source").alias("source"), F.lower("target").alias("final")))
     for _ in range(hops):
         far = steps.select(F.col("source").alias("final"), F.col("final").alias("further"))
-        steps = steps.join(far, "final", "left").select("source", F.coalesce("further", "final").alias("final"))
-        if steps.join(steps.select(F.col("source").alias("final")).distinct(), "final", "left_semi").where("source != final").isEmpty():
+        next_steps = cut(steps.join(far, "final", "left").select("source", F.coalesce("further", "final").alias("final")))
+        if next_steps.exceptAll(steps).isEmpty():
             break
+        steps = next_steps
     ends = steps.select("source").distinct().withColumnRenamed("source", "final")
     return steps.join(ends, "final", "left_anti").select("source", "final")
 

@@ -22,9 +22,14 @@ def csv_lines(words: DataFrame) -> DataFrame:
     return words.select(F.concat_ws(",", quoted("word"), F.col("n").cast("string"), quoted("kind"), source).alias("line"), "n", "word")
 
 
-def csv_text(words: DataFrame) -> str:
-    """The whole export of a bounded table, with a byte-order mark."""
-    rows = csv_lines(words).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+def write_csv(words: DataFrame, path: str) -> None:
+    """The whole export of a table of any size, most frequent words first, as text files without the head."""
+    csv_lines(words).orderBy(F.desc("n"), "word").select("line").write.mode("overwrite").text(path)
+
+
+def csv_text(words: DataFrame, most: int = MOST_WORDS) -> str:
+    """The export of the `most` most frequent words as one text, with a byte-order mark; `write_csv` has no such bound."""
+    rows = csv_lines(words).orderBy(F.desc("n"), "word").limit(most).collect()
     return "﻿word,count,kind,source\n" + "".join(r["line"] + "\n" for r in rows)
 
 
@@ -32,8 +37,9 @@ def tsv_lines(words: DataFrame) -> DataFrame:
     return words.select(F.concat_ws("\t", F.regexp_replace("word", r"[\t\n]", " "), F.col("n").cast("string")).alias("line"))
 
 
-def words_json(words: DataFrame, card: str, mode: str) -> str:
-    rows = words.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+def words_json(words: DataFrame, card: str, mode: str, most: int = MOST_WORDS) -> str:
+    """The `most` most frequent words as one JSON text."""
+    rows = words.orderBy(F.desc("n"), "word").limit(most).collect()
     return json.dumps({"card": card, "mode": mode, "count": len(rows), "words": [{"text": r["word"], "count": r["n"]} for r in rows]}, ensure_ascii=False)
 
 
@@ -61,9 +67,9 @@ def decode_share(code: str) -> tuple[dict, list[tuple[str, int]]]:
 
 
 def share_url(base: str, head: dict, words: list[tuple[str, int]]) -> str:
-    """The link with the most words of the ladder that still fits."""
+    """The link with the most words of the ladder that still fits; the bare link where none does."""
     for most in LADDER:
         url = f"{base}#s={encode_share(head, words[:most])}"
         if len(url) <= LONGEST_URL:
             return url
-    return url
+    return base

@@ -15,7 +15,7 @@ def layout_cloud(spark, sf_dir):
 
 def share_ladder(spark, sf_dir):
     """Words that a link can carry, decoded from the link again."""
-    words = [(r["word"], r["n"]) for r in _all_words(spark, sf_dir).orderBy(F.desc("n"), "word").collect()]  # a bounded list
+    words = [(r["word"], r["n"]) for r in _all_words(spark, sf_dir).orderBy(F.desc("n"), "word").limit(S.LADDER[0]).collect()]  # no link carries more
     _, back = S.decode_share(S.share_url("https://example.org/", {"theme": "day"}, words).partition("#s=")[2])
     return spark.createDataFrame(back, "word string, n long")
 

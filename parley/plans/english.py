@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import english as E
-from parley.plans.words import SQL_ACCEPT, sql_tokens, token_rows
-from parley.session import table
+from parley.plans.words import SQL_ACCEPT, sql_tokens
+from parley.session import cut, table
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
-    words = token_rows(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id").where(T.acceptable(F.col("word")))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, n: all acceptable words of the English documents."""
+    return T.counted(table(spark, sf_dir, "documents").where("lang = 'en'"))
 
 
 def possessive_fold(spark, sf_dir):
@@ -27,18 +27,22 @@ def base_forms(spark, sf_dir):
 
 
 def lemma_counts(spark, sf_dir):
-    counts = vocabulary(spark, sf_dir)
+    counts = cut(vocabulary(spark, sf_dir))  # the vocabulary is met several times
     plan = E.merge_plan(counts, T.STOP_WORDS)
     folded = counts.join(plan, "word", "left").select(F.coalesce("form", "word").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     return folded.where(~F.col("word").isin(T.STOP_WORDS))
 
 
-_VOCABULARY = f"""t as ({sql_tokens("documents", "doc_id", "lang = 'en'")}), v as (select word, count(*) as n from t where {SQL_ACCEPT} group by 1 having count(*) >= 2)"""
+_VOCABULARY = f"""t as ({sql_tokens("documents", "doc_id", "lang = 'en'")}), v as (select word, count(*) as n from t where {SQL_ACCEPT} group by 1)"""
 _OWNER = "case when word like '%''s' or word like '%’s' then left(word, length(word) - 2) when word like '%s''' or word like '%s’' then left(word, length(word) - 1) end"
-_NOT = ", ".join(f"'{w}'" for w in E.NOT_INFLECTED)
+_NOT = ", ".join(f"'{w}'" for w in E.OPAQUE)
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _DOUBLED = "'[^aeiou][aeiou](bb|dd|ff|gg|ll|mm|nn|pp|rr|tt)$'"
-_BASES = f"""b as (select distinct word, n, unnest(list_filter([{_OWNER},
+
+
+def sql_folded(v: str) -> str:
+    """DuckDB: `bases` (word, n, base, owner) of a table of word, n, and `folded`, its counts by form."""
+    return f"""b as (select distinct word, n, unnest(list_filter([{_OWNER},
         case when word like '%ies' and length(word) > 4 then left(word, length(word) - 3) || 'y' end,
         case when word like '%es' and word not like '%ies' and length(word) > 4 then left(word, length(word) - 2) end,
         case when (word like '%es' and word not like '%ies' and length(word) > 4) or (word like '%s' and word not like '%es' and not regexp_matches(word, '(ss|us|is|as|os)$')) then left(word, length(word) - 1) end,
@@ -49,18 +53,20 @@ _BASES = f"""b as (select distinct word, n, unnest(list_filter([{_OWNER},
         case when word like '%ing' and length(word) > 5 then left(word, length(word) - 3) end,
         case when word like '%ing' and length(word) > 5 then left(word, length(word) - 3) || 'e' end,
         case when word like '%ing' and length(word) > 5 and regexp_matches(left(word, length(word) - 3), {_DOUBLED}) then left(word, length(word) - 4) end],
-        lambda x: x is not null)) as base, {_OWNER} as owner from v where length(word) >= 4 and word not in ({_NOT})), bases as (select * from b where base != word)"""
+        lambda x: x is not null)) as base, {_OWNER} as owner from {v} where length(word) >= 4 and word not like '%eed' and word not in ({_NOT})), bases as (select * from b where base != word and regexp_matches(base, '[aeiouy]|[^a-z]')),
+        worth as (select bases.*, v.n as n_base, count(*) over (partition by base) as n_forms, sum(bases.n) over (partition by base) + coalesce(v.n, 0) as total from bases left join {v} v on v.word = base),
+        good as (select * from worth where n_base is not null or base in ({_STOPS}) or n_forms >= 2 or owner = base),
+        chosen as (select * from good qualify row_number() over (partition by word order by coalesce(owner = base, false) desc, total desc, base) = 1),
+        members as (select word, base, n from chosen union all select v.word, v.word, v.n from {v} v where v.word in (select base from chosen)),
+        shown as (select base, arg_min(word, (-n, length(word), word)) as shown from members group by base),
+        plan as (select word, case when coalesce(owner = base, false) or base in ({_STOPS}) then base else shown end as form from chosen join shown using (base)),
+        folded as (select coalesce(form, word) as word, cast(sum(n) as bigint) as n from {v} left join plan using (word) group by 1)"""
+
 
 QUERIES = {"possessive_fold": possessive_fold, "base_forms": base_forms, "lemma_counts": lemma_counts}
 ORACLES = {
     "possessive_fold": f"""with {_VOCABULARY}, p as (select case when n % 3 = 0 then word || '''s' when word like '%s' then word || '’' else word end as word, n from v)
         select coalesce({_OWNER}, word) as word, cast(sum(n) as bigint) as n from p group by 1""",
-    "base_forms": f"with {_VOCABULARY}, {_BASES} select word, base from bases",
-    "lemma_counts": f"""with {_VOCABULARY}, {_BASES}, worth as (select bases.*, v.n as n_base, count(*) over (partition by base) as n_forms, sum(bases.n) over (partition by base) + coalesce(v.n, 0) as total from bases left join v on v.word = base),
-        good as (select * from worth where n_base is not null or base in ({_STOPS}) or n_forms >= 2 or owner = base),
-        chosen as (select * from good qualify row_number() over (partition by word order by coalesce(owner = base, false) desc, total desc, base) = 1),
-        members as (select word, base, n from chosen union all select v.word, v.word, v.n from v where v.word in (select base from chosen)),
-        shown as (select base, arg_min(word, (-n, length(word), word)) as shown from members group by base),
-        plan as (select word, case when coalesce(owner = base, false) or base in ({_STOPS}) then base else shown end as form from chosen join shown using (base)),
-        folded as (select coalesce(form, word) as word, cast(sum(n) as bigint) as n from v left join plan using (word) group by 1) select * from folded where word not in ({_STOPS})""",
+    "base_forms": f"with {_VOCABULARY}, {sql_folded('v')} select word, base from bases",
+    "lemma_counts": f"with {_VOCABULARY}, {sql_folded('v')} select * from folded where word not in ({_STOPS})",
 }

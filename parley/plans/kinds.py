@@ -67,7 +67,14 @@ def _rule(r: K.Rule) -> str:
 
 
 _ORDER = sorted(K.RULES, key=lambda r: (-r.conf, r.kind))
-_TAGS = "list_filter([" + ", ".join(f"case when {_rule(r)} then '{r.kind}' end" for r in _ORDER) + "], lambda k: k is not null)"
+
+
+def sql_typed(word: str) -> str:
+    """DuckDB: the kinds of a word, strongest first."""
+    return "list_filter([" + ", ".join(f"case when {_rule(r)} then '{r.kind}' end" for r in _ORDER).replace("word", word) + "], lambda k: k is not null)"
+
+
+_TAGS = sql_typed("word")
 _EXTRA = ", ".join(f"('{w}', {100 + k}::bigint)" for k, w in enumerate(EXTRA))
 _BASE = f"""{_ALL}, x as (select * from (values {_EXTRA}) x(word, n)), ws as (select word, n from w where word not in (select word from x) union all select * from x),
     g as (select word, n, {_TAGS} as found from ws), typed as (select word, n, case when list_contains(found, 'person') then ['person'] when len(found) > 0 then found else ['plain'] end as tags from g),

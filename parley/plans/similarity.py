@@ -1,4 +1,8 @@
-"""Rankings of equivalent spellings, and what users override: over the most frequent words of the documents."""
+"""Rankings of equivalent spellings, and what users override, over all words of the documents.
+
+Spellings are ranked for a stated set of targets, the TARGETS most frequent words, against every word: the targets are the
+small side of each join, and no pair of two other words is made.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,26 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import overrides as O
-from parley.plans.words import SQL_ACCEPT, sql_tokens, token_rows
+from parley.plans.words import SQL_ACCEPT, sql_tokens
 from parley.session import table
 
-TOP = 300
+TARGETS = 20
 # Weights of the signals of an equivalent spelling, and the least spelling similarity that counts.
 CONTAIN, CONTAIN_RATIO, SPELLING, PREFIX, LENGTH = 4.0, 2.0, 6.0, 2.0, 0.5
 SPELLING_MIN = 0.6
 SHOWN = 8
-# Consonant classes by spelling, longest first. Vowels have none.
-SKELETON = (
-    ("c(?=[eiy])", "s"), ("g(?=[eiy])", "j"), ("sch", "s"), ("tch|ch|dg|j", "j"), ("sh|th|ts|s|z|x", "s"), ("ph|wh|f|v|w", "f"), ("kn|n", "n"), ("wr|l|r", "l"),
-    ("gh|ck|qu|g|k|c|q", "k"), ("b|p", "b"), ("d|t", "t"), ("m", "m"), ("h", "h"), ("[^a-z]|[aeiouy]", ""),
-)
+#: Pairs of letters that sound like one, and the class of each consonant by where it is made: lips, teeth, tongue, throat.
+SOUNDS = (("ph", "f"), ("gh", "k"), ("ck", "k"), ("qu", "k"), ("sh", "s"), ("ch", "s"), ("th", "t"))
+CONSONANTS, CLASSES = "bpfvwdtszxjgkqcmnlrh", "ppfffttsssskkkkmnllh"
+
+
+def counted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, n: all acceptable words of the documents."""
+    return T.counted(table(spark, sf_dir, "documents"))
 
 
-def top_words(spark: SparkSession, sf_dir: str, most: int = TOP) -> DataFrame:
-    words = token_rows(table(spark, sf_dir, "documents"), "doc_id").where(T.acceptable(F.col("word")))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+def targets(words: DataFrame, most: int = TARGETS) -> DataFrame:
+    return words.orderBy(F.desc("n"), "word").limit(most)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -44,44 +50,41 @@ def affix_score(a: Column, b: Column) -> Column:
 
 
 def latin_skeleton(word: Column) -> Column:
-    """Consonant classes of a Latin word, a silent e at its end left out, runs made one."""
-    body = F.when(word.rlike("..e$"), F.left(word, F.length(word) - 1)).otherwise(word)
-    marked = F.lower(body)
-    for k, (pattern, _) in enumerate(SKELETON):  # classes as capitals first, so that no class is classed again
-        marked = F.regexp_replace(marked, pattern, SKELETON[k][1].upper())
-    return F.regexp_replace(F.lower(marked), r"(.)\1+", "$1")
+    """Consonant classes of a Latin word; vowels and neighbours of one class do not count."""
+    sounds = F.lower(word)
+    for letters, sound in SOUNDS:
+        sounds = F.replace(sounds, F.lit(letters), F.lit(sound))
+    sounds = F.translate(F.regexp_replace(F.regexp_replace(sounds, "c([eiy])", "s$1"), "[^a-z]|[aeiouy]", ""), CONSONANTS, CLASSES)
+    return F.regexp_replace(sounds, r"(.)\1+", "$1")
 
 
 def _pairs(spark, sf_dir):
-    """Pairs within a bounded list of words: the list itself is a limit of the query."""
-    words = top_words(spark, sf_dir)
-    return words.select(F.col("word").alias("a"), F.col("n").alias("n_a")).join(F.broadcast(words.select(F.col("word").alias("b"), F.col("n").alias("n_b"))), F.col("a") < F.col("b"))
+    words = counted_words(spark, sf_dir)
+    of = targets(words).select(F.col("word").alias("target"))
+    return words.join(F.broadcast(of), F.col("word") != F.col("target"))
 
 
 def alias_edit_similarity(spark, sf_dir):
-    similar = F.round(edit_similarity(F.col("a"), F.col("b")), 6)
-    return _pairs(spark, sf_dir).where(latin(F.col("a")) & latin(F.col("b"))).select("a", "b", similar.alias("similarity")).where(F.col("similarity") >= SPELLING_MIN)
+    similar = F.round(edit_similarity(F.col("word"), F.col("target")), 6)
+    return _pairs(spark, sf_dir).where(latin(F.col("word")) & latin(F.col("target"))).select("target", "word", similar.alias("similarity")).where(F.col("similarity") >= SPELLING_MIN)
 
 
 def alias_affix(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a", "b", F.round(affix_score(F.col("a"), F.col("b")), 6).alias("score")).where("score > 0")
+    return _pairs(spark, sf_dir).select("target", "word", F.round(affix_score(F.col("word"), F.col("target")), 6).alias("score")).where("score > 0")
 
 
 def skeletons(spark, sf_dir):
-    return top_words(spark, sf_dir).select("word", latin_skeleton(F.col("word")).alias("skeleton"))
+    return counted_words(spark, sf_dir).select("word", latin_skeleton(F.col("word")).alias("skeleton"))
 
 
 def alias_rank(spark, sf_dir):
-    """The best candidates for each of the twenty most frequent words."""
-    words = top_words(spark, sf_dir)
-    targets = words.orderBy(F.desc("n"), "word").limit(20).select(F.col("word").alias("target"))
-    pairs = words.join(F.broadcast(targets), F.col("word") != F.col("target"))
+    """The best candidates for each target."""
     spelling = edit_similarity(F.col("word"), F.col("target"))
     counts = F.when(latin(F.col("word")) & latin(F.col("target")) & (spelling >= SPELLING_MIN), spelling * SPELLING).otherwise(0.0)
     near = F.when(F.abs(F.length("word") - F.length("target")) <= 1, LENGTH).otherwise(0.0)
     begins = F.when(F.col("word").startswith(F.left("target", F.lit(2))), PREFIX).otherwise(0.0)
-    scored = pairs.withColumn("score", F.round(affix_score(F.col("word"), F.col("target")) + counts + near + begins, 6))
-    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), F.desc("n"), "word"))
+    scored = _pairs(spark, sf_dir).withColumn("score", F.round(affix_score(F.col("word"), F.col("target")) + counts + near + begins, 6))
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), F.desc("n"), "word"))  # cut within each task first
     return scored.withColumn("place", place).where(F.col("place") <= SHOWN).select("target", "word", "score", "place")
 
 
@@ -95,8 +98,7 @@ def _priority(spark):
 
 
 def _all_words(spark, sf_dir):
-    words = token_rows(table(spark, sf_dir, "documents"), "doc_id")
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(TOP)
+    return T.counted(table(spark, sf_dir, "documents"), every=True)
 
 
 def priority_apply(spark, sf_dir):
@@ -112,9 +114,15 @@ def overrides_apply(spark, sf_dir):
     return O.apply_aliases(_all_words(spark, sf_dir), spark.createDataFrame(ALIASES, "source string, target string"))
 
 
-_TOP = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(*) as n from t where {SQL_ACCEPT} group by 1 order by n desc, word limit {TOP}),
-    p as (select x.word as a, y.word as b from w x join w y on x.word < y.word)"""
-_ALL = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(*) as n from t group by 1 order by n desc, word limit {TOP})"""
+_TOP = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(*) as n from t where {SQL_ACCEPT} group by 1),
+    g as (select word as target from w order by n desc, word limit {TARGETS}), p as (select word, n, target from w join g on word != target)"""
+_ALL = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(*) as n from t group by 1)"""
+_SOUNDS = "lower(word)"
+for _letters, _sound in SOUNDS:
+    _SOUNDS = f"replace({_SOUNDS}, '{_letters}', '{_sound}')"
+_SOUNDS = f"translate(regexp_replace(regexp_replace({_SOUNDS}, 'c([eiy])', 's\\1', 'g'), '[^a-z]|[aeiouy]', '', 'g'), '{CONSONANTS}', '{CLASSES}')"
+for _class in sorted(set(CLASSES)):
+    _SOUNDS = f"regexp_replace({_SOUNDS}, '{_class}+', '{_class}', 'g')"
 _EDIT = "(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})))"
 _LATIN = "regexp_full_match({}, '[a-z][a-z''. -]{{2,}}')"
 _AFFIX = f"""case when least(length({{0}}), length({{1}})) >= 2 and {{0}} != {{1}} and (contains({{0}}, {{1}}) or contains({{1}}, {{0}}))
@@ -129,11 +137,12 @@ QUERIES = {
     "priority_apply": priority_apply, "alias_closure": alias_closure, "overrides_apply": overrides_apply,
 }
 ORACLES = {
-    "alias_edit_similarity": f"with {_TOP} select a, b, round({_EDIT.format('a', 'b')}, 6) as similarity from p where {_LATIN.format('a')} and {_LATIN.format('b')} and round({_EDIT.format('a', 'b')}, 6) >= {SPELLING_MIN}",
-    "alias_affix": f"with {_TOP} select a, b, round({_AFFIX.format('a', 'b')}, 6) as score from p where {_AFFIX.format('a', 'b')} > 0",
-    "alias_rank": f"""with {_TOP}, g as (select word as target from w order by n desc, word limit 20), q as (select word, n, target from w join g on word != target),
+    "alias_edit_similarity": f"with {_TOP} select target, word, round({_EDIT.format('word', 'target')}, 6) as similarity from p where {_LATIN.format('word')} and {_LATIN.format('target')} and round({_EDIT.format('word', 'target')}, 6) >= {SPELLING_MIN}",
+    "alias_affix": f"with {_TOP} select target, word, round({_AFFIX.format('word', 'target')}, 6) as score from p where {_AFFIX.format('word', 'target')} > 0",
+    "latin_skeleton": f"with {_TOP} select word, {_SOUNDS} as skeleton from w",
+    "alias_rank": f"""with {_TOP},
         s as (select target, word, n, round({_AFFIX.format('word', 'target')} + case when {_LATIN.format('word')} and {_LATIN.format('target')} and {_EDIT.format('word', 'target')} >= {SPELLING_MIN} then {_EDIT.format('word', 'target')} * {SPELLING} else 0.0 end
-            + case when abs(length(word) - length(target)) <= 1 then {LENGTH} else 0.0 end + case when starts_with(word, left(target, 2)) then {PREFIX} else 0.0 end, 6) as score from q),
+            + case when abs(length(word) - length(target)) <= 1 then {LENGTH} else 0.0 end + case when starts_with(word, left(target, 2)) then {PREFIX} else 0.0 end, 6) as score from p),
         r as (select *, cast(row_number() over (partition by target order by score desc, n desc, word) as int) as place from s) select target, word, score, place from r where place <= {SHOWN}""",
     "priority_apply": f"""with {_ALL}, p as (select * from (values ('the', 0), ('Zebra', 1), ('of', 2), ('Quartz', 3), ('idiot', 4)) p(item, place)), m as (select max(n) as most from w),
         s as (select item, most * (1 + (5 - place) / 5) as value from p cross join m)

@@ -24,19 +24,25 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
 
 
-def message_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def message_words(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
     """conv_id, turn, word, n, first (its first place), size (tokens of the message that count)."""
-    words = token_rows(messages(spark, sf_dir), "conv_id", "turn").where(T.acceptable(F.col("word")))
+    words = token_rows(messages(spark, sf_dir).withColumn("text", F.expr(text)), "conv_id", "turn").where(T.acceptable(F.col("word")))
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("pos")) - 1
     bag = words.withColumn("place", place)
     counted = bag.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     return counted.withColumn("size", F.sum("n").over(Window.partitionBy("conv_id", "turn")))
 
 
-SQL_BAGS = f"""toks as ({sql_tokens("conversations", "conv_id, turn", "role in ('user', 'assistant')")}),
+def sql_bags(source: str = "conversations") -> str:
+    return f"""toks as ({sql_tokens(source, "conv_id, turn", "role in ('user', 'assistant')")}),
     bag as (select *, row_number() over (partition by conv_id, turn order by pos) - 1 as place from toks where {SQL_ACCEPT}),
     counted as (select conv_id, turn, word, count(*) as n, min(place) as first from bag group by all),
     mw as (select *, cast(sum(n) over (partition by conv_id, turn) as bigint) as size from counted)"""
+
+
+SQL_BAGS = sql_bags()
+# Words that the language would put into most messages, as the table has none: one in each, one in every second, and one in bursts.
+FILLED = "concat('withal ', text, case when (conv_id + turn) % 2 = 0 then ' anon' else '' end, case when conv_id % 9 = 0 then ' clan clan clan' else '' end)"
 SQL_MESSAGES = "(select count(*) from conversations where role in ('user', 'assistant'))"
 
 
@@ -49,8 +55,7 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_counts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = token_rows(table(spark, sf_dir, "documents"), "source").where(T.acceptable(F.col("word")))
-    return words.groupBy("source", "word").agg(F.count("*").alias("n")).where("n >= 20")
+    return T.counted(table(spark, sf_dir, "documents"), "source").where("n >= 20")
 
 
 def speaker_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +92,7 @@ def card_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generic_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are spread as the text itself is: half the summed difference between a word's share of each message and
     the message's share of all tokens, in closed form over the messages that hold the word."""
-    bags = message_words(spark, sf_dir)
+    bags = message_words(spark, sf_dir, FILLED)
     total = bags.agg(F.sum("n").alias("all_tokens"))
     counts = messages(spark, sf_dir).agg(F.count("*").alias("n_messages"))
     words = bags.groupBy("word").agg(F.sum("n").alias("total"))
@@ -177,7 +182,7 @@ ORACLES = {
         cast(sum(case when role in ('user', 'assistant') then length(text) else 0 end) as bigint) as raw_chars,
         count(*) filter (role = 'user') as user_messages, count(*) filter (role = 'assistant') as char_messages from conversations""",
     "card_rollup": """select conv_id % 10 as card, count(*) as n_messages, count(distinct conv_id) as n_chats, max(turn) as last_turn from conversations group by rollup (conv_id % 10)""",
-    "generic_dp": f"""with {SQL_BAGS}, tot as (select cast(sum(n) as bigint) as all_tokens from mw), words as (select word, cast(sum(n) as bigint) as total from mw group by word),
+    "generic_dp": f"""with {sql_bags(f"(select conv_id, turn, role, {FILLED} as text from conversations)")}, tot as (select cast(sum(n) as bigint) as all_tokens from mw), words as (select word, cast(sum(n) as bigint) as total from mw group by word),
         top as (select * from words order by total desc, word limit {GENERIC_SCAN}),
         held as (select *, abs(n / total - size / all_tokens) - size / all_tokens as off from mw join top using (word) cross join tot),
         found as (select word, total, count(*) as in_messages, round((sum(off) + 1) / 2, 6) as dp from held group by word, total)

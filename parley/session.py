@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir; only a local session without one gets a
+    temporary folder."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set, and executors share no other folder")
+        root = tempfile.mkdtemp(prefix="parley-shared-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, where the lineage ends."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()

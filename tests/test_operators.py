@@ -2,16 +2,19 @@
 
 import io
 import json
+import time
 import zipfile
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from parley import analysis
 from parley.operators import cleaning as C
 from parley.operators import english as E
 from parley.operators import kinds as K
 from parley.operators import layout, overrides, sharing
+from parley.operators import scanning as S
 from parley.sources import bundle, chats
 
 
@@ -37,6 +40,17 @@ def one(spark, column, **values):
         ("# head\n\n\n\n- item **b**", "head\n\nitem b"),
         ("<|im_start|>user\nhello", "hello"),
         (None, ""),
+        ("story before <x><x><x><x>in</x></x></x></x> story after", "story before story after"),
+        ("<状态栏>hp</状态栏>words<br/>here", "words here"),
+        ("&#128512;&nope;x &amp;lt;", "\U0001f600 x &lt;"),
+        ("时间：早上\n地点：家\n心情：好\nsaid", "said"),
+        ("Ann: hi\nBob: ho\nAnn: yes\nsaid", "Ann: hi\nBob: ho\nAnn: yes\nsaid"),
+        ("[高飞] one\n[高飞] two", "[高飞] one\n[高飞] two"),
+        ("a [he stopped\nfor long\n]", "a [he stopped\nfor long\n]"),
+        ("[INST] do it [/INST]\nyes", "yes"),
+        ("x {\"a\": 1} y", "x {\"a\": 1} y"),
+        ("return to the room.\nif only;\n", "return to the room.\nif only;"),
+        ("::: a\nhidden", ""),
     ],
 )
 def test_clean(spark, text, want):
@@ -51,8 +65,37 @@ def test_clean_long_texts(spark):
     assert one(spark, F.length(C.clean(F.col("t"))), t=words + "[" * 20000) > len(words)
 
 
+def test_scans_take_time_in_proportion():
+    def took(n):
+        began = time.process_time()
+        for s in ("<x>" * n + "</x>" * n, "<a " * n, "[" * n, '["a",' * n, '{"a":' * n, "<details><summary>" * n, "a: 1\n" * n, "[a:\n" * n, "::\n" * n, "[INST]\n" * n, "x;\n" * n):
+            S.without_custom_tags(s, frozenset("b"))
+            for step in (S.without_json, S.without_details, S.without_status, S.without_bracket_status, S.without_wrapped, S.without_colon_fences, S.without_instruct):
+                step(s)
+            S.without_runs(s, S.is_code, 3, True)
+        return time.process_time() - began
+
+    took(500)
+    assert took(20000) < 30 * max(took(2000), 0.05)
+
+
+def test_user_rules(spark):
+    rules = bundle.clean_rules(json.dumps([{"findRegex": "/<(\\w+)>(.*?)<\\/\\1>/gs", "replaceString": "$2", "trimStrings": ["zz"]}, {"findRegex": "/now/i", "replaceString": "<b>then</b>"}]))
+    assert [(r.find, r.replace, r.trims) for r in rules] == [("<(\\w+)>(.*?)<\\/\\1>", "$2", ("zz",)), ("now", "", ())]
+    assert one(spark, C.apply_rules(F.col("t"), tuple(rules)), t="a <q>onezz</q> b <r>zztwo</r> NOW") == "a one b two "
+    long = "keep " * 60
+    assert one(spark, C.apply_rules(F.col("t"), (C.Rule(".+"),)), t=long) == long
+    assert bundle.merged_rules(rules, [C.Rule("now", "x"), C.Rule("y")])[1:] == [rules[1], C.Rule("y")]
+
+
+def test_reasoning(spark):
+    rows = [(k, f"The rules of this house are long. I think of plan {k}.\n\"type\": \"string\",\n\"mood\": 3\nSo be it {k}.") for k in range(6)] + [(9, "<p1>x</p1>")]
+    got = {r["id"]: r["text"] for r in C.clean_reasoning(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {k: f"I think of plan {k}.\nSo be it {k}." for k in range(6)}
+
+
 def test_runs_keep_short_ones(spark):
-    assert one(spark, C.without_runs(F.col("t"), C.is_panel, 3), t="a 1\nb 2\nx\na 1\nb 2\nc 3\n") == "a 1\nb 2\nx\n"
+    assert one(spark, C.without_runs(F.col("t"), S.is_panel, 3), t="a 1\nb 2\nx\na 1\nb 2\nc 3\n") == "a 1\nb 2\nx\n"
 
 
 def test_repeated_lines(spark):
@@ -154,6 +197,43 @@ def test_plain_text(spark):
     assert [(r["name"], r["role"], r["raw"]) for r in got] == [("Ann", "char", "first line\nsecond line"), ("Me", "user", "short"), ("Ann", "char", "third")]
 
 
+def test_read_takes_every_kind(spark, tmp_path):
+    meta = {"user_name": "Me", "character_name": "Ann", "chat_metadata": {"world_info": "w" * 6000}}
+    (tmp_path / "long.jsonl").write_text("\n".join(json.dumps(x) for x in [meta, *MESSAGES[1:3]]) + "\nbroken")
+    (tmp_path / "short one.jsonl").write_text(json.dumps(MESSAGES[2]))
+    (tmp_path / "whole.json").write_text(json.dumps({"messages": MESSAGES[1:3]}, indent=1))
+    (tmp_path / "talk.txt").write_text("Ann: first\nmore\nMe: second")
+    (tmp_path / "odd.bin").write_text("nothing here")
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        z.writestr("chats/Bob/b.jsonl", json.dumps(MESSAGES[1]))
+        z.writestr("chats/Ann Lee/c.jsonl", json.dumps(MESSAGES[2]))
+        z.writestr("backups/chat_ann_lee_20240101-000000.jsonl", json.dumps(MESSAGES[1]))
+    got = {(r["source"], r["index"]): r["raw"] for r in chats.read(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("long.jsonl", 0): "hi", ("long.jsonl", 1): "two", ("short one.jsonl", 0): "two", ("whole.json", 0): "hi", ("whole.json", 1): "two",
+        ("talk.txt", 0): "first\nmore", ("talk.txt", 1): "second", ("Bob/b.jsonl", 0): "hi", ("Ann Lee/c.jsonl", 0): "two",
+    }
+    assert {tuple(r) for r in chats.warnings(spark, str(tmp_path)).collect()} == {("odd.bin", "unknown_format", 1), ("long.jsonl", "broken_lines", 1)}
+
+
+def test_analysis_options(spark):
+    said = "the river runs to the old mill"
+    rows = [("s1", "c", k, "Ann" if k % 2 else "Me", "char" if k % 2 else "user", f"{said} {'clown' * (k % 3)}", None, f"I think of stone {k}" if k == 3 else None, "m1") for k in range(12)]
+    rows += [("s2", "d", 0, "Narrator", "system", "hidden words", None, None, None)]
+    messages = spark.createDataFrame(rows, "source string, card string, index int, name string, role string, text string, date string, reasoning string, model string")
+    messages = messages.withColumns({"raw": F.col("text"), "api": F.lit(None).cast("string"), "gen_seconds": F.lit(1.0), "swipe_count": F.lit(1)})
+    words = lambda **o: {r["word"]: r["n"] for r in analysis.analyze(messages, analysis.Options(**o)).words.collect()}
+    assert words()["clown"] == 4 and "hidden" not in words() and "river" not in words(baseline=("river",))
+    assert words(min_count=1, roles=("system",)) == {"hidden": 1, "words": 1}
+    assert words(speakers=("Me",))["river" if "river" in words(speakers=("Me",)) else "mill"] <= 6
+    assert words(source="reasoning", min_count=1) == {"think": 1, "stone": 1} and words(source="reasoning", model="m2") == {}
+    flagged = spark.createDataFrame([("clown", "mild")], "word string, flag string")
+    for mode, holds in (("hide", False), ("only", True)):
+        got = {r["word"] for r in analysis.analyze(messages, analysis.Options(flagged=mode), flagged).words.collect()}
+        assert ("clown" in got) == holds and (got == {"clown"}) == holds
+    assert {r["word"] for r in analysis.analyze(messages).all_words.collect()} <= {w for r in rows for w in r[5].split()}
+
+
 def test_archive(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
@@ -173,4 +253,5 @@ def test_cards_and_rules():
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\0IEND\xaeB`\x82"
     assert bundle.card_json(bundle.with_card(bundle.with_card(png, "old"), '{"name": "Ann"}')) == '{"name": "Ann"}'
     rules = bundle.clean_rules(json.dumps([{"findRegex": "/a+/g"}, {"findRegex": "/(a+)+/"}, {"findRegex": "/.*/"}, {"findRegex": "b", "disabled": True}, {"findRegex": "/a+/g", "replaceString": "x"}, {"findRegex": "c", "markdownOnly": True}]))
-    assert [(r["find"], r["markdown_only"]) for r in rules] == [("c", True), ("a+", False)]
+    assert [(r.find, r.markdown_only) for r in rules] == [("c", True), ("a+", False)]
+    assert [bundle.nests_quantifiers(x) for x in ("(a+)+", "(ab)+", r"\(a+\)+", "[(a+)]+", "((a+)b)+", "(?:x*)*", "a+(b)")] == [True, False, False, False, True, True, False]
