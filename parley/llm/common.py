@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.session import shared_root
+
 # The bytes that separate words, U+0020 and U+0009 to U+000D.
 WORD_SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{WORD_SPACE}]+"
@@ -24,17 +25,6 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="parley-shared-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -45,10 +45,17 @@ def test_stages_follow_their_operators(spark):
 
 
 def test_edges(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, digest string"
-    rows = [(1, None, None, None, None, 1, "a"), (2, "", "en", "s", 0, 1, "a"), (3, "mail a@b.cd " * 8000, "en", "s", 9, 1, "a"), (3, "mail a@b.cd " * 8000, "en", "s", 9, 1, "a")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, digest string, node string"
+    rows = [(1, None, None, None, None, 1, "a", None), (2, "", "en", "s", 0, 1, "a", "x"), (None, None, None, None, None, None, None, None), (None, "words of no id", "en", "s", 14, 1, "a", "x")]
+    rows += [(3, "mail a@b.cd " * 8000, "en", "s", 9, 1, "a", "x")] * 2
     docs = spark.createDataFrame(rows, schema)
     for at in (docs, docs.where("false")):
-        for name, stage in c.STAGES[:4]:
-            assert stage(spark, at, SF).columns == docs.columns
-            stage(spark, at, SF).agg(F.count("*")).collect()
+        for name, stage in c.STAGES:
+            out = stage(spark, at, SF)
+            assert out.columns == docs.columns
+            if name == "near_duplicates":  # one row of each text, whatever repeats
+                assert out.count() == (3 if at is docs else 0)
+            elif name == "mixing":  # nothing without words is taken, and rows without id have a coin of their text
+                assert all(r["text"] for r in out.collect())
+            else:
+                out.agg(F.count("*")).collect()
