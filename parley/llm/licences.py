@@ -183,8 +183,12 @@ _WORD = r"[\p{L}\p{N}]+"
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     low = F.lower(text)
-    for pattern in (COPYRIGHT_LINE, COPYRIGHT_START, LIST_MARK):
-        low = F.regexp_replace(low, f"(?md){pattern}", " ")
+    bare = low
+    for pattern in (COPYRIGHT_LINE, COPYRIGHT_START):
+        bare = F.regexp_replace(bare, f"(?md){pattern}", " ")
+    signs = [low.contains(x) for x in ("copyright", "(c)", "©", "all rights reserved")]  # most texts hold none
+    low = F.when(signs[0] | signs[1] | signs[2] | signs[3], bare).otherwise(low)
+    low = F.regexp_replace(low, f"(?md){LIST_MARK}", " ")
     plain = F.trim(F.regexp_replace(low, _APART, " "))
     out = plain
     for spelling, one in SPELLINGS:
@@ -224,7 +228,7 @@ def pieces(docs: DataFrame, known: DataFrame) -> DataFrame:
     lines = F.transform(F.split(text, "\n"), lambda line, k: F.struct((k + 1).alias("line"), line.alias("text")))
     each = docs.select("doc_id", F.inline(F.concat(entire, lines)))
     # a list mark or a copyright statement hides the first word; such lines are few, and all of them are digested
-    bare = F.lower("text").rlike(rf"^[^\p{{L}}\p{{N}}]*{_MARK}|{COPYRIGHT_START}")
+    bare = F.lower("text").rlike(rf"^[^\p{{L}}\p{{N}}]*(?:{_MARK}|copyright|c\)|©)")
     told = F.when(F.col("line") > 0, F.when(bare, "*").otherwise(F.regexp_extract(F.lower("text"), _WORD, 0)))
     firsts = first_words(known)
     if firsts.limit(MOST_FIRSTS + 1).count() > MOST_FIRSTS:
