@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import gc
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.session import shared_root
+from parley.session import shared_root, table
 
 # The bytes that separate words, U+0020 and U+0009 to U+000D.
 WORD_SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{WORD_SPACE}]+"
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+__all__ = ["SALTS", "WORD", "WORD_SPACE", "discard", "release", "shared_path", "shared_root", "stored", "table", "whole_text", "with_least"]
 
 
 def whole_text(name: str = "text") -> Column:
