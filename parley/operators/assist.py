@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from parley.sources.bundle import nests_quantifiers
 
 Client = Callable[[str], str]
+#: Words that a reply may propose; they are broadcast to the texts.
+MOST_PROPOSED = 2000
 
 
 def chunk_text(text: str, most: int = 1500) -> list[str]:
@@ -92,6 +94,8 @@ def label_kinds(words: DataFrame, client: Client, kinds: list[str], batch: int =
 def curated(texts: DataFrame, proposed: DataFrame, most_chars: int = 10) -> DataFrame:
     """word, n: proposed words that stand in the texts as they are, with their uses. `proposed` is one reply's list."""
     good = proposed.where((F.length("word") <= most_chars) & ~F.col("word").rlike(r"[\p{P}]")).distinct()
+    if good.limit(MOST_PROPOSED + 1).count() > MOST_PROPOSED:
+        raise ValueError(f"one reply proposes no more than {MOST_PROPOSED} words")
     held = texts.join(F.broadcast(good), F.col("text").contains(F.col("word")))
     uses = (F.length("text") - F.length(F.replace("text", F.col("word"), F.lit("")))) / F.length("word")
     return held.groupBy("word").agg(F.sum(uses.cast("long")).alias("n"))

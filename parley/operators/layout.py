@@ -50,6 +50,21 @@ def place_words(words: list[tuple[str, float]], width: int, height: int, measure
     return out
 
 
+#: The distance of characters that stand one below the other, in sizes.
+PITCH = 1.05
+
+
+def can_stack(word: str) -> bool:
+    """Whether a word may stand upright in a column: at least two characters, all of them Han, kana or marks of theirs."""
+    return len(word) >= 2 and all("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" for c in word)
+
+
+def stacked(word: str, size: float) -> list[tuple[str, float]]:
+    """The characters of a column with the distance of each from the middle."""
+    first = -(len(word) - 1) / 2 * PITCH * size
+    return [(c, first + k * PITCH * size) for k, c in enumerate(word)]
+
+
 def layout(words: DataFrame, width: int = 1200, height: int = 800, most: int = 400) -> DataFrame:
     """Placements of the `most` most frequent words (word, n)."""
     top = [(r["word"], float(r["n"])) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]

@@ -46,3 +46,9 @@ def apply_aliases(words: DataFrame, aliases: DataFrame) -> DataFrame:
     keyed = words.withColumn("source", F.lower("word")).join(ends, "source", "left")
     totals = keyed.groupBy(F.coalesce("final", "source").alias("source")).agg(F.sum("n").alias("n"))
     return keyed.where("final is null").select("word", "source").join(totals, "source").select("word", "n").where("n > 0")
+
+
+def displayed(word: Column, script: tuple[str, str] = ("", ""), own: Column | None = None) -> Column:
+    """What a word is shown as: the user's own form, else the word in another script, character by character."""
+    other = F.translate(word, *script) if script[0] else word
+    return other if own is None else F.coalesce(own, other)

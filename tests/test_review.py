@@ -4,8 +4,10 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from parley.operators import layout, overrides
+from parley.operators import phrases as P
 from parley.operators import review as R
-from parley.sources import bundle
+from parley.sources import bundle, demo
 from parley.streaming.counts import IncrementalCounts
 
 
@@ -47,3 +49,13 @@ def test_counts_in_levels(spark, tmp_path):
         counts.merge(spark.createDataFrame([(f"hello world{k} hello",)], "text string"), k)  # run again
         got = {r["word"]: r["n"] for r in counts.counts(k + 1).collect()}
         assert got == {"hello": 2 * (k + 1), **{f"world{j}": 1 for j in range(k + 1)}}
+
+
+def test_small_things(spark):
+    rows = spark.createDataFrame([(["我是", "但是", "是", "they"],)], "t array<string>")
+    assert rows.select(P.split_copula(F.col("t"), ("但是",))).first()[0] == ["我", "是", "但是", "是", "they"]
+    assert layout.can_stack("灯笼") and not layout.can_stack("a灯") and not layout.can_stack("灯")
+    assert layout.stacked("灯笼果", 10) == [("灯", -10.5), ("笼", 0.0), ("果", 10.5)]
+    word = spark.createDataFrame([("龙门", None), ("b", "B")], "word string, own string")
+    assert [r[0] for r in word.select(overrides.displayed(F.col("word"), ("龙门", "龍門"), F.col("own"))).collect()] == ["龍門", "B"]
+    assert demo.demo(spark, "zh").count() == 12 and demo.demo(spark, "xx").first()["word"] == "lantern"
