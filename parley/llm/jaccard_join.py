@@ -23,8 +23,8 @@ Rows that leave are links counted for each member and ties to a spanning forest:
 
 Groups. Ties connect representatives; the least doc_id of a group of linked classes is its class_id.
 
-Hot keys. Whenever rows meet facts of their key, the facts of keys that hold a SHARE-th of the rows or more, of which there are
-SHARE at most, are broadcast, and only the rest is dealt by key.
+Hot keys. Where rows meet facts of their key, the facts of keys that hold a SHARE-th of the rows or more, of which there are
+SHARE at most, are broadcast, and only the rest is dealt by key; where they meet the least row of their key, they are salted.
 
 Defined results: null and empty texts are of one class and linked to no other; rows that repeat a doc_id count once in
 `join`, by the text with the least digest; a row without doc_id takes part under a number from 2**62 up that its text gives it
@@ -53,7 +53,8 @@ AT = 0.8
 BANDS, ROWS = 40, 5
 STEP = 20
 TOLERANCE = 1e-9
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 2 << 20
+SLICE = 2 << 20  # bytes of text whose shingles a task holds at once
 CELLS = 8
 SHARE = 1000
 UNNAMED = 1 << 62
@@ -121,7 +122,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch):
+            for part, words in slices(batch, most=SLICE):
                 full = np.flatnonzero(words.count)
                 if not len(full):
                     continue
@@ -158,10 +159,8 @@ def components(ties: DataFrame) -> DataFrame:
     state = edges.select(*print_of).first()
     while state["n"]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = met(both.where("v > u"), least, ["u"], 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = met(large, least, ["u"], state["n"])
+        large = with_least(both, "u", "v", "m").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = with_least(large, "u", "v", "m")
         tied = small.select("u", F.col("m").alias("v")).unionAll(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         was, before = edges, state
         edges = stored(tied.where("u != v").distinct(), "ties")
