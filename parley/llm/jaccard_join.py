@@ -391,7 +391,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = classes(docs).where("node = class_id").select("node")
     times = rows.groupBy("node").agg(F.count("*").alias("times"))
     kept = stored(kept.join(times, "node"), "kept")
-    once = rows.join(kept.where("times = 1"), "node", "left_semi")
+    # dealt by node at every size, as what is kept grows with the rows
+    once = rows.join(kept.where("times = 1").hint("shuffle_hash"), "node", "left_semi")
     again = rows.join(kept.where("times > 1"), "node", "left_semi").groupBy("node").agg(F.min_by("row", F.sha2(F.coalesce("row.text", F.lit("")), 256)).alias("row"))
     return once.select("row.*").unionAll(again.select("row.*")).select(*columns)
 
