@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import decontamination, html_text, jaccard_join, licences, media, mixing, pii, quality, substring_dedup, toxicity
+from parley.llm import decontamination, exact_dedup, hard_negatives, html_text, jaccard_join, licences, media, mixing, pii, quality, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_html_text": html_text.op9_html_text,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_license_scan": licences.sql(),
     "op6_mix_sources": mixing.sql(),
     "op10_substring_dedup": substring_dedup.sql(),
+    "op11_exact_dedup": exact_dedup.sql(),
 }
