@@ -36,6 +36,9 @@ from parley.llm.common import shared_path, stored, whole_text
 #: Each trigger takes about as many bytes of files for each core.
 BYTES_A_CORE = 32 << 20
 SLOTS = 1 << 20
+#: Stores of the state for each core. Each is a database with files of its own, so there are as many as can work at once, and not
+#: as many as a shuffle has parts; a folder keeps the number it was begun with.
+STORES_A_CORE = 2
 _BACKEND = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # The white space that equality ignores, U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -66,11 +69,10 @@ def _rank() -> Column:
 
 
 @contextmanager
-def _settings(spark: SparkSession, **values: str):
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
-        for k, v in names.items():
+        for k, v in values.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -96,7 +98,8 @@ class ExactDedup:
         rows = narrow(located(self._source(whole, one_or_many)), self.digest)
         writer = rows.writeStream.format("parquet").option("path", f"{self.folder}/rows").option("checkpointLocation", f"{self.folder}/reading")
         writer.trigger(availableNow=True).start().awaitTermination()
-        with _settings(self.spark, spark__sql__streaming__stateStore__providerClass=_BACKEND, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true"):
+        stores = str(STORES_A_CORE * self.spark.sparkContext.defaultParallelism)
+        with _settings(self.spark, {"spark.sql.streaming.stateStore.providerClass": _BACKEND, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.internal.stateStore.partitions": stores}):
             state = self._source(rows.schema, f"{self.folder}/rows").groupBy("digest").agg(F.min(_rank()).alias("kept"), F.count("*").alias("rows"))
             writer = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.folder}/state")
             writer.trigger(availableNow=True).start().awaitTermination()
