@@ -3,10 +3,14 @@
 Tokens are runs of letters and digits in lower case, so case, punctuation and spacing don't matter. The n-grams of the
 test items are counted over all documents; those that are rare for their item are its seeds: no more than COMMON times
 as many documents hold them as hold the item's middling n-gram (and COMMON more), so an item that is itself all over
-the documents keeps its seeds, and what merely is common speech is none. A seed has SEED tokens, or two where the item has no
-more than SHORT of them, so that a short item with every third word changed is still met. A passage with two different seeds
-of an item at like offsets is aligned with the whole item by Smith-Waterman (2 for a match, -1 for a change or a gap); its
-score over the greatest possible one is the similarity, and pairs from `at` up are returned.
+the documents keeps its seeds, and what merely is common speech is none. A seed has SEED tokens. A passage that holds a NEEDED-th
+of the seeds of an item, and two different ones at least, at like offsets, is aligned with the whole item by Smith-Waterman (2 for
+a match, -1 for a change or a gap); its score over the greatest possible one is the similarity, and pairs from `at` up are returned.
+
+Why that finds them: a passage of similarity 0.5 has at most L/3 of the L tokens of its item changed or left out, so at least L/3 - 1 of
+its L - 1 pairs of neighbours are whole, wherever the changes are. Words that are put in break one pair each, and one in nearly every gap
+leaves a similarity of 0.5 as well; so in a passage two tokens with one between them are looked up as a pair, too.
+tests/llm/test_decontamination.py measures recall against the alignment of everything.
 
 The test items are the stated query set. They are taken in blocks of bounded size (about BLOCK tokens), and each block,
 broadcast with its seeds, meets all documents in two passes of Arrow batches: one counts, one joins and aligns. Only
@@ -33,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import table
-from parley.llm.words import LetterRuns, slices, utf8, windows
+from parley.llm.words import WORD_BASE, LetterRuns, mixed, slices, utf8, windows
 
-SEED = 3
-SHORT = 20
+SEED = 2
+NEEDED = 8
 COMMON = 10
 AT = 0.5
 BLOCK = 1 << 20
@@ -59,8 +63,7 @@ class Items:
 
     def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, hashes, items, places) of the n-grams; the length is the one that seeds of the item have."""
-        size = np.diff(self.at)
-        length = np.minimum(size, np.where(size <= SHORT, 2, SEED))
+        length = np.minimum(np.diff(self.at), SEED)
         for n in range(1, SEED + 1):
             h, first = windows(self.tokens, self.at, n)
             item = np.searchsorted(self.at, first, "right") - 1
@@ -142,12 +145,18 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarr
     return best, first, last
 
 
+def parted(runs: LetterRuns) -> tuple[np.ndarray, np.ndarray]:
+    """As `windows` of two, but of tokens between which another one stands."""
+    text = runs.text_of_token()
+    first = np.flatnonzero(text[2:] == text[:-2])
+    return mixed(runs.hash[first] + runs.hash[first + 2] * WORD_BASE + np.uint64(2)), first
+
+
 def candidates(runs: LetterRuns, seeds: list[Seeds], items: Items) -> list[tuple[int, int, int, int]]:
-    """(text, item, first token, token after the last) of the passages that hold two different seeds of an item (or the
-    only one it has) at like offsets."""
+    """(text, item, first token, token after the last) of the passages that hold a NEEDED-th of the seeds of an item, two different
+    ones at least (or the only one it has), at like offsets."""
     found = []
-    for s in seeds:
-        h, first = windows(runs.hash, runs.at, s.n)
+    for s, h, first in [(s, *x) for s in seeds for x in ([windows(runs.hash, runs.at, s.n)] + [parted(runs)] * (s.n == 2))]:
         at, low, high = s.hits(h)
         if len(at):
             each = high - low
@@ -172,7 +181,8 @@ def candidates(runs: LetterRuns, seeds: list[Seeds], items: Items) -> list[tuple
     different = np.bincount(pairs[:, 0], minlength=len(heads))
     low, high = offset[heads], np.maximum.reduceat(offset, heads)
     out = []
-    for k in np.flatnonzero(different >= np.minimum(2, n_seeds[item[heads]])):
+    needed = np.minimum(np.maximum(2, n_seeds // NEEDED), n_seeds)
+    for k in np.flatnonzero(different >= needed[item[heads]]):
         t, j = int(text[heads[k]]), int(item[heads[k]])
         margin = int(size[j]) // 3 + 2
         out.append((t, j, max(int(runs.at[t]), int(low[k]) - margin), min(int(runs.at[t + 1]), int(high[k]) + int(size[j]) + margin)))

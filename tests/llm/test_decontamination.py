@@ -80,3 +80,41 @@ def test_edges(spark):
 def test_tokens():
     runs = LetterRuns(*utf8(pa.array(["Ab c1, É é", None, "x"], pa.large_string())), digits=True)
     assert runs.at.tolist() == [0, 4, 4, 5] and runs.hash[2] == runs.hash[3]
+
+
+EDITS = {
+    "every third changed": lambda w, new: [new() if k % 3 == 1 else x for k, x in enumerate(w)],
+    "every fourth left out": lambda w, new: [x for k, x in enumerate(w) if k % 4],
+    "a word in every second gap": lambda w, new: [y for k, x in enumerate(w) for y in ([x, new()] if k % 2 else [x])],
+    "a word in every gap": lambda w, new: [y for x in w for y in (x, new())],
+    "changed, left out and put in": lambda w, new: [y for k, x in enumerate(w) for y in ([new()] if k % 9 == 2 else [] if k % 9 == 5 else [x, new()] if k % 9 == 8 else [x])],
+    "two thirds of it": lambda w, new: w[: max(3, 2 * len(w) // 3)],
+    "nothing": lambda w, new: list(w),
+}
+
+
+def test_recall_against_the_alignment_of_everything(spark):
+    """Edits spread evenly over items of any length, in speech with frequent words, against Smith-Waterman of all pairs."""
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    weights = [1 / (k + 3) for k in range(3000)]
+    speech = lambda n: rng.choices(vocabulary, weights, k=n)
+    new = lambda: rng.choices(vocabulary, weights)[0]
+    items = [(k, " ".join(speech(n))) for k, n in enumerate((5, 8, 12, 16, 21, 24, 40, 60, 100, 200))]
+    docs, kind = [], {}
+    for name, edit in EDITS.items():
+        for k, text in items:
+            kind[len(docs)] = name
+            docs.append((len(docs), " ".join(speech(20) + edit(text.split(), new) + speech(30))))
+    docs += [(1000 + k, " ".join(speech(200))) for k in range(40)]
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    number = {w: k for k, w in enumerate(vocabulary)}
+    code = lambda t: np.array([number[w] for w in t.split()], np.uint64)
+    pairs = [(i, k) for i, _ in docs for k, _ in items]
+    texts, sought = {i: code(t) for i, t in docs}, {k: code(t) for k, t in items}
+    score = d.align([texts[i] for i, _ in pairs], [sought[k] for _, k in pairs])[0]
+    want = {p for p, s in zip(pairs, score.tolist()) if s / (2 * len(sought[p[1]])) >= d.AT}
+    assert got <= want
+    missed = [(kind.get(i, "none"), len(sought[k])) for i, k in sorted(want - got)]
+    assert len(got) >= 0.95 * len(want) and all(n < 10 for _, n in missed)
