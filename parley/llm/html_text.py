@@ -179,13 +179,15 @@ def parse(source: str) -> Page:
             if name in BLOCKS or place > opened.blocks[-1]:  # an inline end tag does not end a block
                 close(place)
             continue
-        if name in RAW and not m[3].endswith("/"):
+        foreign = name == "svg" or opened.last(("svg", "math")) > 0
+        empty = m[3].endswith("/") and foreign  # elsewhere a slash closes nothing; it may end an unquoted value
+        if name in RAW and not empty:
             end = re.compile(rf"</{name}\s*+>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
         if name in ("br", "hr"):
             fresh = True
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or empty:
             continue
         if name in _ENDS_P and opened.block.name == "p":
             close(opened.last(("p",)))

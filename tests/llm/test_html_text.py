@@ -90,3 +90,14 @@ def test_edges(spark):
     assert [by[k]["text"] for k in (2, 3, 6)] == ["", "", ""]
     assert by[4]["n_chars"] == len("Title here") + 20000 * (1 + len("Some words of an article é."))
     assert h.extract(pages.where("false")).count() == 0
+
+
+def test_a_slash_closes_nothing_but_foreign_elements():
+    shown = lambda source: " ".join(t for t, *_ in h.parse(source).texts if t.strip())
+    assert "alert" not in shown("<p>one<script src=/a/>alert(1)</script>two</p>")
+    assert "color" not in shown("<p>one<style type=text/>p{color:red}</style>two</p>")
+    assert shown("<p>a<svg><path d=''/><g/></svg>b</p>").replace(" ", "") == "ab"
+    assert shown("<p>a<svg/>b</p><p>c</p>").replace(" ", "") == "abc"
+    page = h.parse("<div class=article/><p>inside</p></div><p>after</p>")
+    assert [n.name for n in page.nodes[:3]] == ["#root", "div", "p"] and page.nodes[2].parent is page.nodes[1]
+    assert shown("<p>x<br/>y<img src=a.png/>z</p>").replace(" ", "") == "xyz"
