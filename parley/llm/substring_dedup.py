@@ -22,8 +22,9 @@ An exact copy needs no windows: all of them start in the first document with tha
 a hot group of copies costs its ids alone. A passage that many different texts share is reduced to one fingerprint in each slice
 of texts before anything is shuffled; the rest of that slice are repeats already.
 
-Windows are told apart by 128 bits: the anchor's 64 and those of the context or the window. With 1e13 windows the expected
-number of false matches is below 1e-12. Texts are told apart by sha256.
+Windows are told apart by an anchor and a context or digest, of 64 bits each, from two independent hashes of their words; words
+that differ hash alike in both with a probability of about (length / 2**31)**4, so no run of the words themselves is compared. Texts
+are told apart by sha256.
 
 Defined results: a null or empty text has no words; documents of fewer than WINDOW words lose nothing; several rows with
 one doc_id are judged as that document each, and are no copies of one another; a row without doc_id is smaller than none,
@@ -74,7 +75,7 @@ class Windows:
     @classmethod
     def of(cls, words: Words) -> Windows:
         h = words.hashes()
-        digest, first = windows(h, words.word_at, WINDOW)
+        digest, first = windows(words.hashes(1), words.word_at, WINDOW)
         if not len(first):
             return cls(first, first, digest, digest, digest, first, digest, digest)
         text = np.searchsorted(words.word_at, first, "right") - 1
@@ -410,7 +411,7 @@ def removed(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | N
     Documents that the index holds from earlier calls count as well."""
     own = index is None
     index = index or FingerprintIndex(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = stored(docs.select("doc_id", _key().alias("key")), "ids")
     bounds = ids.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if bounds["a"] is None:

@@ -1,13 +1,16 @@
 """Words and word windows of many texts at once, as numpy arrays over their UTF-8 bytes.
 
 A word is a maximal run of bytes other than U+0020 and U+0009 to U+000D (those bytes never occur inside a longer UTF-8
-sequence). Hashes are polynomial in the bytes, taken from prefix sums modulo 2**64 and then mixed, so a batch costs a
-few array passes and no Python object for each word.
+sequence). Hashes are polynomial, taken from prefix sums and then mixed, so a batch costs a few array passes and no Python object
+for each word. Words are hashed over their bytes modulo the prime 2**31 - 1 at two random bases (modulo a power of two some long
+words with a regular build would hash alike, whatever the base); `hashes(1)` has two other bases. Runs of a few words are hashed over
+the mixed hashes of these, modulo 2**64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +62,38 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return Spans(values, base).hashes(starts, ends)
 
 
+# Random bases below the prime, two for each word hash.
+_PRIME, _PRIME_BASES = np.uint64((1 << 31) - 1), ((1_368_945_233, 744_019_851), (1_905_216_047, 1_127_730_419))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or the prime itself for 0, for x below 2**62."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+@lru_cache(maxsize=8)
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    """base**k modulo the prime for k below 2**size."""
+    out = np.ones(1, np.uint64)
+    while len(out) < 1 << size:
+        step = np.uint64(pow(base, len(out), int(_PRIME)))
+        out = np.concatenate([out, _reduced(out * step)])
+    return out
+
+
+def prime_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span of bytes, from its values modulo a prime at two bases."""
+    n, out = len(data), mixed((ends - starts).astype(np.uint64))
+    size = max(16, n.bit_length())
+    for base in _PRIME_BASES[which]:
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _prime_powers(base, size)[:n] % _PRIME, out=prefix[1:])
+        back = _prime_powers(pow(base, -1, int(_PRIME)), size)
+        out = mixed(out ^ ((prefix[ends] - prefix[starts]) % _PRIME * back[starts] % _PRIME)) + np.uint64(which)
+    return out
+
+
 class Words:
     """The words of a run of texts.
 
@@ -85,8 +120,9 @@ class Words:
         self.word_at = np.searchsorted(self.start, text_at)
         self.count = np.diff(self.word_at)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A hash of each word; two that are independent."""
+        return prime_hashes(self.data, self.start, self.end, which)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

@@ -78,3 +78,21 @@ def test_the_query_merges_runs_and_keeps_null_ids(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.removed(docs).count() == 0
+
+
+def test_regular_words_that_differ_stay_apart(spark):
+    """Two words of 1024 characters that every polynomial modulo a power of two takes for one."""
+    flips = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = flips.translate(str.maketrans("ab", "ba"))
+    rows = [(k, " ".join([*(f"w{j}" for j in range(7)), word, *(f"x{j}" for j in range(7))])) for k, word in enumerate((flips, other))]
+    rows += [(2, rows[0][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in s.removed(docs).collect())
+    assert got == brute(rows) and [r[2] for r in got] == [0, 0, 15]
+
+
+def test_very_long_texts_and_other_ids(spark):
+    long = " ".join(f"w{k * 7 % 5003}" for k in range(120_000))
+    rows = [(5, long), (6, "before " + long), (7, "z" * 3_000_000 + " " + " ".join("abcdefghijklmn"))]
+    docs = spark.createDataFrame([(i, t, 0, "k", [1]) for i, t in rows], "doc_id int, text string, place int, key string, marks array<int>")
+    assert sorted(tuple(r) for r in s.removed(docs).collect()) == brute(rows)
