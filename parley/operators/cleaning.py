@@ -226,17 +226,22 @@ def repeated_lines(texts: DataFrame, key: str = "id", ratio: float = 0.25, least
 
 def strip_repeated(texts: DataFrame, key: str = "id", ratio: float = 0.25, least: int = 5) -> DataFrame:
     """texts without their repeated lines. At most 1 / ratio lines of each text's worth can be repeated, so the list of them is put
-    beside each text; where `ratio` is so small that it has more than MOST_REPEATED lines, texts are dealt by line instead."""
+    beside each text; where `ratio` is so small that it has more than MOST_REPEATED lines, lines are joined with it instead. Either way
+    each row keeps its own text, whatever ids repeat or are null."""
     found = repeated_lines(texts, key, ratio, least).select(F.col("line").alias("bad"))
     some = found.limit(MOST_REPEATED + 1).agg(F.collect_set("bad").alias("bad")).first()["bad"]
     if len(some) <= MOST_REPEATED:
         kept = F.filter(lines(F.col("text")), lambda x: ~F.trim(x).isin(some)) if some else lines(F.col("text"))
         return texts.select(key, F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("text"))
-    each = texts.select(key, F.posexplode(lines(F.col("text"))).alias("k", "line"))
+    # every distinct row by its key and digest, and each row gets its own text back
+    digest = F.sha2("text", 256).alias("digest")
+    each = texts.dropDuplicates([key, "text"]).select(key, digest, F.posexplode(lines(F.col("text"))).alias("k", "line"))
     kept = each.join(found, F.trim("line") == F.col("bad"), "left_anti")
     whole = F.array_sort(F.collect_list(F.struct("k", "line")))
-    joined = kept.groupBy(key).agg(F.array_join(F.transform(whole, lambda x: x["line"]), "\n").alias("text"))
-    return texts.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    joined = kept.groupBy(F.col(key).alias("_key"), F.col("digest").alias("_digest")).agg(F.array_join(F.transform(whole, lambda x: x["line"]), "\n").alias("text"))
+    rows = texts.select(key, digest)
+    same = rows[key].eqNullSafe(joined["_key"]) & rows["digest"].eqNullSafe(joined["_digest"])
+    return rows.join(joined, same, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def sentences(text: Column) -> Column:

@@ -19,29 +19,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(SPREAD, str(shuffle_partitions))
         .getOrCreate()
     )
 
 
-#: Tables of fewer files than cores and of no more bytes than this are dealt over all cores.
-MOST_DEALT, LEAST_DEALT = 256 << 20, 1 << 20
-
-
-def _few_files(spark: SparkSession, path: str, cores: int) -> bool:
-    """Whether a table has fewer files than cores, and is small. No more than `cores` names are listed for that."""
-    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").limit(cores).collect()]
-    return len(sizes) < cores and LEAST_DEALT <= sum(sizes) <= MOST_DEALT
+#: A session setting: into so many parts `table` deals what it reads. A caller sets it where tables are single files of one row
+#: group, which are one task each; unset, as on a cluster, tables stay as they are stored.
+SPREAD = "spark.parley.spread"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables.
-
-    A file of one row group is one task, however many cores there are; so a small table of a few files is dealt over all cores
-    first. Larger tables stay as they are stored, and nothing of them is shuffled for that.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if _few_files(spark, path, cores) else rows
+    """One of the driver's Parquet tables."""
+    rows, parts = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")), spark.conf.get(SPREAD, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def shared_root(spark: SparkSession) -> str:
