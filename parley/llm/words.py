@@ -1,8 +1,7 @@
 """Words and word windows of many texts at once, as numpy arrays over their UTF-8 bytes.
 
 A word is a maximal run of bytes other than U+0020 and U+0009 to U+000D (those bytes never occur inside a longer UTF-8
-sequence). Hashes are polynomial, taken from prefix sums and then mixed, so a batch costs a few array passes and no Python object
-for each word. Words are hashed over their bytes modulo the prime 2**31 - 1 at two random bases (modulo a power of two some long
+sequence). Hashes are polynomial and then mixed, so a batch costs a few array passes and no Python object for each word. Words are hashed over their bytes modulo the prime 2**31 - 1 at two random bases (modulo a power of two some long
 words with a regular build would hash alike, whatever the base); `hashes(1)` has two other bases. Runs of a few words are hashed over
 the mixed hashes of these, modulo 2**64.
 """
@@ -66,31 +65,40 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 _PRIME, _PRIME_BASES = np.uint64((1 << 31) - 1), ((1_368_945_233, 744_019_851), (1_905_216_047, 1_127_730_419))
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo the prime, or the prime itself for 0, for x below 2**62."""
-    x = (x & _PRIME) + (x >> np.uint64(31))
-    return (x & _PRIME) + (x >> np.uint64(31))
+_CHUNK = 1 << 20
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _prime_powers(base: int, size: int) -> np.ndarray:
     """base**k modulo the prime for k below 2**size."""
     out = np.ones(1, np.uint64)
     while len(out) < 1 << size:
-        step = np.uint64(pow(base, len(out), int(_PRIME)))
-        out = np.concatenate([out, _reduced(out * step)])
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), int(_PRIME))) % _PRIME])
     return out
 
 
 def prime_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span of bytes, from its values modulo a prime at two bases."""
-    n, out = len(data), mixed((ends - starts).astype(np.uint64))
-    size = max(16, n.bit_length())
-    for base in _PRIME_BASES[which]:
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _prime_powers(base, size)[:n] % _PRIME, out=prefix[1:])
-        back = _prime_powers(pow(base, -1, int(_PRIME)), size)
-        out = mixed(out ^ ((prefix[ends] - prefix[starts]) % _PRIME * back[starts] % _PRIME)) + np.uint64(which)
+    """A 64-bit hash of data[start:end] for each of the spans, which are not empty, from its values modulo a prime at two bases.
+
+    About _CHUNK bytes are taken at once; the powers that are kept reach as far as the longest of the spans.
+    """
+    length = (ends - starts).astype(np.int64)
+    out = mixed(length.astype(np.uint64))
+    if not len(out):
+        return out
+    before = np.concatenate([[0], np.cumsum(length)])
+    size = max(10, int(length.max()).bit_length())
+    k = 0
+    while k < len(length):
+        to = max(k + 1, int(np.searchsorted(before, before[k] + _CHUNK, "right")) - 1)
+        own = length[k:to]
+        first = before[k:to] - before[k]
+        offset = np.arange(before[to] - before[k]) - np.repeat(first, own)
+        value = data[offset + np.repeat(starts[k:to], own)].astype(np.uint64) + np.uint64(1)
+        for base in _PRIME_BASES[which]:
+            total = np.add.reduceat(value * _prime_powers(base, size)[offset] % _PRIME, first) % _PRIME
+            out[k:to] = mixed(out[k:to] ^ total) + np.uint64(which)
+        k = to
     return out
 
 
