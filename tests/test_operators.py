@@ -255,3 +255,40 @@ def test_cards_and_rules():
     rules = bundle.clean_rules(json.dumps([{"findRegex": "/a+/g"}, {"findRegex": "/(a+)+/"}, {"findRegex": "/.*/"}, {"findRegex": "b", "disabled": True}, {"findRegex": "/a+/g", "replaceString": "x"}, {"findRegex": "c", "markdownOnly": True}]))
     assert [(r.find, r.markdown_only) for r in rules] == [("c", True), ("a+", False)]
     assert [bundle.nests_quantifiers(x) for x in ("(a+)+", "(ab)+", r"\(a+\)+", "[(a+)]+", "((a+)b)+", "(?:x*)*", "a+(b)")] == [True, False, False, False, True, True, False]
+
+
+def test_sources_of_one_name_stay_apart(spark, tmp_path):
+    for who in ("Ann", "Bob"):
+        (tmp_path / who).mkdir()
+        (tmp_path / who / "1 a+b.jsonl").write_text("\n".join(json.dumps({"name": who, "is_user": False, "mes": f"{who} {k}"}) for k in range(3)))
+    got = [tuple(r) for r in chats.read(spark, str(tmp_path)).select("source", "index", "card", "raw").orderBy("source", "index").collect()]
+    assert got == [(f"{who}/1 a+b.jsonl", k, who, f"{who} {k}") for who in ("Ann", "Bob") for k in range(3)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    want = {}
+    for name, n in (("long.txt", 5000), ("short.txt", 3), ("empty.txt", 0), ("unended.txt", 700)):
+        rows = [f"{name} {k} " + "x" * (k % 90) for k in range(n)]
+        (tmp_path / name).write_text("\n".join(rows) + ("\n" if n and name != "unended.txt" else ""))
+        want |= {(name, k): row for k, row in enumerate(rows)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("4k", "64k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "100")
+            lines = chats.split_lines(spark, str(tmp_path))
+            got = {(r["source"], r["line_no"]): r["line"] for r in lines.collect()}
+            assert got == want
+            if size == "4k":
+                assert spark.read.text(str(tmp_path / "long.txt")).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_repeated_lines_go_row_by_row(spark, monkeypatch):
+    for n in (400, 600):  # below and above what is put into the expression
+        common = "\n".join(f"common line {k}" for k in range(n))
+        rows = [(k, common) for k in range(6)] + [(None, common + "\nmine"), (7, "seven a\n" + common), (7, "seven b"), (8, None), (9, "twice\ntwice"), (9, "twice\ntwice")]
+        got = C.strip_repeated(spark.createDataFrame(rows, "id long, text string")).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(k, "") for k in range(6)] + [(None, "mine"), (7, "seven a"), (7, "seven b"), (8, ""), (9, "twice\ntwice"), (9, "twice\ntwice")]))
