@@ -53,8 +53,8 @@ AT = 0.8
 BANDS, ROWS = 40, 5
 STEP = 20
 TOLERANCE = 1e-9
-BLOCK, BLOCK_BYTES = 512, 2 << 20
-SLICE = 2 << 20  # bytes of text whose shingles a task holds at once
+BLOCK, BLOCK_BYTES = 512, 1 << 20
+SLICE = 1 << 20  # bytes of text whose shingles a task holds at once
 CELLS = 8
 SHARE = 1000
 UNNAMED = 1 << 62

@@ -65,7 +65,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 _PRIME, _PRIME_BASES = np.uint64((1 << 31) - 1), ((1_368_945_233, 744_019_851), (1_905_216_047, 1_127_730_419))
 
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -212,7 +212,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, name: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """The batch in runs of rows with about `most` bytes of text each (one text at least), with their words."""
     data, offsets = utf8(batch.column(batch.schema.get_field_index(name)))
     at = 0
