@@ -111,6 +111,13 @@ def bags_of(texts: DataFrame, options: Options) -> DataFrame:
     return counted.withColumn("size", F.sum("n").over(Window.partitionBy("id")))
 
 
+def folded(bags: DataFrame, plan: DataFrame, options: Options) -> DataFrame:
+    """The bags with the forms of plan (word, form) in place of words, so that whatever is told of words holds for all their forms."""
+    forms = bags.join(plan, "word", "left").select("id", F.coalesce("form", "word").alias("word"), "n", "first").where(acceptable(F.col("word"), options))
+    counted = forms.groupBy("id", "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return counted.withColumn("size", F.sum("n").over(Window.partitionBy("id")))
+
+
 def templates(bags: DataFrame, n_texts: DataFrame) -> DataFrame:
     """word: in most texts, about once each, at an end."""
     at = F.col("first") / F.greatest(F.lit(1), F.col("size"))
@@ -151,13 +158,9 @@ def analyze(messages: DataFrame, options: Options = Options(), flagged: DataFram
     texts = texts_of(messages, options)
     bags = cut(bags_of(texts, options))
     n_texts = texts.agg(F.count("*").alias("n_texts"))
-    spelled = bags.groupBy("word").agg(F.sum("n").alias("n"))
-    counted = spelled
     if options.english_forms:
-        plan = E.merge_plan(spelled, list(T.STOP_WORDS))
-        forms = spelled.join(plan, "word", "left").select(F.coalesce("form", "word").alias("word"), "n")
-        counted = forms.where(acceptable(F.col("word"), options)).groupBy("word").agg(F.sum("n").alias("n"))
-    counted = cut(counted)
+        bags = cut(folded(bags, E.merge_plan(bags.groupBy("word").agg(F.sum("n").alias("n")), list(T.STOP_WORDS)), options))
+    counted = cut(bags.groupBy("word").agg(F.sum("n").alias("n")))
 
     names = [*options.dictionary]
     named = messages.select(F.lower("name").alias("word")).distinct() if options.names_as_words and "name" in messages.columns else None

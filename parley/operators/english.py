@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words whose ending is none, though a word of its own would be left without it. Stems without a vowel and words in -eed need no
-#: entry.
-OPAQUE = (
-    "anything ceiling darling duckling during earring evening everything herring hundred kindred morning naked nothing pudding sacred sibling "
-    "something wedding wicked"
-).split()
+#: Endings, the least length of a word that has one, and what may stand in its place in the base.
+ENDINGS = (("s", 4, ("",)), ("es", 5, ("",)), ("ies", 5, ("y",)), ("ed", 5, ("", "e")), ("ied", 5, ("y",)), ("ing", 6, ("", "e")))
+#: Endings before which a base may double its last letter.
+DOUBLING = ("ed", "ing")
 
 
 def possessive_base(word: Column) -> Column:
@@ -18,39 +16,26 @@ def possessive_base(word: Column) -> Column:
     return F.when(word.rlike("['’]s$"), F.regexp_replace(word, "['’]s$", "")).when(word.rlike("s['’]$"), F.regexp_replace(word, "['’]$", ""))
 
 
-def _cut(word: Column, n: int) -> Column:
-    return F.left(word, F.length(word) - n)
-
-
 def base_forms(word: Column) -> Column:
-    """Candidate base forms, without the word itself."""
-    n = F.length(word)
-    ed, ing = _cut(word, 2), _cut(word, 3)
-    doubled = r"[^aeiou][aeiou](?:bb|dd|ff|gg|ll|mm|nn|pp|rr|tt)$"
-    is_ies, is_es = word.endswith("ies") & (n > 4), word.endswith("es") & (n > 4)
-    is_ied, is_ed, is_ing = word.endswith("ied") & (n > 4), word.endswith("ed") & (n > 4), word.endswith("ing") & (n > 5)
-    found = F.array(
-        possessive_base(word),
-        F.when(is_ies, F.concat(ing, F.lit("y"))),
-        F.when(is_es & ~is_ies, ed),
-        F.when((is_es & ~is_ies) | (word.endswith("s") & ~word.endswith("es") & ~word.rlike("(?:ss|us|is|as|os)$")), _cut(word, 1)),
-        F.when(is_ied, F.concat(ing, F.lit("y"))),
-        F.when(is_ed & ~is_ied, ed),
-        F.when(is_ed & ~is_ied, F.concat(ed, F.lit("e"))),
-        F.when(is_ed & ~is_ied & ed.rlike(doubled), _cut(word, 3)),
-        F.when(is_ing, ing),
-        F.when(is_ing, F.concat(ing, F.lit("e"))),
-        F.when(is_ing & ing.rlike(doubled), _cut(word, 4)),
-    )
-    kept = F.filter(F.array_distinct(F.array_compact(found)), lambda b: (b != word) & b.rlike("[aeiouy]|[^a-z]"))
-    return F.when((n < 4) | word.endswith("eed") | word.isin(OPAQUE), F.array().cast("array<string>")).otherwise(kept)
+    """Candidate base forms, without the word itself: whatever an ending may hide. Which of them count, the vocabulary decides."""
+    found = [possessive_base(word)]
+    for ending, least, instead in ENDINGS:
+        holds = word.endswith(ending) & (F.length(word) >= least) & ~word.endswith("ss")
+        stem = F.left(word, F.length(word) - len(ending))
+        found += [F.when(holds, F.concat(stem, F.lit(x))) for x in instead]
+        if ending in DOUBLING:
+            twice = (F.right(stem, F.lit(1)) == F.left(F.right(stem, F.lit(2)), F.lit(1))) & ~stem.rlike("[aeiou]$")
+            found.append(F.when(holds & twice, F.left(stem, F.length(stem) - 1)))
+    kept = F.filter(F.array_distinct(F.array_compact(F.array(*found))), lambda b: (b != word) & b.rlike("[aeiouy]|[^a-z]"))
+    return F.when((F.length(word) < 4) | word.endswith("eed"), F.array().cast("array<string>")).otherwise(kept)
 
 
 def merge_plan(counts: DataFrame, stop_words: list[str]) -> DataFrame:
     """word, n -> word, form: the form that each word is counted as.
 
-    A form goes to a base that the vocabulary or the stop words attest, or that two forms or more share; of several bases
-    to the one with the most uses. A base's shown form is its most frequent form (the shorter one, then the lesser, on a tie).
+    A form goes to a base that two forms or more share, or that is a stop word, or, if the form ends in s, that the vocabulary
+    attests: one word in -ed or -ing beside a shorter one (evening, even) is no evidence yet. Of several bases it goes to the one with
+    the most uses. A base's shown form is its most frequent form (the shorter one, then the lesser, on a tie).
     Possessives always fold onto their owner.
     """
     stops = F.col("base").isin(stop_words)
@@ -59,7 +44,7 @@ def merge_plan(counts: DataFrame, stop_words: list[str]) -> DataFrame:
     seen = forms.join(attested, "base", "left")
     every = F.count("*").over(Window.partitionBy("base"))
     worth = seen.withColumn("n_forms", every).withColumn("total", F.sum("n").over(Window.partitionBy("base")) + F.coalesce("n_base", F.lit(0)))
-    good = worth.where(F.col("n_base").isNotNull() | stops | (F.col("n_forms") >= 2) | (F.col("owner") == F.col("base")))
+    good = worth.where((F.col("n_base").isNotNull() & F.col("word").endswith("s")) | stops | (F.col("n_forms") >= 2) | (F.col("owner") == F.col("base")))
     best = Window.partitionBy("word").orderBy((F.col("owner") == F.col("base")).desc_nulls_last(), F.desc("total"), "base")
     chosen = good.withColumn("place", F.row_number().over(best)).where("place = 1").select("word", "base", "n", (F.col("owner") == F.col("base")).alias("owned"))
     members = chosen.select("word", "base", "n").unionAll(

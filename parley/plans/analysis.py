@@ -11,7 +11,7 @@ from parley import analysis as A
 from parley.operators import cleaning as C
 from parley.plans.english import sql_folded
 from parley.plans.kinds import sql_typed
-from parley.plans.words import SQL_ACCEPT, sql_tokens
+from parley.plans.words import SQL_ACCEPT, SQL_STOP, sql_tokens
 from parley.session import table
 
 CARD, SPEAKER = "card 3", "voice 2"
@@ -70,12 +70,15 @@ def _kept(where: str) -> str:
     texts as (select id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: not list_contains(bad, trim(x))), chr(10)) as text from kept cross join bad)"""
 
 
+def _template(bags: str, name: str, source: str) -> str:
+    return f"""{name} as (select word from (select word, sum(n) as uses, count(*) as held, count(*) filter (first / greatest(1, size) <= 0.2 or first / greatest(1, size) >= 0.8) as edge from {bags} group by 1) cross join n_texts
+        where c >= 8 and uses >= c * 0.5 and held >= c * 0.6 and uses <= held * 1.15 and edge >= held * 0.8)"""
+
+
 def _words(source: str = "texts") -> str:
     return f"""t as ({sql_tokens(source, "id")}), place as (select *, row_number() over (partition by id order by pos) - 1 as place from t where {SQL_ACCEPT}),
     bag as (select id, word, count(*) as n, min(place) as first from place group by all), mw as (select *, sum(n) over (partition by id) as size from bag), v as (select word, cast(sum(n) as bigint) as n from bag group by 1),
-    n_texts as (select count(*) as c from {source}),
-    template as (select word from (select word, sum(n) as uses, count(*) as held, count(*) filter (first / greatest(1, size) <= 0.2 or first / greatest(1, size) >= 0.8) as edge from mw group by 1) cross join n_texts
-        where c >= 8 and uses >= c * 0.5 and held >= c * 0.6 and uses <= held * 1.15 and edge >= held * 0.8)"""
+    n_texts as (select count(*) as c from {source}), {_template("mw", "template", source)}"""
 
 
 QUERIES = {
@@ -84,8 +87,10 @@ QUERIES = {
 _FLAGS = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in FLAGGED) + ") f(word, flag)"
 _LISTED = ", ".join(f"'{a}'" for a, _ in LISTED)
 ORACLES = {
-    "analyze_default": f"""with {_texts()}, {_kept("true")}, {_words()}, {sql_folded("v")}, w as (select * from folded where word not in (select word from template)), tot as (select sum(n) as every from bag),
-        top as (select word from w order by n desc, word limit 150), held as (select mw.*, every from mw join top using (word) cross join tot),
+    "analyze_default": f"""with {_texts()}, {_kept("true")}, {_words()}, {sql_folded("v")},
+        fbag as (select id, coalesce(form, word) as word, sum(n) as n, min(first) as first from bag left join plan using (word) where coalesce(form, word) not in ({SQL_STOP}) group by all), fmw as (select *, sum(n) over (partition by id) as size from fbag),
+        {_template("fmw", "ftemplate", "texts")}, w as (select * from folded where word not in (select word from ftemplate) and word not in ({SQL_STOP})), tot as (select sum(n) as every from fbag),
+        top as (select word from w order by n desc, word limit 150), held as (select fmw.*, every from fmw join top using (word) cross join tot),
         uses as (select word, sum(n) as uses, count(*) as held from held group by 1),
         off as (select word, uses, held, (sum(abs(n / uses - size / every) - size / every) + 1) / 2 as d from held join uses using (word) group by all),
         gen as (select word from off cross join n_texts where c >= 8 and uses >= 4 and d < 0.45 and uses <= held * 1.5),

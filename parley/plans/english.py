@@ -35,27 +35,25 @@ def lemma_counts(spark, sf_dir):
 
 _VOCABULARY = f"""t as ({sql_tokens("documents", "doc_id", "lang = 'en'")}), v as (select word, count(*) as n from t where {SQL_ACCEPT} group by 1)"""
 _OWNER = "case when word like '%''s' or word like '%’s' then left(word, length(word) - 2) when word like '%s''' or word like '%s’' then left(word, length(word) - 1) end"
-_NOT = ", ".join(f"'{w}'" for w in E.OPAQUE)
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_DOUBLED = "'[^aeiou][aeiou](bb|dd|ff|gg|ll|mm|nn|pp|rr|tt)$'"
+
+
+def _sql_bases() -> str:
+    found = [_OWNER]
+    for ending, least, instead in E.ENDINGS:
+        holds, stem = f"word like '%{ending}' and length(word) >= {least} and word not like '%ss'", f"left(word, length(word) - {len(ending)})"
+        found += [f"case when {holds} then {stem} || '{x}' end" for x in instead]
+        if ending in E.DOUBLING:
+            found.append(f"case when {holds} and right({stem}, 1) = left(right({stem}, 2), 1) and not regexp_matches({stem}, '[aeiou]$') then left({stem}, length({stem}) - 1) end")
+    return ", ".join(found)
 
 
 def sql_folded(v: str) -> str:
     """DuckDB: `bases` (word, n, base, owner) of a table of word, n, and `folded`, its counts by form."""
-    return f"""b as (select distinct word, n, unnest(list_filter([{_OWNER},
-        case when word like '%ies' and length(word) > 4 then left(word, length(word) - 3) || 'y' end,
-        case when word like '%es' and word not like '%ies' and length(word) > 4 then left(word, length(word) - 2) end,
-        case when (word like '%es' and word not like '%ies' and length(word) > 4) or (word like '%s' and word not like '%es' and not regexp_matches(word, '(ss|us|is|as|os)$')) then left(word, length(word) - 1) end,
-        case when word like '%ied' and length(word) > 4 then left(word, length(word) - 3) || 'y' end,
-        case when word like '%ed' and word not like '%ied' and length(word) > 4 then left(word, length(word) - 2) end,
-        case when word like '%ed' and word not like '%ied' and length(word) > 4 then left(word, length(word) - 2) || 'e' end,
-        case when word like '%ed' and word not like '%ied' and length(word) > 4 and regexp_matches(left(word, length(word) - 2), {_DOUBLED}) then left(word, length(word) - 3) end,
-        case when word like '%ing' and length(word) > 5 then left(word, length(word) - 3) end,
-        case when word like '%ing' and length(word) > 5 then left(word, length(word) - 3) || 'e' end,
-        case when word like '%ing' and length(word) > 5 and regexp_matches(left(word, length(word) - 3), {_DOUBLED}) then left(word, length(word) - 4) end],
-        lambda x: x is not null)) as base, {_OWNER} as owner from {v} where length(word) >= 4 and word not like '%eed' and word not in ({_NOT})), bases as (select * from b where base != word and regexp_matches(base, '[aeiouy]|[^a-z]')),
+    return f"""b as (select distinct word, n, unnest(list_filter([{_sql_bases()}],
+        lambda x: x is not null)) as base, {_OWNER} as owner from {v} where length(word) >= 4 and word not like '%eed'), bases as (select * from b where base != word and regexp_matches(base, '[aeiouy]|[^a-z]')),
         worth as (select bases.*, v.n as n_base, count(*) over (partition by base) as n_forms, sum(bases.n) over (partition by base) + coalesce(v.n, 0) as total from bases left join {v} v on v.word = base),
-        good as (select * from worth where n_base is not null or base in ({_STOPS}) or n_forms >= 2 or owner = base),
+        good as (select * from worth where (n_base is not null and word like '%s') or base in ({_STOPS}) or n_forms >= 2 or owner = base),
         chosen as (select * from good qualify row_number() over (partition by word order by coalesce(owner = base, false) desc, total desc, base) = 1),
         members as (select word, base, n from chosen union all select v.word, v.word, v.n from {v} v where v.word in (select base from chosen)),
         shown as (select base, arg_min(word, (-n, length(word), word)) as shown from members group by base),

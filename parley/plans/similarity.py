@@ -114,9 +114,9 @@ def overrides_apply(spark, sf_dir):
     return O.apply_aliases(_all_words(spark, sf_dir), spark.createDataFrame(ALIASES, "source string, target string"))
 
 
-_TOP = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(*) as n from t where {SQL_ACCEPT} group by 1),
-    g as (select word as target from w order by n desc, word limit {TARGETS}), p as (select word, n, target from w join g on word != target)"""
-_ALL = f"""t as ({sql_tokens("documents", "doc_id")}), w as (select word, count(*) as n from t group by 1)"""
+_TOP = f"""t as ({sql_tokens("documents", "doc_id")}), w as materialized (select word, count(*) as n from t where {SQL_ACCEPT} group by 1),
+    g as materialized (select word as target from w order by n desc, word limit {TARGETS}), p as (select word, n, target from w join g on word != target)"""
+_ALL = f"""t as ({sql_tokens("documents", "doc_id")}), w as materialized (select word, count(*) as n from t group by 1)"""
 _SOUNDS = "lower(word)"
 for _letters, _sound in SOUNDS:
     _SOUNDS = f"replace({_SOUNDS}, '{_letters}', '{_sound}')"
@@ -137,7 +137,8 @@ QUERIES = {
     "priority_apply": priority_apply, "alias_closure": alias_closure, "overrides_apply": overrides_apply,
 }
 ORACLES = {
-    "alias_edit_similarity": f"with {_TOP} select target, word, round({_EDIT.format('word', 'target')}, 6) as similarity from p where {_LATIN.format('word')} and {_LATIN.format('target')} and round({_EDIT.format('word', 'target')}, 6) >= {SPELLING_MIN}",
+    "alias_edit_similarity": f"""with {_TOP}, q as materialized (select target, word from p where abs(length(word) - length(target)) <= 0.5 * greatest(length(word), length(target)) and {_LATIN.format('word')} and {_LATIN.format('target')}),
+        s as materialized (select target, word, round({_EDIT.format('word', 'target')}, 6) as similarity from q) select * from s where similarity >= {SPELLING_MIN}""",
     "alias_affix": f"with {_TOP} select target, word, round({_AFFIX.format('word', 'target')}, 6) as score from p where {_AFFIX.format('word', 'target')} > 0",
     "latin_skeleton": f"with {_TOP} select word, {_SOUNDS} as skeleton from w",
     "alias_rank": f"""with {_TOP},

@@ -107,7 +107,7 @@ def test_repeated_lines(spark):
 
 def test_base_forms(spark):
     forms = lambda w: set(one(spark, E.base_forms(F.col("w")), w=w))
-    assert forms("stories") == {"story"} and forms("stopped") >= {"stop"} and forms("sliding") >= {"slide"}
+    assert forms("stories") >= {"story"} and forms("stopped") >= {"stop"} and forms("sliding") >= {"slide"}
     assert forms("king") == set() and forms("glass") == set() and "looks" not in forms("looks")
     assert one(spark, E.possessive_base(F.col("w")), w="nicole’s") == "nicole"
 
