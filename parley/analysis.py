@@ -177,8 +177,8 @@ def analyze(messages: DataFrame, options: Options = Options(), flagged: DataFram
     allowed = marked.where("reason is null").select("word", "n")
 
     everywhere = generic_words(bags, allowed, n_texts, options.generic).select("word", F.lit(True).alias("generic"))
-    tags = K.mark_generic(K.classify(F.col("word")), F.coalesce("generic", F.lit(False)))
-    typed = allowed.join(F.broadcast(everywhere), "word", "left").select("word", "n", tags.alias("kinds"))
+    tags = K.mark_generic(F.col("tags"), F.coalesce("generic", F.lit(False)))
+    typed = K.typed(allowed).join(F.broadcast(everywhere), "word", "left").select("word", "n", tags.alias("kinds"))
     flags = flagged if flagged is not None else spark.createDataFrame([], "word string, flag string")
     typed = typed.join(flags.groupBy("word").agg(F.min("flag").alias("flag")), "word", "left").select("word", "n", F.col("kinds")[0]["kind"].alias("kind"), "kinds", "flag")
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from parley.operators import kinds as K
 from parley.plans.similarity import _ALL, _all_words
+from parley.plans.words import SQL_STOP
 
-EXTRA = ("today", "bread", "sir", "red", "kitchen", "river", "tea", "sword", "monday", "mother", "company", "wind")
+EXTRA = ("今天", "十年", "生日", "走路", "一路", "王先生", "茶", "对面", "春节", "关节", "问道", "3rd", "10:30", "三个", "朝阳区", "小区", "合同", "today", "bread", "sir", "red", "kitchen", "river", "tea", "sword", "monday", "mother", "company", "wind")
 BASELINE, LISTED = ["is", "thin", "clown"], (("the", "manual"), ("of", "manual"), ("and", "auto"), ("queue", "auto"))
 SHOWN, MOST = ["plain", "time", "food"], 50
 KINDS = (("the", "time"), ("and", "place"), ("bread", "place"))
@@ -19,7 +20,7 @@ def _words(spark, sf_dir):
 
 
 def _typed(spark, sf_dir):
-    return _words(spark, sf_dir).withColumn("tags", K.classify(F.col("word"))).withColumn("kind", F.col("tags")[0]["kind"])
+    return K.typed(_words(spark, sf_dir)).withColumn("kind", F.col("tags")[0]["kind"])
 
 
 def kinds(spark, sf_dir):
@@ -33,7 +34,7 @@ def kind_buckets(spark, sf_dir):
 def words_by_kind(spark, sf_dir):
     """Words of each kind by any tag, kinds without words included."""
     tags = _typed(spark, sf_dir).select(F.explode("tags.kind").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-    every = spark.createDataFrame([(k,) for k in sorted({r.kind for r in K.RULES} | {"plain"})], "kind string")
+    every = spark.createDataFrame([(k,) for k in sorted({*K.CONF, "plain"})], "kind string")
     return every.join(tags, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -57,21 +58,23 @@ def kind_refile(spark, sf_dir):
     return K.refile(_typed(spark, sf_dir).select("word", "n", "kind"), spark.createDataFrame(KINDS, "word string, kind string"), SHOWN, MOST)
 
 
-def _rule(r: K.Rule) -> str:
-    tests = []
-    if r.words:
-        tests.append("word in (" + ", ".join(f"'{w}'" for w in r.words) + ")")
-    if r.pattern:
-        tests.append(f"(regexp_matches(word, '{r.pattern}') and length(word) >= {r.least})")
+def _test(kind: str) -> str:
+    """DuckDB: whether a word has a kind."""
+    rows = [x for x in K.rule_rows() if x[0] == kind]
+    of = lambda how: [v for _, h, v, _ in rows if h == how]
+    tests = [f"regexp_matches(word, '{p}')" for k, p in K.PATTERNS if k == kind]
+    if of("word"):
+        tests.append("word in (" + ", ".join(f"'{w}'" for w in of("word")) + ")")
+    if of("end"):
+        but = "".join(f" and word != '{w}'" for w in of("but"))
+        tests.append(f"((" + " or ".join(f"ends_with(word, '{e}')" for e in of("end")) + f") and length(word) >= {rows[0][3]} and not regexp_matches(word, '{K.COUNTED}') and word not in ({SQL_STOP}){but})")
     return " or ".join(tests)
 
 
-_ORDER = sorted(K.RULES, key=lambda r: (-r.conf, r.kind))
-
-
 def sql_typed(word: str) -> str:
     """DuckDB: the kinds of a word, strongest first."""
-    return "list_filter([" + ", ".join(f"case when {_rule(r)} then '{r.kind}' end" for r in _ORDER).replace("word", word) + "], lambda k: k is not null)"
+    order = sorted(K.CONF, key=lambda k: (-K.CONF[k], k))
+    return "list_filter([" + ", ".join(f"case when {_test(k)} then '{k}' end" for k in order).replace("word", word) + "], lambda k: k is not null)"
 
 
 _TAGS = sql_typed("word")
@@ -90,7 +93,7 @@ QUERIES = {
 ORACLES = {
     "kinds": f"with {_BASE} select word, n, kind from kinds",
     "kind_buckets": f"with {_BASE} select {_BUCKET} as bucket, count(*) as words, cast(sum(n) as bigint) as uses from kinds group by 1",
-    "words_by_kind": f"with {_BASE}, e as (select unnest([{', '.join(repr(k) for k in sorted({r.kind for r in K.RULES} | {'plain'}))}]) as kind), c as (select unnest(tags) as kind, count(*) as n from kinds group by 1) select kind, coalesce(n, 0) as n from e left join c using (kind)",
+    "words_by_kind": f"with {_BASE}, e as (select unnest([{', '.join(repr(k) for k in sorted({*K.CONF, 'plain'}))}]) as kind), c as (select unnest(tags) as kind, count(*) as n from kinds group by 1) select kind, coalesce(n, 0) as n from e left join c using (kind)",
     "visible_words": f"with {_BASE} select word, n from kinds where n % 2 = 1 and kind in ({_IN_SHOWN})",
     "blocklist_apply": f"with {_BASE} select word, n from ws left join {_LIST} using (word) where not ({_HELD}) and reason is null",
     "blocklist_summary": f"with {_BASE} select reason, count(*) as words, min(word) as sample from ws join {_LIST} using (word) where not ({_HELD}) group by 1",

@@ -119,10 +119,16 @@ def test_merge_plan(spark):
 
 
 def test_kinds(spark):
-    kinds = lambda w: [t["kind"] for t in one(spark, K.classify(F.col("w")), w=w)]
-    assert kinds("王先生") == ["person"] and kinds("茶")[0] == "drink" and kinds("zork") == ["plain"] and "nature" in kinds("小河")
-    marked = one(spark, K.mark_generic(K.classify(F.col("w")), F.lit(True)), w="茶")
+    words = ["王先生", "茶", "zork", "小河", "生日", "十年", "朝阳区", "小区", "对面", "面", "一路", "问道", "10:30", "the", "茶", "电影"]
+    rows = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, n int")
+    got = {(r["word"], r["n"]): [t["kind"] for t in r["tags"]] for r in K.typed(rows).collect()}
+    want = [["person"], ["drink"], ["plain"], ["nature"], ["plain"], ["time"], ["region"], ["plain"], ["plain"], ["plain"], ["plain"], ["speech"], ["time"], ["plain"], ["drink"], ["media"]]
+    assert got == {(w, k): x for k, (w, x) in enumerate(zip(words, want))}
+    own = K.rule_table(spark).unionAll(spark.createDataFrame([("myth", "word", "zork", 1), ("food", "end", "k", 4)], "kind string, how string, value string, least int"))
+    assert {r["word"]: [t["kind"] for t in r["tags"]] for r in K.typed(rows.where("word = 'zork'"), own).collect()} == {"zork": ["food", "myth"]}
+    marked = K.typed(rows.where("n = 1")).select(K.mark_generic(F.col("tags"), F.lit(True)).alias("tags")).first()["tags"]
     assert [t["kind"] for t in marked] == ["drink", "generic"]
+    assert len(K.CONF) == 50 and {r.kind for r in K.RULES} | {k for k, _ in K.PATTERNS} == set(K.CONF)
 
 
 def test_aliases(spark):
