@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators import aliases as A
 from parley.operators import overrides as O
+from parley.operators import packs
 from parley.plans.words import SQL_ACCEPT, sql_tokens
-from parley.session import table
+from parley.session import cut, table
 
 TARGETS = 20
 # Weights of the signals of an equivalent spelling, and the least spelling similarity that counts.
@@ -88,6 +90,52 @@ def alias_rank(spark, sf_dir):
     return scored.withColumn("place", place).where(F.col("place") <= SHOWN).select("target", "word", "score", "place")
 
 
+# Han forms of the documents' words, letter by letter, and the class of each character by its initial.
+SPOKEN, WRITTEN = "bcdfghjklmnpqrstvwxz", "巴凯德弗戈哈杰肯莉玛娜佩奎瑞萨托维沃克泽"
+HAN_SOUNDS = {"": "阿艾", "p": "巴佩", "k": "凯戈杰肯奎克", "t": "德托", "f": "弗维沃", "h": "哈", "l": "莉瑞", "m": "玛", "n": "娜", "s": "萨泽"}
+
+
+def _two_scripts(spark, sf_dir):
+    """All Latin words, and every third one in Han characters as well."""
+    words = counted_words(spark, sf_dir).where(F.col("word").rlike("^[a-z]+$"))
+    han = words.where(F.col("n") % 3 == 0).groupBy(F.translate(F.regexp_replace("word", "[aeiouy]", "阿"), SPOKEN, WRITTEN).alias("word")).agg(F.sum("n").alias("n"))
+    return words.select("word", "n", F.lit("latin").alias("side"), latin_skeleton(F.col("word")).alias("skeleton")).unionAll(
+        han.select("word", "n", F.lit("han"), A.han_skeleton(F.col("word"), HAN_SOUNDS))
+    )
+
+
+def skeleton_pairs(spark, sf_dir):
+    """All pairs of skeletons of the two scripts that are alike."""
+    words = _two_scripts(spark, sf_dir)
+    return A.alike(words.where("side = 'han'"), words.where("side = 'latin'"))
+
+
+def alias_suggest(spark, sf_dir):
+    """The suggestion of each word; words of one count from 50 up are of one group."""
+    words = cut(_two_scripts(spark, sf_dir))
+    groups = words.where("n >= 50").select("word", F.concat_ws(" ", F.lit("group"), F.col("n").cast("string")).alias("group"))
+    return A.suggestions(words, groups)
+
+
+def pack_rules(spark, sf_dir):
+    """Rules of sessions after packs were found, moved, applied, overruled and, for some, taken back. Orders are the changes."""
+    rows = table(spark, sf_dir, "orders")
+    name, kind = F.concat(F.lit("card "), (F.col("o_custkey") % 50).cast("string")), F.when(F.col("o_orderstatus") == "F", "stop").otherwise("override")
+    value = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority"))
+    log = lambda part, owner, later: rows.where(F.col("o_orderkey") % 3 == part).select(owner.alias("owner"), (F.col("o_orderkey") + later).alias("version"), F.lit("set").alias("action"), kind.alias("kind"), F.concat(F.lit("key "), (F.col("o_orderkey") % 37).cast("string")).alias("key"), value.alias("value"))
+    known, cards = log(0, F.when(F.col("o_custkey") % 4 == 1, F.concat(name, F.lit(" whole"))).otherwise(name), 0), rows.select((F.col("o_custkey") % 50).alias("k")).distinct()
+    card = F.concat(F.lit("card "), F.col("k").cast("string"))
+    cards = cards.select(F.concat(F.lit("session "), F.col("k").cast("string")).alias("session"), F.when(F.col("k") % 5 != 0, F.concat(card, F.lit(" whole"))).alias("strong"), card.alias("weak"))
+    session = F.concat(F.lit("session "), (F.col("o_custkey") % 50).cast("string"))
+    found = packs.resolved(known, cards)
+    known = known.unionAll(packs.migration(known, found, APPLIED))
+    before = log(1, session, 0)
+    after = before.unionAll(packs.application(before, known, found, APPLIED)).unionAll(log(2, session, APPLIED))
+    taken_back = cards.where("session like '%7'").select(F.col("session").alias("owner"))
+    return packs.rules(after.unionAll(packs.undo(taken_back, APPLIED, 2 * APPLIED)))
+
+
+APPLIED = 1_000_000_000
 PRIORITY_LINE = "the; Zebra;of ； the ;; Quartz ;idiot"
 ALIASES = (("the", "of"), ("of", "and"), ("is", "was"), ("was", "is"), ("for", "for"), ("with", "that"), ("that", "nowhere"), ("it", "and"))
 
@@ -132,9 +180,22 @@ _CHAIN = f"""chain as (select source, target as final, [source, target] as path
         select c.source, a.target, list_append(path, a.target) from chain c join {_ALIASES} on a.source = c.final where not list_contains(path, a.target)),
     ends as (select source, final from chain where final not in (select source from {_ALIASES}))"""
 
+_CLASSES = "regexp_replace(word, '[阿艾]', '', 'g')"
+for _class, _characters in HAN_SOUNDS.items():
+    if _class:
+        _CLASSES = f"regexp_replace({_CLASSES}, '[{_characters}]+', '{_class}', 'g')"
+_SCRIPTS = f"""{_TOP}, lw as materialized (select word, n from w where regexp_full_match(word, '[a-z]+')),
+    hw as (select translate(regexp_replace(word, '[aeiouy]', '阿', 'g'), '{SPOKEN}', '{WRITTEN}') as word, cast(sum(n) as bigint) as n from lw where n % 3 = 0 group by 1),
+    ws as materialized (select word, n, 'latin' as side, {_SOUNDS} as skeleton from lw union all select word, n, 'han', {_CLASSES} from hw),
+    sk as materialized (select distinct side, skeleton from ws where length(skeleton) >= 2),
+    close as materialized (select a.skeleton as a, b.skeleton as b from sk a join sk b on a.side = 'han' and b.side = 'latin' and abs(length(a.skeleton) - length(b.skeleton)) <= 0.5 * greatest(length(a.skeleton), length(b.skeleton))),
+    near as materialized (select a, b, round(s, 6) as similarity from (select a, b, {_EDIT.format("a", "b")} as s from close) where s >= {A.SIMILAR})"""
+_RULES = lambda log: f"""(select owner, kind, key, arg_max({{'v': value}}, version).v as value, max(case when action = 'apply' then version end) as applied from {log} l where action != 'undo' and not exists (select 1 from {log} a join {log} u on u.action = 'undo' and a.action = 'apply' and u.owner = a.owner and cast(u.value as bigint) = a.version where a.owner = l.owner and a.kind = l.kind and a.key = l.key) group by 1, 2, 3 having arg_max({{'v': value}}, version).v is not null)"""
+_CHANGES = lambda part, owner, later: f"select {owner} as owner, o_orderkey + {later} as version, 'set' as action, case when o_orderstatus = 'F' then 'stop' else 'override' end as kind, 'key ' || (o_orderkey % 37) as key, case when o_orderkey % 11 != 0 then o_orderpriority end as value from orders where o_orderkey % 3 = {part}"
+
 QUERIES = {
     "alias_edit_similarity": alias_edit_similarity, "alias_affix": alias_affix, "latin_skeleton": skeletons, "alias_rank": alias_rank,
-    "priority_apply": priority_apply, "alias_closure": alias_closure, "overrides_apply": overrides_apply,
+    "skeleton_pairs": skeleton_pairs, "alias_suggest": alias_suggest, "pack_rules": pack_rules, "priority_apply": priority_apply, "alias_closure": alias_closure, "overrides_apply": overrides_apply,
 }
 ORACLES = {
     "alias_edit_similarity": f"""with {_TOP}, q as materialized (select target, word from p where abs(length(word) - length(target)) <= 0.5 * greatest(length(word), length(target)) and {_LATIN.format('word')} and {_LATIN.format('target')}),
@@ -145,6 +206,21 @@ ORACLES = {
         s as (select target, word, n, round({_AFFIX.format('word', 'target')} + case when {_LATIN.format('word')} and {_LATIN.format('target')} and {_EDIT.format('word', 'target')} >= {SPELLING_MIN} then {_EDIT.format('word', 'target')} * {SPELLING} else 0.0 end
             + case when abs(length(word) - length(target)) <= 1 then {LENGTH} else 0.0 end + case when starts_with(word, left(target, 2)) then {PREFIX} else 0.0 end, 6) as score from p),
         r as (select *, cast(row_number() over (partition by target order by score desc, n desc, word) as int) as place from s) select target, word, score, place from r where place <= {SHOWN}""",
+    "skeleton_pairs": f"with {_SCRIPTS} select * from near",
+    "alias_suggest": f"""with {_SCRIPTS}, best as (select side, skeleton, min({{'n': -n, 'word': word}}) as top from ws where length(skeleton) >= 2 group by 1, 2),
+        r as (select 'han' as side, a as skeleton, -{A.SOUND} * similarity as score, top from near join best on best.side = 'latin' and best.skeleton = b union all select 'latin', b, -{A.SOUND} * similarity, top from near join best on best.side = 'han' and best.skeleton = a),
+        one as (select side, skeleton, min({{'score': score, 'top': top}}) as found from r group by 1, 2), told as (select word, found from ws join one using (side, skeleton)),
+        gg as (select *, n as grp from ws where n >= 50), m as (select x.word, x.side != y.side and length(x.skeleton) >= 2 and length(y.skeleton) >= 2 as cross_, {_EDIT.format("x.skeleton", "y.skeleton")} as s, y.n as yn, y.word as yw from gg x join gg y on x.grp = y.grp and x.word != y.word),
+        every as (select word, found from told union all select word, {{'score': -({A.TOGETHER} + case when cross_ and s >= {A.SIMILAR} then {A.SOUND} * round(s, 6) else 0.0 end), 'top': {{'n': -yn, 'word': yw}}}} from m)
+        select word, min(found).top.word as suggested, round(-min(found).score, 6) as score from every group by word having -min(found).score > {A.ENOUGH}""",
+    "pack_rules": f"""with known as ({_CHANGES(0, "'card ' || (o_custkey % 50) || case when o_custkey % 4 = 1 then ' whole' else '' end", 0)}), kr as {_RULES("known")},
+        cards as (select distinct 'session ' || (o_custkey % 50) as session, case when (o_custkey % 50) % 5 != 0 then 'card ' || (o_custkey % 50) || ' whole' end as strong, 'card ' || (o_custkey % 50) as weak from orders),
+        found as (select *, coalesce(strong, weak) as fp, case when strong in (select owner from kr) then 'strong' when weak in (select owner from kr) then 'weak' else 'none' end as via from cards),
+        full_ as (select owner, kind, key, value from kr union all select strong, kind, key, value from kr join (select distinct strong, weak from found where via = 'weak' and strong is not null) on owner = weak),
+        before as ({_CHANGES(1, "'session ' || (o_custkey % 50)", 0)}), br as {_RULES("before")},
+        ap as (select session as owner, {APPLIED} as version, 'apply' as action, kind, key, value from full_ f join found on fp = owner and via != 'none' where not exists (select 1 from br where br.owner = session and br.kind = f.kind and br.key = f.key)),
+        after_ as (select * from before union all select * from ap union all {_CHANGES(2, "'session ' || (o_custkey % 50)", APPLIED)} union all select session, {2 * APPLIED}, 'undo', null, null, '{APPLIED}' from cards where session like '%7')
+        select * from {_RULES("after_")}""",
     "priority_apply": f"""with {_ALL}, p as (select * from (values ('the', 0), ('Zebra', 1), ('of', 2), ('Quartz', 3), ('idiot', 4)) p(item, place)), m as (select max(n) as most from w),
         s as (select item, most * (1 + (5 - place) / 5) as value from p cross join m)
         select coalesce(word, item) as word, round(coalesce(value, cast(n as double)), 6) as n, value is not null as priority from w full join s on lower(word) = lower(item)""",
