@@ -1,16 +1,39 @@
-"""Where the words of a cloud go: a bounded list, placed on the driver along a spiral, biggest first."""
+"""Where the words of a cloud go: a bounded list, placed on the driver along a spiral, biggest first; and the ranks and sizes of a whole
+vocabulary, which is sorted by ranges and numbered by offsets, so no task gets all of it."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import cut
+
 CELL = 4
 
 
+def ranked(rows: DataFrame, *order: Column, collation: str | None = None, name: str = "word") -> DataFrame:
+    """rows with `place`, from 0, in an order. Each task numbers its range of it, and adds how many rows the ranges before it have.
+    With a collation, as UNICODE or de, ties of `order` stand as its locale sorts the column `name`, and then by code points."""
+    last = [F.collate(F.col(name), collation), F.col(name)] if collation else []
+    keys = [*order, *last]
+    sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut(sorted_rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id() % (1 << 33)}))
+    before = F.sum("n_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each task
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("n_rows")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(offsets, "_part").withColumn("place", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
+def display_sizes(words: DataFrame, smallest: float, largest: float, steps: int) -> DataFrame:
+    """word, n -> word, size (by the root of its share of the most frequent word's uses), step (of the colour ramp, by rank)."""
+    every = words.agg(F.max("n").alias("most"), F.count("*").alias("words"))
+    rows = ranked(words, F.desc("n"), F.col("word")).crossJoin(F.broadcast(every))
+    size = smallest + (largest - smallest) * F.sqrt(F.col("n") / F.col("most"))
+    return rows.select("word", F.round(size, 6).alias("size"), F.least(F.lit(steps - 1), F.floor(F.col("place") * steps / F.col("words"))).cast("int").alias("step"))
+
+
 def seed_of(text: str) -> int:
     """A 32-bit FNV-1a hash of a text's UTF-8 bytes."""
     h = 2166136261

@@ -118,3 +118,15 @@ def fingerprint(name: Column, content: Column | None = None) -> Column:
 
     weak = F.trim(F.regexp_replace(folded(name), VERSION, ""))
     return F.sha2(weak if content is None else F.concat(weak, F.lit("\u0001"), F.sha2(content, 256)), 256)
+
+
+def contexts(texts: DataFrame, word: str, around: int, key: str = "id") -> DataFrame:
+    """key, use (from 1), at (its first character, from 1), snippet: every use of a word, in upper or lower case, with what stands
+    around it in one line."""
+    low, wanted = F.lower("text"), F.lit(word.lower())
+    uses = F.size(F.split(low, F.lit("\\Q" + word.lower() + "\\E"))) - 1
+    end = lambda k: F.length(F.call_function("substring_index", low, wanted, k)) + 1
+    found = texts.where(low.contains(wanted)).select(key, "text", F.posexplode(F.transform(F.sequence(F.lit(1), uses), end)).alias("k", "at"))
+    start = F.greatest(F.lit(1), F.col("at") - around)
+    snippet = F.regexp_replace(F.substring("text", start, F.col("at") - start + len(word) + around), r"\s+", " ")
+    return found.select(key, (F.col("k") + 1).alias("use"), "at", snippet.alias("snippet"))
