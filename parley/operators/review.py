@@ -62,6 +62,18 @@ def han_share(words: DataFrame) -> DataFrame:
     return words.agg(F.round(F.sum(F.when(F.col("word").rlike(r"\p{IsHan}"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"))
 
 
+def payload(words: DataFrame, changed: DataFrame, most: int = MOST_SHARED, fixes: int = MOST_FIXES) -> DataFrame:
+    """One row, what a contribution sends: words (word, n, kind), share (of uses in Han), kinds (how many words of each), fixes (word,
+    kind): the user's changes (word, kind) of kinds, most frequent words first."""
+    sent = contribution(words, most)
+    place = lambda c: F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), *c)))
+    listed = sent.agg(F.transform(place(["word", "kind"]), lambda x: F.struct(x["word"].alias("word"), (-x["a"]).alias("n"), x["kind"].alias("kind"))).alias("words"))
+    kinds = sent.groupBy("kind").agg(F.count("*").alias("words")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "words")))).alias("kinds"))
+    moved = words.join(changed.select("word", F.col("kind").alias("new")), "word").where("new != kind").orderBy(F.desc("n"), "word").limit(fixes)
+    fixed = moved.agg(F.transform(place(["word", "new"]), lambda x: F.struct(x["word"].alias("word"), x["new"].alias("kind"))).alias("fixes"))
+    return listed.crossJoin(han_share(sent)).crossJoin(kinds).crossJoin(fixed)  # four rows of one
+
+
 def junk_rate(words: DataFrame, filler: DataFrame, top: int) -> DataFrame:
     """One row: the share of the `top` most frequent words (word, n) that are listed as filler (word)."""
     first = words.orderBy(F.desc("n"), "word").limit(top)

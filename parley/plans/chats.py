@@ -20,7 +20,9 @@ def jsonl_files(spark, sf_dir):
     line = F.concat(F.left(message, F.length(message) - 1), F.lit(', "extra": '), extra, F.lit("}"))
     source = F.concat(F.lit("card "), (F.col("conv_id") % 5).cast("string"), F.lit(" - 2024-01-01@00h00m00s0ms #"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
     said = rows.select(source.alias("source"), (F.col("turn") + 1).alias("line_no"), line.alias("line"))
-    meta = rows.select(source.alias("source")).distinct().select("source", F.lit(0).cast("long").alias("line_no"), F.lit('{"user_name": "Me", "character_name": "unused"}').alias("line"))
+    who = F.when(F.col("conv_id") % 2 == 0, "Me").otherwise("unused")
+    head = F.concat(F.lit('{"user_name": "'), who, F.lit('", "character_name": "unused"}'))
+    meta = rows.select(source.alias("source"), head.alias("line")).distinct().select("source", F.lit(0).cast("long").alias("line_no"), "line")
     return said.unionAll(meta)
 
 
@@ -29,7 +31,7 @@ def jsonl_roundtrip(spark, sf_dir):
 
 
 def chat_meta(spark, sf_dir):
-    return S.chats(S.records(jsonl_files(spark, sf_dir))).select("source", "user_name", "card", "broken_lines")
+    return S.chats(S.records(jsonl_files(spark, sf_dir))).select("source", "user_name", "card", "started", "broken_lines")
 
 
 def txt_islands(spark, sf_dir):
@@ -55,7 +57,7 @@ QUERIES = {"jsonl_roundtrip": jsonl_roundtrip, "chat_meta": chat_meta, "txt_isla
 ORACLES = {
     "jsonl_roundtrip": f"""select {_SOURCE} as source, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as index, 'name of ' || role as name,
         case role when 'assistant' then 'char' else role end as role, text as raw, 2 as swipe_count from conversations""",
-    "chat_meta": f"select distinct {_SOURCE} as source, 'Me' as user_name, 'card ' || (conv_id % 5) as card, 0::bigint as broken_lines from conversations",
+    "chat_meta": f"select {_SOURCE} as source, case when conv_id % 2 = 0 then 'Me' when count(*) filter (role = 'user') > 0 then 'name of user' end as user_name, 'card ' || (conv_id % 5) as card, '2024-01-01T00:00:00' as started, 0::bigint as broken_lines from conversations group by conv_id",
     "txt_islands": f"""with t as (select cast(conv_id as varchar) as source, turn, string_split({_TALK}, chr(10)) as ls from conversations where role != 'system'),
         l as (select source, turn * 100000 + generate_subscripts(ls, 1) as k, unnest(ls) as line from t),
         c as (select *, least(nullif(instr(line, ':'), 0), nullif(instr(line, '：'), 0)) as pos from l),

@@ -59,3 +59,13 @@ def test_small_things(spark):
     word = spark.createDataFrame([("龙门", None), ("b", "B")], "word string, own string")
     assert [r[0] for r in word.select(overrides.displayed(F.col("word"), ("龙门", "龍門"), F.col("own"))).collect()] == ["龍門", "B"]
     assert demo.demo(spark, "zh").count() == 12 and demo.demo(spark, "xx").first()["word"] == "lantern"
+
+
+def test_payload_of_a_contribution(spark):
+    rows = [("ann", 9, "person", None, False), ("river", 8, "nature", None, False), ("龙", 4, "myth", None, False), ("rude", 7, "plain", "mild", False), ("mine", 6, "plain", None, True), ("rare", 1, "plain", None, False), ("lake", 3, "nature", None, False)]
+    words = spark.createDataFrame(rows, "word string, n long, kind string, flag string, priority boolean")
+    changed = spark.createDataFrame([("rare", "place"), ("lake", "nature"), ("ann", "place")], "word string, kind string")
+    got = R.payload(words, changed).first().asDict(recursive=True)
+    assert [tuple(x.values()) for x in got["words"]] == [("river", 8, "nature"), ("龙", 4, "myth"), ("lake", 3, "nature")]
+    assert got["share"] == round(4 / 15, 6) and got["kinds"] == {"nature": 2, "myth": 1} and [tuple(x.values()) for x in got["fixes"]] == [("ann", "place"), ("rare", "place")]
+    assert R.payload(words.where("false"), changed.where("false")).first()["words"] == []
