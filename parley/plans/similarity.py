@@ -61,14 +61,22 @@ def latin_skeleton(word: Column) -> Column:
 
 
 def _pairs(spark, sf_dir):
-    words = counted_words(spark, sf_dir)
-    of = targets(words).select(F.col("word").alias("target"))
-    return words.join(F.broadcast(of), F.col("word") != F.col("target"))
+    """Every word with each target, and whether both are Latin, which is tested once for each word."""
+    words = counted_words(spark, sf_dir).withColumn("latin", latin(F.col("word")))
+    of = targets(words).select(F.col("word").alias("target"), F.col("latin").alias("target_latin"))
+    return words.join(F.broadcast(of), F.col("word") != F.col("target")).withColumn("latin", F.col("latin") & F.col("target_latin")).drop("target_latin")
+
+
+def spelled_alike() -> Column:
+    """The spelling similarity where it counts, else null. Lengths rule most pairs out before any distance is taken."""
+    longest = F.greatest(F.length("word"), F.length("target"))
+    near = F.col("latin") & (F.abs(F.length("word") - F.length("target")) <= longest * (1 - SPELLING_MIN) + 1e-9)
+    value = F.when(near, edit_similarity(F.col("word"), F.col("target")))
+    return F.when(value >= SPELLING_MIN, value)
 
 
 def alias_edit_similarity(spark, sf_dir):
-    similar = F.round(edit_similarity(F.col("word"), F.col("target")), 6)
-    return _pairs(spark, sf_dir).where(latin(F.col("word")) & latin(F.col("target"))).select("target", "word", similar.alias("similarity")).where(F.col("similarity") >= SPELLING_MIN)
+    return _pairs(spark, sf_dir).select("target", "word", F.round(spelled_alike(), 6).alias("similarity")).where("similarity is not null")
 
 
 def alias_affix(spark, sf_dir):
@@ -81,8 +89,7 @@ def skeletons(spark, sf_dir):
 
 def alias_rank(spark, sf_dir):
     """The best candidates for each target."""
-    spelling = edit_similarity(F.col("word"), F.col("target"))
-    counts = F.when(latin(F.col("word")) & latin(F.col("target")) & (spelling >= SPELLING_MIN), spelling * SPELLING).otherwise(0.0)
+    counts = F.coalesce(spelled_alike() * SPELLING, F.lit(0.0))
     near = F.when(F.abs(F.length("word") - F.length("target")) <= 1, LENGTH).otherwise(0.0)
     begins = F.when(F.col("word").startswith(F.left("target", F.lit(2))), PREFIX).otherwise(0.0)
     scored = _pairs(spark, sf_dir).withColumn("score", F.round(affix_score(F.col("word"), F.col("target")) + counts + near + begins, 6))
