@@ -35,7 +35,6 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS, "secret")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match within a run of digits would end where that run does
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")

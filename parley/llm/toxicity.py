@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import crf
-from parley.llm.common import stored, table, whole_text
+from parley.llm.common import discard, stored, table, whole_text
 from parley.llm.words import LetterRuns, mixed, slices, utf8, windows
 
 SAMPLE, SAMPLE_BYTES = 500, 48 << 20
@@ -203,13 +203,13 @@ def per_text(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of the sample, and how many clean rows one sampled clean row stands for, against toxic ones.
 
-    Ids and lengths are joined and picked first, by the hash of the id; only the picked rows' texts are read after that.
+    Ids and lengths are joined and picked first, by the hash of the id; only the picked rows' texts are read after that. Of rows with
+    one id the shortest text counts, then the one with the least digest.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     eligible = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & (whole_text() != ""))
-    digest = F.unhex(F.sha2("text", 256))
-    one = eligible.groupBy("doc_id").agg(F.min(F.struct(digest.alias("digest"), F.octet_length("text").alias("size"))).alias("row"))
-    rows = stored(one.join(known, "doc_id").select("doc_id", "row.*", "toxic"), "labelled")
+    sizes = eligible.select("doc_id", F.octet_length("text").alias("size"))
+    rows = stored(sizes.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("size").alias("size")), "labelled")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = {k: rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "size").collect() for k in (1, 0)}
     of, held = {}, 0
@@ -220,9 +220,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, samp
                 held += picked[k][turn]["size"]
     if not of:
         return [], np.zeros(0, np.int64), 1.0
-    chosen = rows.where(F.col("doc_id").isin(list(of))).select("doc_id", "digest")  # at most 2 * sample rows
-    texts = docs.where(F.col("doc_id").isin(list(of))).select("doc_id", "text", digest.alias("digest")).join(F.broadcast(chosen), ["doc_id", "digest"])
-    found = texts.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    texts = docs.where(F.col("doc_id").isin(list(of)) & (whole_text() != ""))  # at most 2 * sample ids
+    least = F.min(F.struct(F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest"), "text"))
+    found = texts.groupBy("doc_id").agg(least.alias("row")).select("doc_id", "row.text").orderBy("doc_id").collect()
+    discard(rows)
     n_picked = [sum(v == k for v in of.values()) for k in (1, 0)]
     ratios = [counts.get(k, 0) / max(1, n) for k, n in zip((1, 0), n_picked, strict=True)]
     return [r["text"] for r in found], np.array([of[r["doc_id"]] for r in found], np.int64), ratios[1] / (ratios[0] or 1.0)
