@@ -162,7 +162,12 @@ def priority_apply(spark, sf_dir):
 
 
 def alias_closure(spark, sf_dir):
-    return O.alias_closure(spark.createDataFrame(ALIASES, "source string, target string"))
+    """Each word as an alias of the word without its last letter, or, in -e, of the one with an s more, where the documents have it:
+    chains of many steps, and a cycle for each such pair."""
+    words = counted_words(spark, sf_dir).where(F.col("word").rlike("^[a-z]{3,}$")).select("word")
+    target = F.when(F.col("word").endswith("e"), F.concat("word", F.lit("s"))).otherwise(F.left("word", F.length("word") - 1))
+    pairs = words.select(F.col("word").alias("source"), target.alias("target")).join(words.withColumnRenamed("word", "target"), "target", "left_semi")
+    return O.alias_closure(pairs.select("source", "target"))
 
 
 def overrides_apply(spark, sf_dir):
@@ -231,7 +236,10 @@ ORACLES = {
     "priority_apply": f"""with {_ALL}, p as (select * from (values ('the', 0), ('Zebra', 1), ('of', 2), ('Quartz', 3), ('idiot', 4)) p(item, place)), m as (select max(n) as most from w),
         s as (select item, most * (1 + (5 - place) / 5) as value from p cross join m)
         select coalesce(word, item) as word, round(coalesce(value, cast(n as double)), 6) as n, value is not null as priority from w full join s on lower(word) = lower(item)""",
-    "alias_closure": f"with recursive {_CHAIN} select source, final from ends",
+    "alias_closure": f"""with recursive {_TOP}, v as materialized (select word from w where regexp_full_match(word, '[a-z]{{3,}}')),
+        a as materialized (select word as source, case when word like '%e' then word || 's' else left(word, length(word) - 1) end as target from v where case when word like '%e' then word || 's' else left(word, length(word) - 1) end in (select word from v)),
+        chain as (select source, target as final, [source, target] as path from a union all select c.source, a.target, list_append(path, a.target) from chain c join a on a.source = c.final where not list_contains(path, a.target))
+        select source, final from chain where final not in (select source from a)""",
     "overrides_apply": f"""with recursive {_ALL}, {_CHAIN}, e as (select * from ends where final in (select word from w)), k as (select w.*, e.final from w left join e on e.source = w.word),
         s as (select coalesce(final, word) as word, cast(sum(n) as bigint) as n from k group by 1) select s.word, s.n from s join k on k.word = s.word where k.final is null""",
 }

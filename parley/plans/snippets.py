@@ -29,7 +29,7 @@ def text_sample(spark, sf_dir):
 
 
 def word_search(spark, sf_dir):
-    return _all_words(spark, sf_dir).where(F.lower("word").contains("th"))
+    return R.review(_all_words(spark, sf_dir), needle="th")
 
 
 def font_size_step(spark, sf_dir):

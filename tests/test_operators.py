@@ -298,3 +298,33 @@ def test_repeated_lines_go_row_by_row(spark, monkeypatch):
         rows = [(k, common) for k in range(6)] + [(None, common + "\nmine"), (7, "seven a\n" + common), (7, "seven b"), (8, None), (9, "twice\ntwice"), (9, "twice\ntwice")]
         got = C.strip_repeated(spark.createDataFrame(rows, "id long, text string")).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(k, "") for k in range(6)] + [(None, "mine"), (7, "seven a"), (7, "seven b"), (8, ""), (9, "twice\ntwice"), (9, "twice\ntwice")]))
+
+
+def test_json_after_any_number_of_open_brackets():
+    data = '{"status": "fine", "n": [1, 2, 3]}'
+    for n in (0, 1, 50, 120, 5000):
+        assert S.without_json("[" * n + " x " + data + " y") == "[" * n + " x   y"
+    assert S.without_json('[[ {"a": "long enough to go", "b": 1} ] and more') == "[  and more"
+    assert S.without_json('["an unended string [{"k": "long enough to go away"}] end') == '["an unended string   end'
+    assert S.without_json('{"cut off": {"whole": "and long enough to go"}, "open": [') == '{"cut off":  , "open": ['
+    assert S.without_json('[{"a": 1}]') == '[{"a": 1}]'
+    deep = "[" * 30_000 + '"x"' + "]" * 30_000
+    assert S.without_json(deep) == " "
+    began = time.perf_counter()
+    for _ in range(3):
+        S.without_json(('{"a":[' * 450 + "x ") * 80)
+    assert time.perf_counter() - began < 10
+
+
+def test_details_where_lower_case_is_longer():
+    label = S.SCAFFOLD_LABELS[0]
+    assert S.without_details(f"İ a <DETAILS><Summary>{label.upper()}</SUMMARY>hidden</Details> b").split() == ["İ", "a", "b"]
+
+
+def test_status_blocks_by_strength():
+    pairs = lambda *rows: [S.pair_of(r) for r in rows]
+    field = S.STATUS_FIELDS[0]
+    assert S.is_status(pairs(f"{field}: whatever she may feel at this very hour", "a: b", "c: d"))
+    assert S.is_status(pairs("load: 10/20", "coins: 35", "walks: home"))
+    assert not S.is_status(pairs("load: 10/20", "coins: 35")) and not S.is_status(pairs("load: 1", "load: 2", "coins: 3"))
+    assert not S.is_status(pairs("load: 10/20", "coins: 35", "ann: this is what she has said to me"))
