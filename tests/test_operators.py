@@ -112,6 +112,14 @@ def test_base_forms(spark):
     assert one(spark, E.possessive_base(F.col("w")), w="nicole’s") == "nicole"
 
 
+def test_base_forms_of_every_word(spark):
+    forms = lambda w: set(one(spark, E.base_forms(F.col("w")), w=w))
+    assert forms("agreed") == {"agre", "agree"} and forms("freed") == {"fre", "free"}
+    assert forms("dvds") == {"dvd"} and forms("html's") >= {"html"}
+    counts = spark.createDataFrame([("agreed", 3), ("agrees", 2), ("agree", 5), ("dvds", 2), ("dvd", 5)], "word string, n long")
+    assert {r["word"]: r["form"] for r in E.merge_plan(counts, []).collect()} == {"agrees": "agree"}  # folds as its SQL does
+
+
 def test_merge_plan(spark):
     counts = spark.createDataFrame([("look", 2), ("looks", 9), ("looked", 3), ("zorking", 1), ("anna's", 4)], "word string, n long")
     plan = {r["word"]: r["form"] for r in E.merge_plan(counts, ["the"]).collect()}
