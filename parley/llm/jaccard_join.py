@@ -138,13 +138,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 def met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """rows joined to facts, which have one row for each key with `n`, the number of rows that have it (`total` in all).
 
-    At most SHARE keys have total / SHARE rows or more; their facts are broadcast, and no hot key is dealt to one task. With
-    how = "left", keys without facts must not be hot.
+    At most SHARE keys have total / SHARE rows or more. Their hashes, which the driver collects, part rows and facts alike: what
+    has the hash of a hot key meets by a broadcast, and only the rest is dealt by key, so no hot key is dealt to one task and no
+    row passes a join that only tells hot keys from others. With how = "left", keys without facts must not be hot.
     """
-    hot = F.col("n") * SHARE >= max(1, total)
-    marked = rows.join(F.broadcast(facts.where(hot).withColumn("_hot", F.lit(True))), keys, "left")
-    rest = marked.where("_hot is null").select(*rows.columns).join(facts.where(~hot), keys, how)
-    return marked.where("_hot").drop("_hot").unionByName(rest)
+    key = F.xxhash64(*keys)
+    hot = [r[0] for r in facts.where(F.col("n") * SHARE >= max(1, total)).select(key).distinct().collect()]
+    if not hot:
+        return rows.join(facts, keys, how)
+    few = rows.where(key.isin(hot)).join(F.broadcast(facts.where(key.isin(hot))), keys, how)
+    return few.unionByName(rows.where(~key.isin(hot)).join(facts.where(~key.isin(hot)), keys, how))
 
 
 def components(ties: DataFrame) -> DataFrame:
@@ -292,11 +295,12 @@ def cells(found: DataFrame, most: int = CELLS) -> DataFrame:
     if total:
         ties = met(pairs.select("bucket", "cell"), wide, ["bucket"], total).select(F.col("cell").alias("a"), F.col("least").alias("b"))
         roots = stored(components(ties), "roots").withColumnRenamed("node", "cell")
-        n_of = held.groupBy("cell").agg(F.count("*").alias("n"))
+        n_of = stored(held.groupBy("cell").agg(F.count("*").alias("n")).join(roots, "cell", "left"), "sizes")
         n_held = n_of.agg(F.sum("n")).first()[0]
-        one = met(held, n_of.join(roots, "cell", "left"), ["cell"], n_held)
+        one = met(held, n_of, ["cell"], n_held)
         was, held = held, stored(one.select("bucket", "node", "size", F.coalesce("root", "cell").alias("cell")), "cells")
         discard(was)
+        discard(n_of)
     discard(wide)
     return held
 

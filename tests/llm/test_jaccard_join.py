@@ -81,6 +81,16 @@ def test_met_deals_no_hot_key(spark, monkeypatch):
         assert got == {(r["x"], r["n"]) for r in rows.join(facts, "key", how).collect()}
 
 
+def test_rows_of_cold_keys_pass_one_join(spark, monkeypatch):
+    monkeypatch.setattr(j, "SHARE", 3)
+    rows = spark.createDataFrame([(k if k < 40 else 99, k % 2, k) for k in range(100)], "key long, other int, x long")
+    facts = rows.groupBy("key", "other").count().withColumnRenamed("count", "n")
+    found = j.met(rows, facts, ["key", "other"], 100)
+    assert sorted((r["x"], r["n"]) for r in found.collect()) == [(k, 1 if k < 40 else 30) for k in range(100)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 + (plan.count("Union") == 1) and "Join LeftOuter" not in plan
+
+
 def test_empty(spark):
     assert j.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
