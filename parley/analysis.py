@@ -45,7 +45,7 @@ class Options:
     model: str | None = None  # of reasoning
     min_length: int = 2
     min_count: int = 2
-    most_words: int = 120
+    most_words: int | None = 120  # none: all
     stop_words: tuple[str, ...] = ()  # beside the usual ones
     names_as_words: bool = True  # speakers' names stay whole and are no templates
     dictionary: tuple[str, ...] = ()
@@ -187,7 +187,8 @@ def analyze(messages: DataFrame, options: Options = Options(), flagged: DataFram
         eligible = eligible.where(K.visible(F.col("kinds"), list(options.kinds)))
     counts = F.col("flag").isNotNull() & (F.col("flag").isin(*options.flags) if options.flags else F.lit(True))
     shown = {"show": F.lit(True), "hide": ~counts, "only": counts}[options.flagged]
-    words = eligible.where(shown).orderBy(F.desc("n"), "word").limit(options.most_words)
+    words = eligible.where(shown).orderBy(F.desc("n"), "word")
+    words = words if options.most_words is None else words.limit(options.most_words)
     kept = chosen(messages, options)
     tokens = texts.select(T.raw_tokens(F.col("text")).alias("raw")).where(F.col("raw").rlike(r"[\p{L}\p{N}]")).agg(F.count("*").alias("tokens"))
     totals = tokens.crossJoin(bags.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"), F.count_distinct("word").alias("different")))

@@ -45,7 +45,7 @@ def analyze_scoped(spark, sf_dir):
 
 def reasoning_words(spark, sf_dir):
     """Words of the traces of one model, without the sentence that all of them repeat."""
-    options = A.Options(source="reasoning", model="model 1", english_forms=False, min_count=1, most_words=100_000)
+    options = A.Options(source="reasoning", model="model 1", english_forms=False, min_count=1, most_words=None)
     return A.analyze(messages(spark, sf_dir), options).words.select("word", "n")
 
 
