@@ -38,7 +38,7 @@ def analyze_default(spark, sf_dir):
 
 def analyze_scoped(spark, sf_dir):
     """One speaker's words of one card, flagged words hidden, some words blocked, forms as they stand."""
-    options = A.Options(speakers=(SPEAKER,), card=CARD, flagged="hide", flags=("mild",), english_forms=False, min_count=1, baseline=("is", "thin"), most_words=100_000)
+    options = A.Options(speakers=(SPEAKER,), card=CARD, flagged="hide", flags=("mild",), english_forms=False, min_count=1, baseline=("is", "thin"), most_words=None)
     flagged, listed = (spark.createDataFrame(rows, f"word string, {name} string") for rows, name in ((FLAGGED, "flag"), (LISTED, "reason")))
     return A.analyze(messages(spark, sf_dir), options, flagged, listed).words.select("word", "n", "flag")
 

@@ -18,3 +18,7 @@ def many_words(spark, tmp_path_factory):
 
 def test_reasoning_words_are_all_shown(spark, many_words):
     assert analysis.reasoning_words(spark, many_words).where("word like 'word%'").count() == WORDS
+
+
+def test_scoped_words_are_all_shown(spark, many_words):
+    assert analysis.analyze_scoped(spark, many_words).where("word like 'word%'").count() == WORDS
