@@ -104,7 +104,7 @@ HAN_SOUNDS = {"": "阿艾", "p": "巴佩", "k": "凯戈杰肯奎克", "t": "德
 
 def _two_scripts(spark, sf_dir):
     """All Latin words, and every third one in Han characters as well."""
-    words = counted_words(spark, sf_dir).where(F.col("word").rlike("^[a-z]+$"))
+    words = cut(counted_words(spark, sf_dir)).where(F.col("word").rlike("^[a-z]+$"))
     han = words.where(F.col("n") % 3 == 0).groupBy(F.translate(F.regexp_replace("word", "[aeiouy]", "阿"), SPOKEN, WRITTEN).alias("word")).agg(F.sum("n").alias("n"))
     return words.select("word", "n", F.lit("latin").alias("side"), latin_skeleton(F.col("word")).alias("skeleton")).unionAll(
         han.select("word", "n", F.lit("han"), A.han_skeleton(F.col("word"), HAN_SOUNDS))
