@@ -4,8 +4,8 @@ Names. Each pattern is a row of a table: where it matches, the Han characters be
 patterns a name is found and how often; a word that the dictionary knows needs more of both. A name that another candidate begins,
 found at least as often and in as many patterns, has swallowed a character and goes: a join on the name without its last character.
 
-Brands. Runs of the characters that transliterations are written with, by the distance to a word of trade in the same text: both
-sides are dealt by text and stretch of the text, so a text with many of either never meets all pairs.
+Brands. Runs of the characters that transliterations are written with, by the distance to a word of trade in the same text, which
+one pattern tells at each run: it looks at most REACH characters back and on.
 
 Short forms. All forms of all full names are looked for at once by one automaton, in one pass over the texts; the tests are joins and
 sums of its hits.
@@ -137,17 +137,14 @@ def latin_brands(texts: DataFrame) -> DataFrame:
 
 
 def near_trade(texts: DataFrame, characters: str, key: str = "id", bounds: Bounds = Bounds()) -> DataFrame:
-    """word, n: runs of two to five of the characters with a word of trade at most REACH characters away, `brand_uses` times."""
-    piece = rf"[{characters}]+|[{TRADE}]|[^{characters}{TRADE}]+"
-    pieces = texts.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(piece), F.lit(0))).alias("k", "piece"))
-    end = F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("k"))
-    placed = pieces.withColumn("end", end).withColumn("start", F.col("end") - F.length("piece"))
-    wide = 4 * REACH
-    runs = placed.where(F.col("piece").rlike(f"^[{characters}]{{2,5}}$")).withColumns({"low": F.col("start") - REACH, "high": F.col("end") + REACH - 1})
-    runs = runs.select(key, F.col("piece").alias("word"), "start", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / wide), F.floor(F.col("high") / wide))).alias("stretch"))
-    trade = placed.where(F.col("piece").rlike(f"^[{TRADE}]$")).select(key, F.col("start").alias("at"), F.floor(F.col("start") / wide).alias("stretch"))
-    met = runs.join(trade, [key, "stretch"]).where("at between low and high").select(key, "word", "start").distinct()
-    return met.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= bounds.brand_uses)
+    """word, n: runs of two to five of the characters with a word of trade at most REACH characters away, `brand_uses` times. All of it is
+    within a text, so one pattern finds the runs where the text is, and only they are dealt out. key: null for texts that do not count."""
+    run = f"[{characters}]{{2,5}}"
+    whole = f"(?={run}(?![{characters}]))(?<![{characters}])"  # first what most places fail
+    # the excluded character is beyond 16 bits, without which Java's engine counts what is before a place in halves of characters
+    before, after = f"(?<=[{TRADE}&&[^\U0010ffff]].{{0,{REACH - 1}}})", f"(?=.{{0,{REACH - 1}}}[{TRADE}])"
+    found = texts.where(F.col(key).isNotNull()).select(F.explode(F.regexp_extract_all("text", F.lit(f"(?s){whole}(?:{run}{after}|{before}{run})"), F.lit(0))).alias("word"))
+    return found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= bounds.brand_uses)
 
 
 def hits(texts: DataFrame, needles: list[str], key: str = "id") -> DataFrame:
